@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def per_distinct(values: pd.Series, fn: Callable[[str], object]) -> pd.Series:
@@ -38,12 +39,12 @@ def _stable(ch: str) -> bool:
 NFC_SAFE = r"^[\u0001-˿" + char_class(_stable, [(0x370, 0x3FF), (0x400, 0x45F), (0x1F00, 0x1FFF)]) + "]*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(values: pd.Series) -> pd.Series:
     return per_distinct(values, lambda v: unicodedata.normalize("NFC", v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfd(values: pd.Series) -> pd.Series:
     return per_distinct(values, lambda v: unicodedata.normalize("NFD", v))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..session import table
 from .lookalike import unify_values
 from .splitting import split_oversized
+from .topn import top_per_group
 from .termstats import mark_terms, term_counts
 
 KEY = ["run_id", "chapter_index", "position"]
@@ -106,10 +107,33 @@ def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("field", "value", "consistent", "status").agg(F.count("*").alias("rows"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_terms": p2_terms, "p3_found": p3_found, "p3_values": p3_values}
+# 4. The most frequent pairs of every run and lemma
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_top_pairs(spark, sf_dir).drop("n")
+
+
+def p4_top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three most frequent (parse, form) of every run and lemma, with their counts."""
+    rows = unique_facts(spark, sf_dir, "lemma", "parse", "form").dropna(subset=["lemma", "parse", "form"])
+    pairs = rows.groupBy("run_id", "lemma", "parse", "form").agg(F.count("*").alias("n"))
+    return top_per_group(pairs, ["run_id", "lemma"], "n", ["parse", "form"], 3)
+
+
+_P4 = """
+WITH u AS (SELECT DISTINCT run_id, chapter_index, position, lemma, parse, form FROM token_facts),
+c AS (SELECT run_id, lemma, parse, form, CAST(count(*) AS BIGINT) AS n FROM u WHERE lemma IS NOT NULL AND parse IS NOT NULL AND form IS NOT NULL GROUP BY 1, 2, 3, 4),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, lemma ORDER BY n DESC, parse, form) AS INTEGER) AS place FROM c)
+"""
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_terms": p2_terms, "p3_found": p3_found, "p3_values": p3_values, "p4_found": p4_found, "p4_top_pairs": p4_top_pairs}
 
 ORACLES = {
     "p1_found": _P1,
     "p2_found": _P2 + "SELECT field, term, mark FROM m WHERE mark <> 'kept'",
     "p2_terms": _P2 + "SELECT * FROM m",
+    "p4_found": _P4 + "SELECT run_id, lemma, place, parse, form FROM r WHERE place <= 3",
+    "p4_top_pairs": _P4 + "SELECT run_id, lemma, place, parse, form, n FROM r WHERE place <= 3",
 }

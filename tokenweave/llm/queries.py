@@ -19,9 +19,9 @@ BLOCK = 1 << 16
 def unique_facts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Key and columns of token_facts, repeated rows once. Partitioned by blocks of chapters, which keeps
     neighbours together in the shuffle and splits a chapter of any size."""
-    rows = table(spark, sf_dir, "token_facts").select(*KEY, *columns)
-    spread = rows.repartition("run_id", "chapter_index", F.floor(F.col("position") / BLOCK).alias("__block"))
-    return spread.dropDuplicates(KEY)
+    rows = table(spark, sf_dir, "token_facts").select(*KEY, *columns, F.floor(F.col("position") / BLOCK).alias("__block"))
+    # the block follows from the position; as a column it tells the planner that rows are where they must be
+    return rows.repartition("run_id", "chapter_index", "__block").dropDuplicates([*KEY, "__block"]).drop("__block")
 
 
 # 1. Oversized chapters

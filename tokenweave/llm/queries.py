@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import bounded_rows, cut, small, table
+from .canonical import FeatureList, WordList, list_candidates, map_values
 from .lookalike import unify_values
 from .splitting import split_oversized
 from .topn import top_per_group
@@ -14,6 +15,8 @@ from .termstats import mark_terms, term_counts
 KEY = ["run_id", "chapter_index", "position"]
 #: Positions of one chapter that share a partition when rows are made unique; longer chapters are spread.
 BLOCK = 1 << 16
+#: Most rows a reference list may have; it is held by every worker.
+MOST_ENTRIES = 1_000_000
 
 
 def unique_facts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -127,8 +130,42 @@ c AS (SELECT run_id, lemma, parse, form, CAST(count(*) AS BIGINT) AS n FROM u WH
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, lemma ORDER BY n DESC, parse, form) AS INTEGER) AS place FROM c)
 """
 
+# 6. Entered values and the lists
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_terms": p2_terms, "p3_found": p3_found, "p3_values": p3_values, "p4_found": p4_found, "p4_top_pairs": p4_top_pairs}
+
+def _entered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run_id, field, entered: each value outside its list once per run."""
+    facts = table(spark, sf_dir, "token_facts")
+    lemmas = table(spark, sf_dir, "lexicon_entries").select(F.lit("lemma").alias("field"), F.col("lemma").alias("entered"))
+    labels = table(spark, sf_dir, "parse_labels").select(F.lit("parse"), F.col("label"))
+    listed = small(lemmas.union(labels).dropna().distinct())
+    pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("entered")) for f in ("lemma", "parse"))))
+    cells = facts.select("run_id", pairs.alias("c")).select("run_id", "c.field", "c.entered").where(F.col("entered").isNotNull())
+    unsaid = (F.col("field") == "parse") & F.col("entered").rlike(r"^(?:[\s\u00a0]*|-|n/a)$")
+    return cells.where(~unsaid).join(listed, ["field", "entered"], "left_anti").distinct()
+
+
+def _finders(spark: SparkSession, sf_dir: str) -> tuple[WordList, FeatureList]:
+    entries = bounded_rows(table(spark, sf_dir, "lexicon_entries").where("lemma is not null").select("rank", "lemma").orderBy("rank"), MOST_ENTRIES, "lexicon_entries")
+    aliases = bounded_rows(table(spark, sf_dir, "greek_core_5k_aliases").select("variant", "lemma").dropna().distinct(), MOST_ENTRIES, "greek_core_5k_aliases")
+    labels = bounded_rows(table(spark, sf_dir, "parse_labels").where("label is not null").orderBy("label_id").select("label"), MOST_ENTRIES, "parse_labels")
+    return WordList([r.lemma for r in entries], [tuple(r) for r in aliases]), FeatureList([r.label for r in labels])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, labels = _finders(spark, sf_dir)
+    entered = cut(_entered(spark, sf_dir), "entered")
+    found = map_values(entered.select("field", "entered").distinct(), {"lemma": words.closest, "parse": labels.closest})
+    return entered.join(found, ["field", "entered"]).select("run_id", "field", "entered", "canonical")
+
+
+def p6_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every lexicon entry within the distance of each distinct entered lemma."""
+    words, _ = _finders(spark, sf_dir)
+    return list_candidates(_entered(spark, sf_dir).where("field = 'lemma'").select("entered").distinct(), words)
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_terms": p2_terms, "p3_found": p3_found, "p3_values": p3_values, "p4_found": p4_found, "p4_top_pairs": p4_top_pairs, "p6_found": p6_found, "p6_candidates": p6_candidates}
 
 ORACLES = {
     "p1_found": _P1,

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import bounded_rows, cut, small, table
 from .canonical import FeatureList, WordList, list_candidates, map_values
+from .leakage import cleaned, leaks
 from .lookalike import unify_values
+from .mixing import mix, rates, reached, with_tokens
 from .splitting import split_oversized
 from .topn import top_per_group
 from .termstats import mark_terms, term_counts
@@ -164,13 +166,65 @@ def p6_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, _ = _finders(spark, sf_dir)
     return list_candidates(_entered(spark, sf_dir).where("field = 'lemma'").select("entered").distinct(), words)
 
+# 7. Test items in documents
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_terms": p2_terms, "p3_found": p3_found, "p3_values": p3_values, "p4_found": p4_found, "p4_top_pairs": p4_top_pairs, "p6_found": p6_found, "p6_candidates": p6_candidates}
+
+def _leaks(spark: SparkSession, sf_dir: str, op) -> DataFrame:
+    return op(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), "doc_id", "text", "item_id", "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir, leaks)
+
+
+def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages of test items."""
+    return _leaks(spark, sf_dir, cleaned)
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item with the number of documents it leaked into."""
+    found = _leaks(spark, sf_dir, leaks).groupBy("item_id").agg(F.count("*").alias("documents"))
+    return table(spark, sf_dir, "eval_items").select("item_id").join(found, "item_id", "left").fillna(0, ["documents"])
+
+
+_P7 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM eval_items),
+dg AS (SELECT doc_id, lower(array_to_string(w[k:k + 11], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+ig AS (SELECT item_id, lower(array_to_string(w[k:k + 11], ' ')) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+f AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
+"""
+
+# 8. Mixing sources
+
+
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return cut(with_tokens(documents, "text"), "tokens")
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture: every use of every document."""
+    counted = _counted(spark, sf_dir)
+    return mix(counted, rates(counted, table(spark, sf_dir, "mix_targets")))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source has, should give and gave."""
+    counted = _counted(spark, sf_dir)
+    rated = rates(counted, table(spark, sf_dir, "mix_targets"))
+    return reached(mix(counted, rated), rated)
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_terms": p2_terms, "p3_found": p3_found, "p3_values": p3_values, "p4_found": p4_found, "p4_top_pairs": p4_top_pairs, "p6_found": p6_found, "p6_candidates": p6_candidates, "p7_found": p7_found, "p7_cleaned": p7_cleaned, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares}
 
 ORACLES = {
     "p1_found": _P1,
     "p2_found": _P2 + "SELECT field, term, mark FROM m WHERE mark <> 'kept'",
     "p2_terms": _P2 + "SELECT * FROM m",
+    "p7_found": _P7 + "SELECT doc_id, item_id FROM f",
+    "p7_items": _P7 + "SELECT item_id, CAST(count(doc_id) AS BIGINT) AS documents FROM eval_items LEFT JOIN f USING (item_id) GROUP BY 1",
     "p4_found": _P4 + "SELECT run_id, lemma, place, parse, form FROM r WHERE place <= 3",
     "p4_top_pairs": _P4 + "SELECT run_id, lemma, place, parse, form, n FROM r WHERE place <= 3",
 }

@@ -11,8 +11,9 @@ from .leakage import cleaned, leaks
 from .lookalike import unify_values
 from .mixing import mix, rates, reached, with_tokens
 from .splitting import split_oversized
-from .topn import top_per_group
 from .termstats import mark_terms, term_counts
+from .topn import top_per_group
+from .truncation import score_truncation
 
 KEY = ["run_id", "chapter_index", "position"]
 #: Positions of one chapter that share a partition when rows are made unique; longer chapters are spread.
@@ -216,8 +217,42 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = rates(counted, table(spark, sf_dir, "mix_targets"))
     return reached(mix(counted, rated), rated)
 
+# 9. Texts that break off
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_truncation(table(spark, sf_dir, "documents"), "doc_id", "source", "text", "title")
+
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_terms": p2_terms, "p3_found": p3_found, "p3_values": p3_values, "p4_found": p4_found, "p4_top_pairs": p4_top_pairs, "p6_found": p6_found, "p6_candidates": p6_candidates, "p7_found": p7_found, "p7_cleaned": p7_cleaned, "p7_items": p7_items, "p8_mix": p8_mix, "p8_shares": p8_shares}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where("truncated").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each source the share of its reviews that break off."""
+    cut_off = F.sum(F.col("truncated").cast("long"))
+    return _scored(spark, sf_dir).groupBy("source").agg(F.count("*").alias("documents"), cut_off.alias("truncated"), (cut_off / F.count("*")).alias("share"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
+    "p2_found": p2_found,
+    "p2_terms": p2_terms,
+    "p3_found": p3_found,
+    "p3_values": p3_values,
+    "p4_found": p4_found,
+    "p4_top_pairs": p4_top_pairs,
+    "p6_found": p6_found,
+    "p6_candidates": p6_candidates,
+    "p7_found": p7_found,
+    "p7_cleaned": p7_cleaned,
+    "p7_items": p7_items,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_rates": p9_rates,
+}
 
 ORACLES = {
     "p1_found": _P1,

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small
+from ..session import cut, small
 from .vocab import DIMENSIONS, FORM_CLASSES, LABELS, NOT_APPLICABLE, PHRASES, VALUES, tags
 
 _EDGES = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
@@ -30,57 +30,57 @@ def _strings(values) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
-def morph(parse: Column, token_type: Column) -> Column:
-    """The label as a struct: the dimensions, status, is_deponent, descriptors, unparsed.
+def with_morph(df: DataFrame, parse: str = "parse", token_type: str = "type") -> DataFrame:
+    """df with the dimensions, status, is_deponent, descriptors and unparsed of its labels.
 
     A dimension is null unless the label states it; several readings are joined by `|` in alphabetical order.
-    Null counts as the empty label.
+    A null label counts as empty. The steps are columns of their own, which the planner keeps apart, so that
+    each is evaluated once however often the next ones use it.
     """
-    raw = strip(F.coalesce(parse, F.lit("")))
-    text, flags = raw, []
-    for i, (pattern, descriptor) in enumerate(PHRASES):
-        text = F.regexp_replace(text, "(?iU)" + pattern, f" \u0001{i} ")
-    for i, (_, descriptor) in enumerate(PHRASES):
-        flags.append(F.when(text.contains(f"\u0001{i}"), descriptor))
-    phrases = F.array_compact(F.array(*flags))
-    words = F.filter(F.split(F.regexp_replace(text, "\u0001[0-9]", " "), r"[\s\p{Z}]+"), lambda w: _bare(w) != "")
-    known = F.create_map(*(x for s, t in tags().items() for x in (F.lit(s), _strings(t))))
+    kept = df.columns
     sides = lambda w: F.filter(F.transform(F.split(_bare(w), "/"), _bare), lambda a: a != "")
+    known = F.create_map(*(x for s, t in tags().items() for x in (F.lit(s), _strings(t))))
     meaning = lambda a: F.try_element_at(known, F.lower(a))
-    said = F.flatten(F.transform(words, lambda w: F.flatten(F.transform(sides(w), lambda a: F.coalesce(meaning(a), _strings([]))))))
-    # said and unknown are built from words that hold no null, so the flattened arrays hold none either
-    unknown = F.flatten(F.transform(words, lambda w: _unread(w, sides(w), meaning)))
-    return _assemble(raw, F.struct(said.alias("said"), unknown.alias("unparsed"), phrases.alias("phrases")), token_type)
 
-
-def _unread(word: Column, sides: Column, meaning) -> Column:
-    odd = F.filter(sides, lambda a: meaning(a).isNull())
+    text = F.col("__raw")
+    for i, (pattern, _) in enumerate(PHRASES):
+        text = F.regexp_replace(text, "(?iU)" + pattern, f" \u0001{i} ")
+    flags = F.array_compact(F.array(*(F.when(F.col("__text").contains(f"\u0001{i}"), d) for i, (_, d) in enumerate(PHRASES))))
+    words = F.filter(F.split(F.regexp_replace("__text", "\u0001[0-9]", " "), r"[\s\p{Z}]+"), lambda w: _bare(w) != "")
+    sided = F.transform(words, lambda w: F.struct(w.alias("word"), sides(w).alias("sides")))
+    read = F.transform("__sided", lambda x: F.struct(x["word"].alias("word"), x["sides"].alias("sides"), F.transform(x["sides"], meaning).alias("means")))
+    said = F.flatten(F.transform("__read", lambda x: F.flatten(F.transform(x["means"], lambda m: F.coalesce(m, _strings([]))))))
+    unread = F.flatten(F.transform("__read", lambda x: _unread(x["word"], x["sides"], F.filter(x["sides"], lambda a, i: F.get(x["means"], i).isNull()))))
+
+    steps = df.withColumn("__raw", strip(F.coalesce(parse, F.lit("")))).withColumn("__text", text)
+    steps = steps.withColumns({"__phrases": flags, "__sided": sided}).withColumn("__read", read).withColumns({"__said": said, "__unread": unread})
+    steps = steps.withColumns({f"__{n}": _of(n) for n in (*DIMENSIONS, "descriptor", "deponent")} | {"__nothing": F.lower("__raw").isin(*NOT_APPLICABLE)})
+    alone = F.size("__tense") + F.size("__voice") + F.size("__person") == 0
+    steps = steps.withColumn("__bare_part", (F.col(token_type) == "particle") & (F.col("__mood") == _strings(["part"])) & alone)
+    steps = steps.withColumn("__mood", F.when(F.col("__bare_part"), _strings([])).otherwise(F.col("__mood")))
+    added = F.when(F.col("__bare_part"), _strings(["particle"])).otherwise(_strings([]))
+    nothing, empty = F.col("__nothing"), _strings([])
+    stated = {d: F.when(~nothing & (F.size(f"__{d}") > 0), F.array_join(F.array_sort(F.array_distinct(f"__{d}")), "|")) for d in DIMENSIONS}
+    found = {
+        "is_deponent": ~nothing & (F.size("__deponent") > 0),
+        "descriptors": F.when(nothing, empty).otherwise(F.array_distinct(F.concat("__phrases", "__descriptor", added))),
+        "unparsed": F.when(nothing, empty).otherwise(F.col("__unread")),
+    }
+    steps = steps.withColumns(stated | found)
+    some, odd, words_only = F.coalesce(*DIMENSIONS).isNotNull(), F.size("unparsed") > 0, F.size("descriptors") > 0
+    status = F.when(nothing, "not_applicable").when(some & odd, "partial").when(some, "ok").when(words_only & ~odd, "descriptive").when(words_only, "partial").otherwise("unparsed")
+    return steps.select(*kept, *DIMENSIONS, status.alias("status"), "is_deponent", "descriptors", "unparsed")
+
+
+def _of(name: str) -> Column:
+    return F.transform(F.filter("__said", lambda t: t.startswith(name + "=")), lambda t: F.substring(t, len(name) + 2, 99))
+
+
+def _unread(word: Column, sides: Column, odd: Column) -> Column:
+    """What of a word was not understood: all of it as written, or the sides that were not."""
     return F.when(F.size(sides) == 0, _strings([])).when(F.size(odd) == F.size(sides), F.array(word)).otherwise(odd)
 
 
-def _assemble(raw: Column, parts: Column, token_type: Column) -> Column:
-    def of(name: str) -> Column:
-        return F.transform(F.filter(parts["said"], lambda t: t.startswith(name + "=")), lambda t: F.substring(t, len(name) + 2, 99))
-
-    nothing = F.lower(raw).isin(*NOT_APPLICABLE)
-    bare_part = (token_type == "particle") & (of("mood") == _strings(["part"])) & (F.size(of("tense")) + F.size(of("voice")) + F.size(of("person")) == 0)
-    values = {d: of(d) for d in DIMENSIONS}
-    values["mood"] = F.when(bare_part, _strings([])).otherwise(values["mood"])
-    stated = {d: F.when(~nothing & (F.size(v) > 0), F.array_join(F.array_sort(F.array_distinct(v)), "|")) for d, v in values.items()}
-    descriptors = F.array_distinct(F.concat(parts["phrases"], of("descriptor"), F.when(bare_part, _strings(["particle"])).otherwise(_strings([]))))
-    some = F.coalesce(*stated.values()).isNotNull()
-    odd, words = F.size(parts["unparsed"]) > 0, F.size(descriptors) > 0
-    status = F.when(nothing, "not_applicable").when(some & odd, "partial").when(some, "ok").when(words & ~odd, "descriptive").when(words, "partial").otherwise("unparsed")
-    empty = _strings([])
-    return F.struct(
-        *(v.alias(d) for d, v in stated.items()),
-        status.alias("status"),
-        (~nothing & (F.size(of("deponent")) > 0)).alias("is_deponent"),
-        F.when(nothing, empty).otherwise(descriptors).alias("descriptors"),
-        F.when(nothing, empty).otherwise(parts["unparsed"]).alias("unparsed"),
-    )
-
-
 def parts(value: Column) -> Column:
     return F.split(value, r"\|")
 
@@ -158,11 +158,15 @@ def missing_voice(m: dict[str, Column], token_type: Column) -> Column:
 def decode_labels(labels: DataFrame) -> DataFrame:
     """labels (parse, type, any case) with the dimensions, status, is_deponent, descriptors, unparsed, signature, form_class, is_verb_form, missing_voice, sort_key."""
     m = {d: F.col(d) for d in DIMENSIONS}
-    flat = labels.withColumn("__m", morph(F.col("parse"), F.col("type"))).select("parse", "type", "__m.*")
+    flat = with_morph(labels.select("parse", "type"))
     return flat.select("*", signature(m).alias("signature"), form_class(m).alias("form_class"), is_verb_form(m, F.col("type")).alias("is_verb_form"), missing_voice(m, F.col("type")).alias("missing_voice"), sort_key(m).alias("sort_key"))
 
 
 def decode(facts: DataFrame) -> DataFrame:
-    """facts with decode_labels' columns; each distinct (parse, type) is decoded once. parse and type must not be null."""
-    labels = small(decode_labels(facts.select("parse", "type").distinct()))
-    return facts.join(labels, ["parse", "type"])
+    """facts with decode_labels' columns. parse and type must not be null.
+
+    Each distinct (parse, type) is decoded once, into a table in the shared folder: the long expression is
+    evaluated and optimised once, and its real size decides whether the join broadcasts it.
+    """
+    labels = cut(decode_labels(facts.select("parse", "type").distinct()), "labels")
+    return facts.join(small(labels), ["parse", "type"])

@@ -17,7 +17,10 @@ from ..functions.vocab import DIMENSIONS
 log = logging.getLogger(__name__)
 FACTS = ["filename", "chapter_index", "chapter_id", "chapter_title", "position", "type", "lemma", "form", "parse"]
 FEATURES = [f"feat_{d}" for d in DIMENSIONS] + ["feat_status", "feat_deponent"]
-RUNS = T.StructType.fromDDL("id string, created_at string, model_id string, filenames array<string>, chapter_count int, token_count bigint, note string")
+RUNS = T.StructType([
+    T.StructField("id", T.StringType()), T.StructField("created_at", T.StringType()), T.StructField("model_id", T.StringType()), T.StructField("filenames", T.ArrayType(T.StringType())),
+    T.StructField("chapter_count", T.IntegerType()), T.StructField("token_count", T.LongType()), T.StructField("note", T.StringType()),
+])
 
 
 class RunStore:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.morphology import morph
+from ..functions.morphology import with_morph
 
 KEY = ["run_id", "chapter_index", "position"]
 
@@ -22,8 +22,7 @@ def once(facts: DataFrame, time: str = "loaded_at", lateness: str = "7 days") ->
 
 def decoded(facts: DataFrame) -> DataFrame:
     """Stateless decoding; labels are decoded per row, as a stream has no distinct."""
-    m = morph(F.coalesce("parse", F.lit("")), F.coalesce("type", F.lit("")))
-    return facts.withColumn("__m", m).select(*facts.columns, "__m.*")
+    return with_morph(facts)
 
 
 def arrivals(facts: DataFrame, time: str = "loaded_at", window: str = "1 day", lateness: str = "7 days") -> DataFrame:

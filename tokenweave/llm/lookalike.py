@@ -160,10 +160,12 @@ def unify_values(values: DataFrame, vocabulary: DataFrame) -> DataFrame:
     becomes the empty string. Rows are kept as often as they occur. Names beside `value` may be any but
     `consistent` and `status`. Python sees only values that the JVM filter can't clear.
     """
-    odd = values.where(suspicious(F.col("value")))
-    done = odd.withColumn("__c", _consistent("value")).where(F.col("__c.form") != F.col("value"))
-    done = done.select(*(F.col(f"`{c}`") for c in values.columns), F.col("__c.form").alias("consistent"), F.col("__c.swapped").alias("__s"))
-    words = vocabulary.where(~suspicious(F.col("value"))).select(F.col("value").alias("__w")).distinct()
-    known = F.when(~F.col("__s"), "form").when(F.col("__w").isNotNull(), "script").otherwise("script_unattested")
-    joined = done.join(words, F.when(F.col("__s"), F.col("consistent")) == F.col("__w"), "left")
-    return joined.withColumn("status", known).drop("__s", "__w")
+    kept = values.columns
+    inner = values.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)))
+    value = F.col(f"c{kept.index('value')}")
+    done = inner.where(suspicious(value)).withColumn("f", _consistent(value)).where(F.col("f.form") != value)
+    words = vocabulary.where(~suspicious(F.col("value"))).select(F.col("value").alias("w")).distinct()
+    swapped = F.col("f.swapped")
+    joined = done.join(words, F.when(swapped, F.col("f.form")) == F.col("w"), "left")
+    status = F.when(~swapped, "form").when(F.col("w").isNotNull(), "script").otherwise("script_unattested")
+    return joined.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), F.col("f.form").alias("consistent"), status.alias("status"))

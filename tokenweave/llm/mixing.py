@@ -29,9 +29,10 @@ def _counter(path: str):
 
 def with_tokens(documents: DataFrame, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """documents without `text` but with `tokens`, the number of its tokens; 0 for a null or empty text."""
-    rest = [f for f in documents.schema.fields if f.name != text]
-    if any(f.name == "tokens" for f in rest):
+    rest = [f.name for f in documents.schema.fields if f.name != text]
+    if "tokens" in rest:
         raise ValueError("rename the column tokens")
+    inner = documents.select(F.col(f"`{text}`").alias("text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
@@ -39,12 +40,12 @@ def with_tokens(documents: DataFrame, text: str, tokenizer: str = TOKENIZER) ->
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokens = _counter(tokenizer)
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.pop("__text")]
+            texts = ["" if t is None else t for t in batch.pop("text")]
             yield batch.assign(tokens=tokens(texts))
 
-    names = [F.col(f"`{f.name}`") for f in rest]
-    schema = documents.select(*names, F.lit(0).cast("long").alias("tokens")).schema
-    return documents.select(*names, F.col(f"`{text}`").alias("__text")).mapInPandas(count, schema)
+    schema = inner.drop("text").withColumn("tokens", F.lit(0).cast("long")).schema
+    counted = inner.mapInPandas(count, schema)
+    return counted.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(rest)), "tokens")
 
 
 def chance(doc_id: Column, seed: int) -> Column:

@@ -20,7 +20,7 @@ from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -54,9 +54,15 @@ class _Lowest:
     def __lt__(self, other):
         return other is not self
 
+    def __le__(self, other):
+        return True
+
     def __gt__(self, other):
         return False
 
+    def __ge__(self, other):
+        return other is self
+
     def __reduce__(self):
         return "LOWEST"
 
@@ -197,8 +203,10 @@ def top_per_group(items: DataFrame, group: list[str], score: str, ties: list[str
     runs = shaped.withColumn("h", F.xxhash64(*gs)).select(*columns).sortWithinPartitions(*columns)
     kinds = dict(runs.dtypes)
     g = 1 + len(gs)
+    if max_fan_in < 2:
+        raise ValueError("max_fan_in must be at least 2")
     if buckets is None:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     width = -(-_SPAN // buckets)
 
     def stored(df: DataFrame, label: str) -> tuple[str, list[str]]:
@@ -216,15 +224,16 @@ def top_per_group(items: DataFrame, group: list[str], score: str, ties: list[str
                     rows.append((no, path, k, stats.min, stats.max))
             yield pd.DataFrame(rows, columns=["no", "path", "rg", "lo", "hi"])
 
-    def plan(files: list[str], fan_in: int | None) -> DataFrame:
-        """One row per merge: the row groups its bucket needs from its set of runs."""
+    def plan(files: list[str], fan_in: int, sets: int) -> DataFrame:
+        """One row and partition per merge: the row groups that its bucket needs from its set of at most fan_in runs."""
         listed = spark.createDataFrame(list(enumerate(files)), "no int, path string").repartition(min(len(files), 4 * buckets))
         found = listed.mapInPandas(footers, "no int, path string, rg int, lo long, hi long")
         of = lambda c: F.expr(f"cast(floor((cast({c} as decimal(20,0)) - {_LOW}) / {width}) as int)")
         spread = found.withColumn("bucket", F.explode(F.sequence(of("lo"), of("hi"))))
-        sets = F.lit(0) if fan_in is None else F.floor(F.col("no") / fan_in).cast("int")
-        grouped = spread.groupBy("bucket", sets.alias("set_no")).agg(F.collect_list(F.struct("path", "rg", "lo", "hi")).alias("parts"))
-        return grouped.repartition(buckets, "bucket", "set_no")
+        run = F.dense_rank().over(Window.partitionBy("bucket").orderBy("no")) - 1
+        placed = spread.withColumn("set_no", F.floor(run / fan_in).cast("int"))
+        grouped = placed.groupBy("bucket", "set_no").agg(F.collect_list(F.struct("path", "rg", "lo", "hi")).alias("parts"))
+        return grouped.repartitionById(buckets * sets, F.col("bucket") * sets + F.col("set_no"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,10 +253,12 @@ def top_per_group(items: DataFrame, group: list[str], score: str, ties: list[str
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
     arrow = to_arrow_schema(schema)
     _, files = stored(runs, "runs")
-    while len(files) > max_fan_in:
-        merged = plan(files, max_fan_in).mapInArrow(merge, schema).drop("place")
+    runs_each = len(files)  # per bucket, at most
+    while runs_each > max_fan_in:
+        runs_each = -(-runs_each // max_fan_in)
+        merged = plan(files, max_fan_in, runs_each).mapInArrow(merge, schema).drop("place")
         _, files = stored(merged, "runs")
     back = [*(F.col(a).alias(c) for c, a in zip(group, gs)), "place", *(F.col(a).alias(c) for c, a in zip(ties, ts)), (-F.col("s")).cast(kinds["s"]).alias(score)]
     if not files:
         return spark.createDataFrame([], schema).select(*back)
-    return plan(files, None).mapInArrow(merge, schema).select(*back)
+    return plan(files, max(1, runs_each), 1).mapInArrow(merge, schema).select(*back)

@@ -63,7 +63,7 @@ def test_against_brute_force(spark, fan_in):
         seen[g, rng.choice([None, "", "p", "π", str(rng.randrange(200))]), rng.choice([None, "x", "y"])] = rng.choice([None, 1, 2, 2, 3, -5])
     rows = [(g, s, a, b) for (g, a, b), s in seen.items()]
     df = spark.createDataFrame(rows, "h string, s long, t0 string, z string").withColumn("extra", F.lit(1)).repartition(9)
-    got = top_per_group(df, ["h"], "s", ["t0", "z"], 3, buckets=5, max_fan_in=fan_in, row_group_bytes=2000)
+    got = top_per_group(df, ["h"], "s", ["t0", "z"], 3, buckets=5, max_fan_in=fan_in, row_group_rows=50)
     assert got.columns == ["h", "place", "t0", "z", "s"]
     assert sorted(((r.h, r.place, r.s, r.t0, r.z) for r in got.collect()), key=str) == brute(rows, 3)
 

@@ -14,10 +14,10 @@ a group, which is exact.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -95,13 +95,14 @@ class Run:
             if self.file is None:
                 self.file = _parquet(self.path)
             data = self.file.read_row_group(no, columns=self.columns)
-            lists = [[LOWEST if v is None else v for v in c.to_pylist()] if c.null_count else c.to_pylist() for c in data.columns]
-            self.at, self.n = bisect_left(lists[0], self.low), bisect_right(lists[0], self.high)
-            self.rows = list(zip(*lists))
-            if self.n < len(self.rows):
+            hashes = data.column(0).to_numpy()
+            first, end = np.searchsorted(hashes, self.low, "left"), np.searchsorted(hashes, self.high, "right")
+            if end < len(hashes):
                 self.left = []
-            if self.at < self.n:
-                self.key = self.rows[self.at]
+            if first < end:
+                lists = [[LOWEST if v is None else v for v in c.to_pylist()] if c.null_count else c.to_pylist() for c in data.slice(first, end - first).columns]
+                self.rows = list(zip(*lists))
+                self.at, self.n, self.key = 0, len(self.rows), self.rows[0]
                 return
         self.file, self.rows, self.key = None, [], None
 
@@ -185,7 +186,7 @@ def merge_top(runs: list, n: int) -> Iterator[tuple[tuple, int]]:
         tree.replay()
 
 
-def top_per_group(items: DataFrame, group: list[str], score: str, ties: list[str], n: int, buckets: int | None = None, max_fan_in: int = 128, row_group_bytes: int = 1 << 20) -> DataFrame:
+def top_per_group(items: DataFrame, group: list[str], score: str, ties: list[str], n: int, buckets: int | None = None, max_fan_in: int = 128, row_group_rows: int = 8192) -> DataFrame:
     """group.., place (from 1), ties.., score: the n rows of each group with the highest score.
 
     Ties go to the smaller values of `ties`, in their order, text by code point. Nulls: a null group part
@@ -211,7 +212,7 @@ def top_per_group(items: DataFrame, group: list[str], score: str, ties: list[str
 
     def stored(df: DataFrame, label: str) -> tuple[str, list[str]]:
         path = fresh_path(spark, label)
-        df.write.option("parquet.block.size", row_group_bytes).option("parquet.page.size", row_group_bytes // 4).parquet(path)
+        df.write.option("parquet.block.row.count.limit", row_group_rows).parquet(path)
         return path, sorted(spark.read.schema(df.schema).parquet(path).inputFiles())
 
     def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

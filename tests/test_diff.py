@@ -3,6 +3,7 @@ import random
 import pytest
 
 from tokenweave.operators.diff import diff_copies
+from tokenweave.operators.repeats import thin_repeats
 
 SCHEMA = "a string, b int, x string, y int, extra string"
 
@@ -66,3 +67,13 @@ def test_against_brute_force_with_a_hot_key_and_long_texts(spark):
     l, r = frames(spark, left, right)
     got = [(x["a"], x["b"], x["diff"]) for x in diff_copies(l.repartition(7), r.repartition(3), ["a", "b"], ["x", "y"]).collect()]
     assert sorted(got) == sorted(expected)
+
+
+def test_hot_keys_are_thinned_to_their_distinct_rows(spark):
+    rows = [("hot", 1, "u", 1, ""), ("hot", 1, "v", 1, ""), (None, None, "u", 1, "")] * 20000 + [(str(i), i, "u", 1, "") for i in range(300)] * 2
+    df = spark.createDataFrame(rows, SCHEMA)
+    thin = thin_repeats(df, ["a", "b"])
+    assert thin.where("a = 'hot'").count() == 2 and thin.where("a is null").count() == 1 and thin.where("b < 300 and a <> 'hot'").count() == 600
+    assert thin_repeats(df.where("a <> 'hot'"), ["a", "b"]).count() == 600
+    left, right = df, spark.createDataFrame([("hot", 1, "w", 1, "")], SCHEMA)
+    assert diff_copies(left, right, ["a", "b"], ["x"]).where("a = 'hot'").collect()[0][2:] == ("x", "u", "w")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.facts import KEY, unique
 from ..session import bounded_rows, cut, small, table
 from .canonical import FeatureList, WordList, list_candidates, map_values
 from .leakage import cleaned, leaks
@@ -15,19 +16,13 @@ from .termstats import mark_terms, term_counts
 from .topn import top_per_group
 from .truncation import score_truncation
 
-KEY = ["run_id", "chapter_index", "position"]
-#: Positions of one chapter that share a partition when rows are made unique; longer chapters are spread.
-BLOCK = 1 << 16
 #: Most rows a reference list may have; it is held by every worker.
 MOST_ENTRIES = 1_000_000
 
 
 def unique_facts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Key and columns of token_facts, repeated rows once. Partitioned by blocks of chapters, which keeps
-    neighbours together in the shuffle and splits a chapter of any size."""
-    rows = table(spark, sf_dir, "token_facts").select(*KEY, *columns, F.floor(F.col("position") / BLOCK).alias("__block"))
-    # the block follows from the position; as a column it tells the planner that rows are where they must be
-    return rows.repartition("run_id", "chapter_index", "__block").dropDuplicates([*KEY, "__block"]).drop("__block")
+    """Key and columns of token_facts, repeated rows once."""
+    return unique(table(spark, sf_dir, "token_facts").select(*KEY, *columns))
 
 
 # 1. Oversized chapters

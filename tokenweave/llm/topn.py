@@ -212,7 +212,7 @@ def top_per_group(items: DataFrame, group: list[str], score: str, ties: list[str
 
     def stored(df: DataFrame, label: str) -> tuple[str, list[str]]:
         path = fresh_path(spark, label)
-        df.write.option("parquet.block.row.count.limit", row_group_rows).parquet(path)
+        df.write.option("parquet.block.row.count.limit", row_group_rows).option("compression", "zstd").parquet(path)
         return path, sorted(spark.read.schema(df.schema).parquet(path).inputFiles())
 
     def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

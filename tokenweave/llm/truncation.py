@@ -125,12 +125,12 @@ def examples(texts: list[str], titles: list[str], seed: int) -> Iterator[tuple[s
             continue
         starts = [0, *ends[:-1]]
         yield text, rng.random() < 0.02, 0
-        for _ in range(3):
+        for turn in range(6):
             k = rng.randrange(len(ends))
             whole = text[: ends[k]].strip()
             bare = whole.rstrip(_MARKS)
             yield _unmarked(whole), rng.random() < 0.02, 0
-            if rng.random() < 0.7:
+            if turn < 3 and rng.random() < 0.7:
                 yield bare + rng.choice(("…", "...", " ...", " …")), False, 0
             if rng.random() < 0.1:
                 yield _unmarked(whole) + rng.choice(("…", "...")), False, 0
@@ -162,11 +162,18 @@ def examples(texts: list[str], titles: list[str], seed: int) -> Iterator[tuple[s
 
 
 class Cutoff:
-    """The fitted classifier: weights of hashed features and the words it takes for whole ones."""
+    """The fitted classifier: weights of hashed features and the words it takes for whole ones.
+
+    An exact check follows the score: a text that ends with its closing mark is complete, whatever its score.
+    """
 
     def __init__(self, weights: np.ndarray, vocabulary: set[str]):
         self.weights, self.vocabulary = weights, vocabulary
 
+    def breaks_off(self, text: str, at_limit: bool, threshold: float = 0.5) -> tuple[float, bool]:
+        score = self.score(text, at_limit)
+        return score, score >= threshold and describe(text, at_limit)[0] != "E"
+
     def score(self, text: str, at_limit: bool) -> float:
         z = float(self.weights[features(text, at_limit, self.vocabulary)].sum())
         return 1.0 / (1.0 + np.exp(-max(-30.0, min(30.0, z))))
@@ -197,12 +204,14 @@ def fit(texts: list[str], titles: list[str], seed: int = SEED, epochs: int = 6)
 
 
 CLOSED = r"(?s)[^.][.!?][\"'”»)]*\s*$"
+#: Texts that lack a closing mark at their end but have some before, unlike headlines and texts without marks.
+OPEN = r"(?s)[.!?].*[^.!?\s]\s*$|\.\.\s*$"
 
 
 def limits(documents: DataFrame, source: str, text: str) -> DataFrame:
     """source, unit (chars or bytes), length: lengths at which a source cuts, from counts over all documents."""
     at = lambda c: F.col(f"`{c}`")
-    sized = documents.where(at(text).isNotNull() & (F.length(at(text)) > 0)).select(at(source).alias("source"), (~at(text).rlike(CLOSED)).cast("int").alias("open"), F.explode(F.create_map(F.lit("chars"), F.length(at(text)), F.lit("bytes"), F.octet_length(at(text)))).alias("unit", "length"))
+    sized = documents.where(at(text).isNotNull() & (F.length(at(text)) > 0)).select(at(source).alias("source"), (~at(text).rlike(CLOSED) & at(text).rlike(OPEN)).cast("int").alias("open"), F.explode(F.create_map(F.lit("chars"), F.length(at(text)), F.lit("bytes"), F.octet_length(at(text)))).alias("unit", "length"))
     counts = sized.groupBy("source", "unit", "length").agg(F.count("*").alias("n"), F.sum("open").alias("open"))
     return counts.where((F.col("open") >= LIMIT_TEXTS) & (F.col("open") >= LIMIT_SHARE * F.col("n"))).select("source", "unit", "length")
 
@@ -217,7 +226,7 @@ def fitted(documents: DataFrame, doc_id: str, text: str, title: str | None = Non
 
 
 def score_truncation(documents: DataFrame, doc_id: str, source: str, text: str, title: str | None = None, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """Every row of documents: doc_id, source, score (that its text breaks off), truncated (score >= threshold).
+    """Every row of documents: doc_id, source, score (that its text breaks off), truncated (score >= threshold and no closing mark at the end).
 
     Null and empty texts score 0. Repeated rows are scored alike; a null source has limits of its own. Extra
     columns are not read. The classifier is fitted when this is called, on a bounded sample; everything else
@@ -238,7 +247,7 @@ def score_truncation(documents: DataFrame, doc_id: str, source: str, text: str,
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fit_ = model.value
         for batch in batches:
-            s = [fit_.score(t, bool(lim)) if t else 0.0 for t, lim in zip(batch["text"], batch["at_limit"])]
-            yield pd.DataFrame({doc_id: batch["doc"], source: batch["source"], "score": s, "truncated": [x >= threshold for x in s]})
+            s = [fit_.breaks_off(t, bool(lim), threshold) if t else (0.0, False) for t, lim in zip(batch["text"], batch["at_limit"])]
+            yield pd.DataFrame({doc_id: batch["doc"], source: batch["source"], "score": [x for x, _ in s], "truncated": [y for _, y in s]})
 
     return marked.mapInPandas(score, out)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives every Python worker this package, once per application, wherever the driver was started from."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    home = Path(__file__).resolve().parent
+    packed = Path(tempfile.mkdtemp(prefix="tokenweave-")) / "tokenweave.zip"  # only the driver reads it, to serve it
+    with zipfile.ZipFile(packed, "w") as z:
+        for path in sorted(home.rglob("*.py")):
+            z.write(path, path.relative_to(home.parent))
+    context.addPyFile(str(packed))
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tokenweave/{label}-{uuid.uuid4().hex}"
 

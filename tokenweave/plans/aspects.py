@@ -1,0 +1,71 @@
+"""Single aspects of the larger reports, each as a query of its own."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import reference
+from ..functions.vocab import DIMENSIONS
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def _project(base: str, columns: tuple[str, ...], where: str | None, spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reference.QUERIES[base](spark, sf_dir)
+    return (rows.where(where) if where else rows).select(*columns)
+
+
+def aspect(name: str, base: str, columns: str, where: str | None = None) -> None:
+    """Some columns, and rows if where says so, of a query that has an oracle. where must mean the same in both dialects."""
+    names = tuple(columns.split())
+    QUERIES[name] = partial(_project, base, names, where)
+    listed = ", ".join(f'"{c}"' for c in names)
+    ORACLES[name] = f"SELECT {listed} FROM ({reference.ORACLES[base]}) AS base" + (f" WHERE {where}" if where else "")
+
+
+LABEL = "parse type "
+aspect("m_not_applicable", "m_decode", LABEL, "status = 'not_applicable'")
+aspect("m_phrases", "m_decode", LABEL + "descriptors", "descriptors <> ''")
+aspect("m_tokenise", "m_decode", LABEL + "unparsed status", "status <> 'not_applicable'")
+aspect("m_slash", "m_decode", LABEL + " ".join(DIMENSIONS), "parse LIKE '%/%'")
+aspect("m_person_number", "m_decode", LABEL + "person number", "person IS NOT NULL")
+aspect("m_deponent", "m_decode", LABEL + "is_deponent voice")
+aspect("m_feature", "m_decode", LABEL + " ".join(DIMENSIONS))
+aspect("m_descriptor", "m_decode", LABEL + "descriptors")
+aspect("m_unmatched", "m_decode", LABEL + "unparsed", "unparsed <> ''")
+aspect("m_particle_fix", "m_decode", LABEL + "mood descriptors", "type = 'particle'")
+aspect("m_ambiguity", "m_decode", LABEL + "voice case number gender person", "signature LIKE '%/%'")
+aspect("m_status", "m_decode", LABEL + "status")
+aspect("m_features", "m_decode", LABEL + " ".join(DIMENSIONS), "signature <> ''")
+aspect("m_is_verb_form", "m_decode", LABEL + "is_verb_form")
+aspect("m_missing_voice", "m_decode", LABEL + "missing_voice")
+aspect("m_signature", "m_decode", LABEL + "signature")
+aspect("m_classify", "m_decode", LABEL + "form_class")
+aspect("m_sort_key", "m_decode", LABEL + "sort_key")
+
+TRACK = "run_id lemma "
+aspect("w_total", "w_span", TRACK + "total")
+aspect("w_chapters", "w_span", TRACK + "chapters chapter_count")
+aspect("w_first", "w_span", TRACK + "first_chapter")
+aspect("w_last", "w_span", TRACK + "last_chapter")
+aspect("w_gap_before", "w_running", TRACK + "chapter_index gap_before")
+aspect("w_count_in", "w_dense", "run_id type chapter_index occ")
+aspect("w_cumulative", "w_dense", "run_id type chapter_index cumulative")
+aspect("w_previous", "w_dense", "run_id type chapter_index previous_chapter")
+aspect("w_next", "w_dense", "run_id type chapter_index next_chapter")
+aspect("ix_voice_gaps", "ix_verb_forms", "run_id chapter_index voice_gaps")
+aspect("ix_deponents", "ix_verb_forms", "run_id chapter_index deponents")
+
+ROW = "run_id chapter_index row_no "
+aspect("ch_representative", "ch_rows", ROW + "lemma parse form form_occ")
+aspect("ch_form_span", "ch_rows", ROW + "lemma form form_first_chapter form_last_chapter")
+aspect("ch_first_last", "ch_rows", ROW + "first_occ_lemma first_occ_parse last_occ_lemma last_occ_parse")
+aspect("gr_scope", "gr_profile_chapter", "run_id chapter_index dimension value occ cumulative", "occ > 0")
+aspect("fc_order", "fc_inventory", "run_id signature order")
+aspect("tx_type", "tx_lemma_rows", TRACK + "type")
+aspect("tx_form", "tx_lemma_rows", TRACK + "form form_count")
+aspect("le_longest_gap", "le_summary", TRACK + "longest_gap")
+aspect("le_filter", "le_kwic", TRACK + "chapter_index position line", "chapter_index = 0")

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BITS = 18
-#: Most texts that the classifier is fitted on, and the seed that picks cuts.
-SAMPLE, SEED = 10000, 11
+#: Most texts that the classifier is fitted on, the most characters each may have, and the seed that picks cuts.
+SAMPLE, SAMPLE_CHARS, SEED = 10000, 4000, 11
 #: A length is a limit of its source if so many texts have it and so large a share of them lacks a closing mark.
 LIMIT_TEXTS, LIMIT_SHARE = 8, 0.6
 
@@ -217,9 +217,9 @@ def limits(documents: DataFrame, source: str, text: str) -> DataFrame:
 
 
 def fitted(documents: DataFrame, doc_id: str, text: str, title: str | None = None, sample: int = SAMPLE) -> Cutoff:
-    """A classifier from at most `sample` intact texts, those with the least hash of their id, and their headlines."""
+    """A classifier from at most `sample` intact texts of at most SAMPLE_CHARS characters, those with the least hash of their id, and their headlines."""
     at = lambda c: F.col(f"`{c}`")
-    intact = documents.where(at(text).rlike(CLOSED)).select(F.xxhash64(at(doc_id)).alias("h"), at(text).alias("text"), (at(title) if title else F.lit(None).cast("string")).alias("title"))
+    intact = documents.where((F.length(at(text)) <= SAMPLE_CHARS) & at(text).rlike(CLOSED)).select(F.xxhash64(at(doc_id)).alias("h"), at(text).alias("text"), (at(title) if title else F.lit(None).cast("string")).alias("title"))
     rows = intact.orderBy("h").limit(sample).collect()
     rows.sort(key=lambda r: (r.h, r.text))
     return fit([r.text for r in rows], [r.title for r in rows if r.title and r.title.strip()])

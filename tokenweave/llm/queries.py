@@ -20,9 +20,10 @@ from .truncation import score_truncation
 MOST_ENTRIES = 1_000_000
 
 
-def unique_facts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Key and columns of token_facts, repeated rows once."""
-    return unique(table(spark, sf_dir, "token_facts").select(*KEY, *columns))
+def unique_facts(spark: SparkSession, sf_dir: str, *columns: str, whole: bool = False) -> DataFrame:
+    """Key and columns of token_facts, repeated rows once; whole leaves out rows with a null in columns."""
+    rows = table(spark, sf_dir, "token_facts").select(*KEY, *columns)
+    return unique(rows.dropna(subset=list(columns)) if whole else rows)
 
 
 # 1. Oversized chapters
@@ -117,7 +118,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three most frequent (parse, form) of every run and lemma, with their counts."""
-    rows = unique_facts(spark, sf_dir, "lemma", "parse", "form").dropna(subset=["lemma", "parse", "form"])
+    rows = unique_facts(spark, sf_dir, "lemma", "parse", "form", whole=True)
     pairs = rows.groupBy("run_id", "lemma", "parse", "form").agg(F.count("*").alias("n"))
     return top_per_group(pairs, ["run_id", "lemma"], "n", ["parse", "form"], 3)
 

@@ -69,3 +69,11 @@ aspect("tx_type", "tx_lemma_rows", TRACK + "type")
 aspect("tx_form", "tx_lemma_rows", TRACK + "form form_count")
 aspect("le_longest_gap", "le_summary", TRACK + "longest_gap")
 aspect("le_filter", "le_kwic", TRACK + "chapter_index position line", "chapter_index = 0")
+aspect("w_chapter_count", "w_span", TRACK + "chapter_count")
+aspect("gr_profile", "gr_profile_text", "run_id dimension value occ cumulative first_chapter last_chapter chapter_count stated")
+aspect("gr_drop_dim", "gr_stated", "run_id dimension")
+aspect("ix_chapter_access", "ix_iter", "run_id chapter_index position lemma form", "chapter_index = 0")
+aspect("scan_index", "ix_totals", "run_id tokens lemmas forms parses")
+aspect("le_missing", "le_summary", TRACK + "total", "lemma = 'no such lemma'")
+aspect("ui_share", "ui_progress_cols", "run_id chapter_index new_share")
+aspect("run_migrate", "run_reindex", "run_id chapter_index position feat_tense feat_degree feat_status feat_deponent")

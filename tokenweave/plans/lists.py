@@ -389,6 +389,36 @@ def src_lexicon_csv(spark, d):
     return rows.select("rank", nfc(F.col("lemma")).alias("lemma"), F.coalesce("kind", F.lit("")).alias("kind"))
 
 
+@query("src_alias_csv", "SELECT DISTINCT nfc_normalize(variant) AS variant, nfc_normalize(lemma) AS lemma FROM (SELECT regexp_replace(variant, '^[" + _S + "]+|[" + _S + "]+$', '', 'g') AS variant, lemma FROM greek_core_5k_aliases) WHERE variant <> '' AND lemma <> ''")
+def src_alias_csv(spark, d):
+    """The aliases in composed form, blank ones left out, as their loader gives them."""
+    from ..functions.unicode import nfc
+
+    rows = table(spark, d, "greek_core_5k_aliases").select(strip("variant").alias("variant"), strip("lemma").alias("lemma")).where("variant <> '' and lemma <> ''")
+    return rows.select(nfc(F.col("variant")).alias("variant"), nfc(F.col("lemma")).alias("lemma")).distinct()
+
+
+@query("src_provider", f"w AS (SELECT run_id, chapter_index, list_filter(string_split_regex({_STRIPPED}, '[{_S}]+'), lambda x: x <> '') AS ws FROM c) SELECT run_id, chapter_index, CAST(len(ws) AS INTEGER) AS tokens FROM w", _T)
+def src_provider(spark, d):
+    """A provider written in Python, run once per chapter in parallel: here every word is a token."""
+    analysed = tx.provide(_cleaned(spark, d).select(RUN, "chapter_index", "title", "text"), lambda text, title: [("noun", w, w, "-") for w in text.split()])
+    return analysed.select(RUN, "chapter_index", F.size("tokens").alias("tokens"))
+
+
+@query("src_json_extract")
+def src_json_extract(spark, d):
+    """The first JSON array inside a model's answer for each chapter."""
+    answers = tx.word_provider(_cleaned(spark, d)).select(RUN, "chapter_index", F.concat(F.lit("Answer: "), F.to_json("tokens"), F.lit(" -- end]")).alias("raw"))
+    return answers.select(RUN, "chapter_index", F.length(tx.json_array(F.col("raw"))).alias("characters"))
+
+
+@query("src_stem_title", "z AS (SELECT 1), k AS (SELECT *, count(*) OVER (PARTITION BY run_id, filename) AS n FROM t) SELECT run_id, chapter_index, CASE WHEN n = 1 AND title = 'Document' THEN regexp_replace(filename, '(.)\\.[^.]*$', '\\1') ELSE coalesce(title, '') END AS title FROM k", _T)
+def src_stem_title(spark, d):
+    """Titles, where a file's only chapter `Document` takes the name of its file."""
+    sections = _texts(spark, d).select(RUN, "filename", F.col("chapter_index").alias("section_no"), F.coalesce("title", F.lit("")).alias("title"), F.col("chapter_index").cast("string").alias("text"))
+    return tx.arrange(sections).select(RUN, F.col("text").cast("int").alias("chapter_index"), "title")
+
+
 @query("sink_json", "SELECT CAST(count(DISTINCT run_id) AS BIGINT) AS runs FROM token_facts")
 def sink_json(spark, d):
     """The number of runs in a JSON report of the totals."""

@@ -79,6 +79,47 @@ def m_feature_label(spark, d):
     return labels.select(pairs.alias("p")).select("p.*").where("value is not null").distinct()
 
 
+def _labels(spark, d):
+    return mo.decode_labels(load_facts(spark, d, "type", "parse").select("parse", "type").distinct())
+
+
+@query("m_has", "SELECT parse, type, list_contains(string_split(coalesce(\"case\", ''), '|'), 'nom') AS nominative, list_contains(string_split(coalesce(voice, ''), '|'), 'pass') AS passive FROM m", DECODED)
+def m_has(spark, d):
+    """Labels that have a reading, alone or among others."""
+    return _labels(spark, d).select("parse", "type", mo.has(F.col("case"), "nom").alias("nominative"), mo.has(F.col("voice"), "pass").alias("passive"))
+
+
+@query("m_is_verbal", "SELECT parse, type, coalesce(tense, mood, voice) IS NOT NULL AS verbal FROM m", DECODED)
+def m_is_verbal(spark, d):
+    return _labels(spark, d).select("parse", "type", mo.is_verbal({x: F.col(x) for x in DIMENSIONS}).alias("verbal"))
+
+
+@query("m_is_nominal", 'SELECT parse, type, "case" IS NOT NULL AS nominal FROM m', DECODED)
+def m_is_nominal(spark, d):
+    return _labels(spark, d).select("parse", "type", mo.is_nominal({x: F.col(x) for x in DIMENSIONS}).alias("nominal"))
+
+
+def _abbr_sql(d: str, dot: str) -> str:
+    values = ", ".join(f"'{v}'" for v in grammar.VALUES[d])
+    return f"array_to_string(list_transform(list_filter([{values}], lambda v: list_contains(string_split(\"{d}\", '|'), v)), lambda v: v || '{dot}'), '/')"
+
+
+@query("m_feature_abbr", f'SELECT DISTINCT "case", {_abbr_sql("case", ".")} AS case_abbr, gender, {_abbr_sql("gender", ".")} AS gender_abbr FROM m WHERE "case" IS NOT NULL AND gender IS NOT NULL', DECODED)
+def m_feature_abbr(spark, d):
+    rows = _labels(spark, d).where("`case` is not null and gender is not null")
+    return rows.select("case", mo.feature_abbr("case", F.col("case")).alias("case_abbr"), "gender", mo.feature_abbr("gender", F.col("gender")).alias("gender_abbr")).distinct()
+
+
+@query("m_person_abbr", f"SELECT DISTINCT person, {_abbr_sql('person', '')} AS person_abbr FROM m WHERE person IS NOT NULL", DECODED)
+def m_person_abbr(spark, d):
+    return _labels(spark, d).where("person is not null").select("person", mo.person_abbr(F.col("person")).alias("person_abbr")).distinct()
+
+
+@query("m_paradigm_rank", "SELECT DISTINCT tense, CAST(list_position(['pres', 'impf', 'fut', 'aor', 'perf', 'plup'], string_split(tense, '|')[1]) - 1 AS INTEGER) AS rank FROM m WHERE tense IS NOT NULL AND tense NOT LIKE '%|%'", DECODED)
+def m_paradigm_rank(spark, d):
+    return _labels(spark, d).where("tense is not null and tense not like '%|%'").select("tense", mo.paradigm_rank("tense", F.col("tense")).alias("rank")).distinct()
+
+
 # Grouped dimensions
 
 for _name, _keys in {"ix_lemma": ["lemma"], "ix_parse": ["lemma", "parse"], "ix_form": ["lemma", "form"], "ix_form_parse": ["lemma", "parse", "form"], "ix_type": ["type"]}.items():
@@ -571,3 +612,40 @@ def sql_adhoc(spark, d):
 def run_reindex(spark, d):
     """The feature columns as the decoder of today would store them."""
     return _decoded(spark, d).select(RUN, "chapter_index", "position", *(F.col(x).alias(f"feat_{x}") for x in DIMENSIONS), F.col("status").alias("feat_status"), F.col("is_deponent").cast("int").alias("feat_deponent"))
+
+
+def _newest(spark, d):
+    return unique_runs(spark, d).agg(F.max_by("id", "created_at").alias(RUN))
+
+
+@query("run_get", f", r AS ({_RUNS}), z AS (SELECT arg_max(id, created_at) AS id FROM r) SELECT id, created_at, model_id, chapter_count, token_count, note FROM r SEMI JOIN z USING (id)")
+def run_get(spark, d):
+    """One run by its id."""
+    return unique_runs(spark, d).join(_newest(spark, d).withColumnRenamed(RUN, "id"), "id", "left_semi").select("id", "created_at", "model_id", "chapter_count", "token_count", "note")
+
+
+_NEWEST = f", r AS ({_RUNS}), z AS (SELECT arg_max(id, created_at) AS run_id FROM r)"
+
+
+@query("scan_facts", _NEWEST + " SELECT chapter_index, position, type, lemma, form, parse FROM f SEMI JOIN z USING (run_id)")
+def scan_facts(spark, d):
+    """The facts of one run in reading order."""
+    rows = _facts(spark, d).join(F.broadcast(_newest(spark, d)), RUN, "left_semi")
+    return rows.select("chapter_index", "position", "type", "lemma", "form", "parse").orderBy("chapter_index", "position")
+
+
+@query("run_delete", _NEWEST + " SELECT run_id, CAST(count(*) AS BIGINT) AS tokens FROM f ANTI JOIN z USING (run_id) GROUP BY 1")
+def run_delete(spark, d):
+    """What is left of the facts once one run is gone."""
+    rows = load_facts(spark, d, "lemma").join(F.broadcast(_newest(spark, d)), RUN, "left_anti")
+    return rows.groupBy(RUN).agg(F.count("*").alias("tokens"))
+
+
+@query("sink_filename", f""", r AS ({_RUNS}), n AS (SELECT id, from_json(filenames, '["VARCHAR"]') AS fs, replace(substr(replace(substr(created_at, 1, 16), 'T', '-'), 1, 16), ':', '') AS st FROM r)
+SELECT id, 'tokenweave-' || CASE WHEN len(fs) = 1 THEN coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(fs[1], '(?i)[.]docx$', ''), '[^\\p{{L}}\\p{{N}}_]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'report') ELSE len(fs) || '-files' END || '-' || replace(substr(st, 1, 10), '-', '') || substr(st, 11) || '.xlsx' AS name FROM n""")
+def sink_filename(spark, d):
+    """The name that an export of each run would bear, with the minute of the run."""
+    from ..sources.sinks import export_name_column
+
+    rows = unique_runs(spark, d).select("id", F.from_json("filenames", "array<string>").alias("f"), F.to_timestamp(F.substring("created_at", 1, 16), "yyyy-MM-dd'T'HH:mm").alias("t"))
+    return rows.select("id", export_name_column(F.col("f"), F.col("t")).alias("name"))

@@ -94,5 +94,8 @@ def export_name(filenames: list[str], now: datetime.datetime | None = None, pref
     return f"{prefix}-{name or 'report'}-{stamp}.xlsx"
 
 
-def stamp(column: Column) -> Column:
-    return F.date_format(column, "yyyyMMdd-HHmm")
+def export_name_column(filenames: Column, time: Column, prefix: str = "tokenweave") -> Column:
+    """export_name() over columns."""
+    one = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.get(filenames, F.lit(0)), r"(?i)\.docx\z", ""), r"(?U)\W+", "-"), "^-+|-+$", "")
+    name = F.when(F.size(filenames) == 1, one).otherwise(F.concat(F.size(filenames).cast("string"), F.lit("-files")))
+    return F.concat(F.lit(prefix + "-"), F.when(name == "", "report").otherwise(name), F.lit("-"), F.date_format(time, "yyyyMMdd-HHmm"), F.lit(".xlsx"))

@@ -3,7 +3,8 @@
 1. Scored items, unique per (group, item), are spread over tasks without regard to groups, so a group of
    any size is shared by all of them. Each task sorts its items by group and score and stores them as one run
    (a Parquet file of small row groups) in the shared folder.
-2. Groups are bucketed by ranges of a 64-bit hash, the leading sort key. From the runs' footers a table of
+2. Groups are bucketed by ranges of a 32-bit hash, the leading sort key (groups that share a hash stay apart by what
+   follows it). From the runs' footers a table of
    (bucket, run, row groups) is built, so that a merge task reads what its bucket needs and no more.
 3. One task per bucket merges its runs with a loser tree. After N items of a group every run seeks to its
    next group: past rows by galloping, past row groups by their statistics, unread.
@@ -27,8 +28,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import fresh_path
 
-_SPAN = 1 << 64
-_LOW = -(1 << 63)
+_SPAN = 1 << 32
+_LOW = -(1 << 31)
 
 
 def _open(path: str):
@@ -186,7 +187,7 @@ def merge_top(runs: list, n: int) -> Iterator[tuple[tuple, int]]:
         tree.replay()
 
 
-def top_per_group(items: DataFrame, group: list[str], score: str, ties: list[str], n: int, buckets: int | None = None, max_fan_in: int = 128, row_group_rows: int = 8192) -> DataFrame:
+def top_per_group(items: DataFrame, group: list[str], score: str, ties: list[str], n: int, buckets: int | None = None, max_fan_in: int = 128, row_group_rows: int = 32768) -> DataFrame:
     """group.., place (from 1), ties.., score: the n rows of each group with the highest score.
 
     Ties go to the smaller values of `ties`, in their order, text by code point. Nulls: a null group part
@@ -201,7 +202,7 @@ def top_per_group(items: DataFrame, group: list[str], score: str, ties: list[str
     gs, ts = [f"g{i}" for i in range(len(group))], [f"t{i}" for i in range(len(ties))]
     shaped = items.select(*(at(c).alias(a) for c, a in zip(group, gs)), (-at(score)).alias("s"), at(score).isNull().alias("z"), *(at(c).alias(a) for c, a in zip(ties, ts)))
     columns = ["h", *gs, "z", "s", *ts]
-    runs = shaped.withColumn("h", F.xxhash64(*gs)).select(*columns).sortWithinPartitions(*columns)
+    runs = shaped.withColumn("h", F.hash(*gs)).select(*columns).sortWithinPartitions(*columns)
     kinds = dict(runs.dtypes)
     g = 1 + len(gs)
     if max_fan_in < 2:
@@ -212,7 +213,7 @@ def top_per_group(items: DataFrame, group: list[str], score: str, ties: list[str
 
     def stored(df: DataFrame, label: str) -> tuple[str, list[str]]:
         path = fresh_path(spark, label)
-        df.write.option("parquet.block.row.count.limit", row_group_rows).option("compression", "zstd").parquet(path)
+        df.write.option("parquet.block.row.count.limit", row_group_rows).option("compression", "zstd").option("parquet.compression.codec.zstd.level", 6).parquet(path)
         return path, sorted(spark.read.schema(df.schema).parquet(path).inputFiles())
 
     def footers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -74,3 +74,8 @@ def test_repeated_items_and_empty_input(spark):
     assert top_per_group(df.limit(0), ["g"], "s", ["t"], 3).count() == 0
     with pytest.raises(ValueError):
         top_per_group(df.withColumnRenamed("t", "place"), ["g"], "s", ["place"], 3)
+
+
+def test_groups_that_share_a_hash_stay_apart():
+    runs = [ListRun([(7, "a", 1), (7, "a", 3), (7, "a", 5), (7, "b", 1), (9, "a", 1)], 2), ListRun([(7, "a", 2), (7, "b", 0), (7, "c", 4)], 2)]
+    assert [(*row, place) for row, place in merge_top(runs, 2)] == [(7, "a", 1, 1), (7, "a", 2, 2), (7, "b", 0, 1), (7, "b", 1, 2), (7, "c", 4, 1), (9, "a", 1, 1)]

@@ -30,6 +30,11 @@ def test_fold_key(a, b, same):
     assert (keys.fold_key_of(a) == keys.fold_key_of(b)) == same
 
 
+def test_a_capital_without_composed_form_matches_by_its_folded_key():
+    assert keys.match_key_of("Υ\u0313φος") != keys.match_key_of("\u1f50φος")
+    assert keys.fold_key_of("Υ\u0313φος") == keys.fold_key_of("\u1f50φος")
+
+
 def test_keys_as_columns(spark):
     df = spark.createDataFrame([("Ὅς2",), (None,), ("",), ("Γρηγόριος",), ("λόγος",)], "l string")
     got = df.select("l", keys.match_key(F.col("l")).alias("m"), keys.is_proper(F.col("l")).alias("p"), keys.search_fold(F.col("l")).alias("s")).collect()

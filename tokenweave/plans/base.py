@@ -96,4 +96,4 @@ def match_key(x: str) -> str:
 
 
 def fold_key(x: str) -> str:
-    return f"replace(replace(regexp_replace({match_key(x)}, 'γ([{_FOLD_I}])γν', 'γ\\1ν', 'g'), 'ττ', 'σσ'), 'ρρ', 'ρσ')"
+    return f"replace(replace(regexp_replace(nfc_normalize({match_key(x)}), 'γ([{_FOLD_I}])γν', 'γ\\1ν', 'g'), 'ττ', 'σσ'), 'ρρ', 'ρσ')"

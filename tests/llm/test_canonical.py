@@ -3,6 +3,7 @@ import random
 import pytest
 
 from tokenweave.llm.canonical import FeatureList, Trie, WordList, _apart, letters, list_candidates, map_values
+from tokenweave.llm.queries import p6_candidates
 
 LABELS = ["nom. sg. masc.", "nom./acc. sg. neut.", "pres. act. ind. 3sg", "pres. ind. 3sg", "pres. mid./pass. ind. 3pl", "pres. act. inf.", "aor. act. part. nom. sg. masc.", "adv.", "particle"]
 
@@ -55,3 +56,41 @@ def test_operators(spark):
     assert got == sorted([("lemma", "λογος", "λόγος"), ("lemma", "λογος", "λόγος"), ("parse", "Adverb", "adv."), ("lemma", None, "")], key=str)
     assert map_values(df.limit(0), {}).count() == 0
     assert [tuple(r) for r in list_candidates(df.where("field = 'lemma'").limit(1), words).collect()] == [("λογος", "λόγος", 0)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_candidates_against_brute_force(seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(1, 10)))
+    entries, variants = sorted({word() for _ in range(80)}), sorted({word() for _ in range(80)})
+    aliases = [(v, rng.choice(entries)) for v in variants]
+    words = WordList(entries, aliases, ((1, 0), (3, 1), (5, 2), (8, 3)))
+    for _ in range(80):
+        sought, best = word(), {}
+        for w, e in [(e, e) for e in entries] + aliases:
+            if (d := _apart(sought, w)) <= words.most(sought):
+                best[e] = min(d, best.get(e, d))
+        assert {entries[i]: d for i, d in words.candidates(sought)} == best
+
+
+def test_candidates_by_alias_and_length(spark):
+    bands = ((1, 1), (8, 2))
+    words = WordList(["λόγος", "ἄνθρωπος", "θεός", "2"], [("παρμιδεμώφος", "λόγος"), ("παρμιδεμώφος", "θεός"), ("θέλω", "ἐθέλω"), ("ἀνθρώπος", "ἄνθρωπος"), ("***", "θεός")], bands)
+    names = lambda v: [(words.entries[e], d) for e, d in words.candidates(v)]
+    assert names("παρμιδεμώφος") == [("λόγος", 0), ("θεός", 0)] and names("παρμιδεμφω") == []
+    assert names("παρμιδεμώφ") == [("λόγος", 2), ("θεός", 2)] and names("θέλω") == []
+    assert names("ἄνθπος") == [] and names("ἄνθρωποςις") == [("ἄνθρωπος", 2)] and names("λόγοςις") == []
+    assert ("θεός", 0) in names("***") and names("2") == [("2", 0)] and names("") == []
+    assert words.closest("παρμιδεμώφος") == "λόγος" and words.closest("παρμιδεμώφο") == ""
+    df = spark.createDataFrame([("παρμιδεμώφος",)], "entered string")
+    assert sorted(map(tuple, list_candidates(df, words).collect())) == [("παρμιδεμώφος", "θεός", 0), ("παρμιδεμώφος", "λόγος", 0)]
+
+
+def test_query_of_candidates_has_aliases_and_bands(spark, tmp_path):
+    facts = [("r", "παρμιδεμώφος", "adv."), ("r", "ἄνθρωποςις", "adv.")]
+    spark.createDataFrame(facts, "run_id string, lemma string, parse string").write.parquet(f"{tmp_path}/token_facts.parquet")
+    spark.createDataFrame([(1, "λόγος"), (2, "ἄνθρωπος")], "rank int, lemma string").write.parquet(f"{tmp_path}/lexicon_entries.parquet")
+    spark.createDataFrame([("παρμιδεμώφος", "λόγος")], "variant string, lemma string").write.parquet(f"{tmp_path}/greek_core_5k_aliases.parquet")
+    spark.createDataFrame([(1, "adv.")], "label_id int, label string").write.parquet(f"{tmp_path}/parse_labels.parquet")
+    got = sorted(map(tuple, p6_candidates(spark, str(tmp_path)).collect()))
+    assert got == sorted([("παρμιδεμώφος", "λόγος", 0), ("ἄνθρωποςις", "ἄνθρωπος", 2)])

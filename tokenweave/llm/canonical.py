@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import product
 
 import pandas as pd
@@ -37,8 +37,11 @@ class Trie:
         if entry not in found:
             found.append(entry)
 
-    def within(self, word: str, slips: int) -> dict[int, int]:
-        """Entry -> distance, for every entry at most `slips` insertions, losses, changes or swaps away."""
+    def within(self, word: str, slips: int, floors: dict[int, int] | None = None) -> dict[int, int]:
+        """Entry -> distance, for every entry at most `slips` insertions, losses, changes or swaps away.
+
+        floors: number of slips -> letters of word that have to be behind when so many are made.
+        """
         n = len(word)
         done = 1 << n
         at: dict[str, int] = {}
@@ -55,7 +58,8 @@ class Trie:
             start.append(mask)
         out: dict[int, int] = {}
         full = (done << 1) - 1
-        todo = [(self.root, [m & full for m in start], "", None)]
+        allow = [full & -1 << (floors or {}).get(e, 0) for e in range(slips + 1)]
+        todo = [(self.root, [m & a for m, a in zip(start, allow)], "", None)]
         while todo:
             node, states, last, before = todo.pop()
             for ch, child in node.items():
@@ -75,7 +79,7 @@ class Trie:
                     m = (states[e] & eq) << 1 | less | less << 1 | new[e - 1] << 1
                     if before is not None and (swap := swaps.get((last, ch))):
                         m |= (before[e - 1] & swap) << 2
-                    m &= full
+                    m &= allow[e]
                     new.append(m)
                     alive |= m
                 if alive:
@@ -108,7 +112,7 @@ class WordList:
     """A reference list of words: entries in order of rank, and aliases (variant, entry)."""
 
     def __init__(self, entries: list[str], aliases: list[tuple[str, str]], slips: tuple[tuple[int, int], ...] = ((1, 1),)):
-        """slips: (shortest length in letters, most slips) in rising order."""
+        """slips: (shortest length in letters, most slips) in rising order, for candidates and closest alike."""
         self.entries, self.slips = entries, slips
         number = {}
         for i, e in enumerate(entries):
@@ -122,14 +126,48 @@ class WordList:
                 self.alias.setdefault(look(variant), number[entry])
         self.trie = Trie((letters(e), i) for e, i in number.items())
         self.paths = Trie((v, i) for v, i in self.alias.items())
+        self.ways = [(letters(e), i) for e, i in number.items()]
+        self.ways += [(v, number[e]) for v, e in ((letters(v), e) for v, e in aliases if e in number) if v]
+
+    @cached_property
+    def _both(self) -> tuple[Trie, Trie]:
+        """Entries and alias variants in letters, read forwards and backwards."""
+        return Trie(self.ways), Trie((w[::-1], i) for w, i in self.ways)
+
+    def _by_ways(self, word: str, slips: int) -> dict[int, int]:
+        """Entry -> distance, by the entry itself or a variant, whichever is nearer.
+
+        Either the last of `slips` slips is made in the second half of word, or that half has none. So the search
+        forwards leaves out the last slip at first, and the search backwards begins without any: the same result
+        as one search with all slips from the start, without its many branches near the root.
+        """
+        half = len(word) // 2
+        found = self._both[0].within(word, slips, {slips: half} if slips else None)
+        if slips and half:
+            floor = len(word) - half + 1
+            for i, d in self._both[1].within(word[::-1], slips, dict.fromkeys(range(1, slips + 1), floor)).items():
+                found[i] = min(d, found.get(i, d))
+        return found
 
     def most(self, word: str) -> int:
         return max([0, *(k for n, k in self.slips if len(word) >= n)])
 
-    def candidates(self, value: str) -> list[tuple[int, int]]:
-        """(entry, distance) of every entry within the distance for the value's length."""
+    def near(self, value: str) -> dict[int, int]:
+        """Entry -> distance, for every entry within the distance for the value's length, aliases aside."""
         word = letters(value)
-        return sorted(self.trie.within(word, self.most(word)).items()) if word else []
+        return self.trie.within(word, self.most(word)) if word else {}
+
+    def candidates(self, value: str) -> list[tuple[int, int]]:
+        """(entry, distance) of every entry that itself or by an alias variant is within the distance for the value's length.
+
+        An entry reached in several ways has the least of their distances. An entry or a variant of the same look is at 0.
+        """
+        seen, word = look(value), letters(value)
+        found = self._by_ways(word, self.most(word)) if word else {}
+        for i in (self.exact.get(seen), self.alias.get(seen)):
+            if i is not None:
+                found[i] = 0
+        return sorted(found.items())
 
     def closest(self, value: str) -> str:
         """The entry that value stands for, or the empty string.
@@ -143,11 +181,11 @@ class WordList:
             hit = self.paths.within(seen, 0)
             i = min(hit) if hit else None
         if i is None:
-            near = self.candidates(value)
+            near = self.near(value)
             if not near:
                 return ""
-            least = min(d for _, d in near)
-            best = [e for e, d in near if d == least]
+            least = min(near.values())
+            best = sorted(e for e, d in near.items() if d == least)
             i = best[0] if len(best) == 1 else min(best, key=lambda e: (_apart(unicodedata.normalize("NFD", seen), unicodedata.normalize("NFD", self.entries[e])), e))
         return self.entries[i]
 
@@ -289,7 +327,7 @@ def map_values(values: DataFrame, finders: dict[str, Callable[[str], str]]) -> D
 
 
 def list_candidates(values: DataFrame, words: WordList) -> DataFrame:
-    """entered, entry, distance: all entries within the distance that the length of a value allows."""
+    """entered, entry, distance: all entries within the distance that the length of a value allows, alias variants counted in."""
     shared = values.sparkSession.sparkContext.broadcast(words)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,6 +18,8 @@ from .truncation import score_truncation
 
 #: Most rows a reference list may have; it is held by every worker.
 MOST_ENTRIES = 1_000_000
+#: p6_candidates: shortest length in letters and most slips from there on. p6_found has one slip at any length, by its definition.
+CANDIDATE_SLIPS = ((1, 1), (8, 2))
 
 
 def unique_facts(spark: SparkSession, sf_dir: str, *columns: str, whole: bool = False) -> DataFrame:
@@ -144,11 +146,11 @@ def _entered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.where(~unsaid).join(listed, ["field", "entered"], "left_anti").distinct()
 
 
-def _finders(spark: SparkSession, sf_dir: str) -> tuple[WordList, FeatureList]:
+def _finders(spark: SparkSession, sf_dir: str, slips: tuple[tuple[int, int], ...] = ((1, 1),)) -> tuple[WordList, FeatureList]:
     entries = bounded_rows(table(spark, sf_dir, "lexicon_entries").where("lemma is not null").select("rank", "lemma").orderBy("rank"), MOST_ENTRIES, "lexicon_entries")
     aliases = bounded_rows(table(spark, sf_dir, "greek_core_5k_aliases").select("variant", "lemma").dropna().distinct(), MOST_ENTRIES, "greek_core_5k_aliases")
     labels = bounded_rows(table(spark, sf_dir, "parse_labels").where("label is not null").orderBy("label_id").select("label"), MOST_ENTRIES, "parse_labels")
-    return WordList([r.lemma for r in entries], [tuple(r) for r in aliases]), FeatureList([r.label for r in labels])
+    return WordList([r.lemma for r in entries], [tuple(r) for r in aliases], slips), FeatureList([r.label for r in labels])
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,8 +161,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every lexicon entry within the distance of each distinct entered lemma."""
-    words, _ = _finders(spark, sf_dir)
+    """Every lexicon entry that itself or by an alias is within the distance of each distinct entered lemma."""
+    words, _ = _finders(spark, sf_dir, CANDIDATE_SLIPS)
     return list_candidates(_entered(spark, sf_dir).where("field = 'lemma'").select("entered").distinct(), words)
 
 # 7. Test items in documents

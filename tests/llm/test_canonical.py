@@ -3,7 +3,7 @@ import random
 import pytest
 
 from tokenweave.llm.canonical import FeatureList, Trie, WordList, _apart, letters, list_candidates, map_values
-from tokenweave.llm.queries import p6_candidates
+from tokenweave.llm.queries import p6_candidates, p6_found
 
 LABELS = ["nom. sg. masc.", "nom./acc. sg. neut.", "pres. act. ind. 3sg", "pres. ind. 3sg", "pres. mid./pass. ind. 3pl", "pres. act. inf.", "aor. act. part. nom. sg. masc.", "adv.", "particle"]
 
@@ -94,3 +94,13 @@ def test_query_of_candidates_has_aliases_and_bands(spark, tmp_path):
     spark.createDataFrame([(1, "adv.")], "label_id int, label string").write.parquet(f"{tmp_path}/parse_labels.parquet")
     got = sorted(map(tuple, p6_candidates(spark, str(tmp_path)).collect()))
     assert got == sorted([("παρμιδεμώφος", "λόγος", 0), ("ἄνθρωποςις", "ἄνθρωπος", 2)])
+
+
+def test_only_whole_labels_say_nothing(spark, tmp_path):
+    labels = ["-", "n/a", "", " ", "\u00a0", "\n", "\u0085", "\u2028", "-\n", "n/a\u2028", "adv.\n", None]
+    spark.createDataFrame([("r", None, p) for p in labels], "run_id string, lemma string, parse string").write.parquet(f"{tmp_path}/token_facts.parquet")
+    spark.createDataFrame([(1, "λόγος")], "rank int, lemma string").write.parquet(f"{tmp_path}/lexicon_entries.parquet")
+    spark.createDataFrame([("v", "λόγος")], "variant string, lemma string").write.parquet(f"{tmp_path}/greek_core_5k_aliases.parquet")
+    spark.createDataFrame([(1, "adv.")], "label_id int, label string").write.parquet(f"{tmp_path}/parse_labels.parquet")
+    got = sorted((r.entered, r.canonical) for r in p6_found(spark, str(tmp_path)).collect())
+    assert got == [("-\n", ""), ("adv.\n", "adv."), ("n/a\u2028", "")]

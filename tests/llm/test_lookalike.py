@@ -60,3 +60,13 @@ def test_operator(spark):
     assert got == [("1", "λόγος", "script"), ("1", "λόγος", "script"), ("4", "θο", "script_unattested"), ("6", "λόγος", "form"), ("7", "z" * 9, "form")]
     assert unify_values(df.limit(0), df.select("value")).count() == 0
     assert unify_values(df, df.select("value").limit(0)).count() == 5
+
+
+def test_line_breaks_at_the_end_are_found(spark):
+    ends = ["\n", "\r", "\r\n", "\u0085", "\u2028", "\u2029"]
+    rows = [(f"{w}{i}", w + e) for w in ("λόγος", "abc") for i, e in enumerate(ends)] + [("clean", "λόγος"), ("clean", "abc")]
+    df = spark.createDataFrame(rows, "row_key string, value string")
+    got = sorted((r.row_key, r.consistent) for r in unify_values(df, df.select("value")).collect())
+    assert got == sorted((k, k[:-1]) for k, _ in rows if k != "clean")
+    mixed = spark.createDataFrame([("m", "λόγoς")], "row_key string, value string")  # a word with a line break attests nothing
+    assert [r.status for r in unify_values(mixed, df.where("value like 'λόγος_'").select("value")).collect()] == ["script_unattested"]

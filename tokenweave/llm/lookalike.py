@@ -131,7 +131,8 @@ def _safe_letter(ch: str) -> bool:
 _NO_LETTERS = r"!-@\[-`{-~"
 _GREEK = char_class(_safe_letter, [(0x370, 0x3FF), (0x1F00, 0x1FFF)])
 #: Values that are surely in their consistent form: Latin-only or Greek-only ordinary letters without blanks.
-CLEAN = rf"^(?:[!-~]*|[{_NO_LETTERS}{_GREEK}]*)$"
+#: The end is spelt out, since `$` also matches before a last line break; `\z` is unknown to Python's re.
+CLEAN = rf"^(?:[!-~]*|[{_NO_LETTERS}{_GREEK}]*)(?![\s\S])"
 
 
 def suspicious(value: Column) -> Column:

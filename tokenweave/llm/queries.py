@@ -142,7 +142,7 @@ def _entered(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = small(lemmas.union(labels).dropna().distinct())
     pairs = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("entered")) for f in ("lemma", "parse"))))
     cells = facts.select("run_id", pairs.alias("c")).select("run_id", "c.field", "c.entered").where(F.col("entered").isNotNull())
-    unsaid = (F.col("field") == "parse") & F.col("entered").rlike(r"^(?:[\s\u00a0]*|-|n/a)$")
+    unsaid = (F.col("field") == "parse") & F.col("entered").rlike(r"^(?:[\s\u0085\u00a0\u2028\u2029]*|-|n/a)\z")
     return cells.where(~unsaid).join(listed, ["field", "entered"], "left_anti").distinct()
 
 

@@ -42,3 +42,19 @@ def test_operators(spark):
     assert clean[14][0] is None and clean[14][2] and clean[12] == (None, 0, False) and clean[11] == ("the quick brown fox", 0, False) and clean[13] == ("", 0, False)
     assert leaks(docs, items.limit(0), "doc_id", "text", "item_id", "text").count() == 0
     assert leaks(docs.limit(0), items, "doc_id", "text", "item_id", "text").count() == 0
+
+
+def test_the_number_of_blocks_changes_no_cleaned_text(spark):
+    w = lambda p, n: " ".join(f"{p}{i}" for i in range(n))
+    two = f"{w('a', 40)} {w('x', 10)} {w('b', 40)} {w('y', 10)}"
+    overlap = f"{w('z', 60)} {w('c', 15)} {w('d', 8)} {w('q', 60)}"
+    joined = f"{w('z', 60)} {w('e', 8)} {w('a', 14)} {' '.join(f'e{i}' for i in range(8, 16))} {w('q', 60)}"
+    docs = spark.createDataFrame([(1, two), (2, overlap), (3, joined), (4, None), (5, "")], "doc_id long, text string")
+    # the second passage overlaps the first by ten words; the fourth item stands apart in the document until a cut
+    items = [(1, w("a", 40)), (2, w("b", 40)), (3, w("c", 15)), (4, " ".join([*w("c", 15).split()[5:], w("d", 8)])), (5, w("e", 16))]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    run = lambda n: sorted(map(tuple, cleaned(docs, items, "doc_id", "text", "item_id", "text", block_words=n).collect()))
+    got = run(500_000)
+    assert run(1) == got == run(50)
+    assert got[0] == (1, None, 80, True) and got[1][2:] == (23, False) and got[2][2:] == (14, False) and "e7  e8" in got[2][1]
+    assert got[3:] == [(4, None, 0, False), (5, "", 0, False)]

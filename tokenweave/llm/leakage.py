@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -113,6 +114,17 @@ class ItemAutomaton:
         return [self.items[no] for no in sorted(hits)], spans, len(words)
 
 
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for first, end in sorted((int(a), int(b)) for a, b in spans):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((first, end))
+    return out
+
+
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """text without the words of spans and what stands between them."""
     at = [m.span() for m in _WORD.finditer(text)]
@@ -169,31 +181,35 @@ def cleaned(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item
     """Every document without the passages it shares with an item: doc_id, text, removed_words, dropped.
 
     A document of whose words more than most_coverage lie in passages is dropped: its text is null and `dropped`
-    true. Null texts stay null and are not dropped. With several blocks of items, passages are cut block after
-    block, and coverage is judged in each.
+    true. Null texts stay null and are not dropped. Passages of all blocks of items are found in the untouched
+    text and merged before they are cut and coverage is judged, so the number of blocks makes no difference.
     """
     spark = documents.sparkSession
     at = lambda c: F.col(f"`{c}`")
-    rows = documents.select(at(doc_id).alias("doc"), at(text).alias("text"), F.lit(0).cast("long").alias("removed"), F.lit(False).alias("dropped"))
+    rows = documents.select(at(doc_id).alias("doc"), at(text).alias("text"), F.array().cast("array<int>").alias("spans"))
     for block in blocks(items, item_id, item_text, block_words):
         shared = spark.sparkContext.broadcast(ItemAutomaton(block, least))
 
-        def cut(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             automaton = shared.value
             for batch in batches:
-                texts, removed, dropped = [], [], []
-                for body, r, d in zip(batch["text"], batch["removed"], batch["dropped"]):
-                    spans = n = 0
-                    if body is not None:
-                        _, spans, n = automaton.matches(body)
-                    if spans:
-                        words = sum(b - a for a, b in spans)
-                        r += words
-                        body, d = (None, True) if words > most_coverage * n else (without(body, spans), d)
-                    texts.append(body)
-                    removed.append(r)
-                    dropped.append(d)
-                yield batch.assign(text=pd.Series(texts, index=batch.index, dtype=object), removed=removed, dropped=dropped)
-
-        rows = rows.mapInPandas(cut, rows.schema)
+                spans = [[*had, *chain(*automaton.matches(body)[1])] if body is not None else had for body, had in zip(batch["text"], batch["spans"])]
+                yield batch.assign(spans=pd.Series(spans, index=batch.index, dtype=object))
+
+        rows = rows.mapInPandas(find, rows.schema)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts, removed, dropped = [], [], []
+            for body, flat in zip(batch["text"], batch["spans"]):
+                spans = merged(zip(flat[::2], flat[1::2]))
+                words = sum(b - a for a, b in spans)
+                over = bool(spans) and words > most_coverage * len(words_of(body))
+                texts.append(None if over else without(body, spans) if spans else body)
+                removed.append(words)
+                dropped.append(over)
+            yield pd.DataFrame({"doc": batch["doc"], "text": pd.Series(texts, index=batch.index, dtype=object), "removed": removed, "dropped": dropped})
+
+    kept = T.StructType([rows.schema["doc"], rows.schema["text"], T.StructField("removed", T.LongType()), T.StructField("dropped", T.BooleanType())])
+    rows = rows.mapInPandas(cut, kept)
     return rows.select(F.col("doc").alias(doc_id), F.col("text"), F.col("removed").alias("removed_words"), "dropped")

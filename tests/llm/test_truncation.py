@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tokenweave.llm.truncation import describe, fit, limits, score_truncation, strip_closing
+from tokenweave.llm.truncation import describe, fit, fitted, limits, score_truncation, strip_closing
 
 THINGS = ["kettle", "tent", "pillow", "rucksack", "desk lamp", "garden hose", "pan"]
 
@@ -56,3 +56,13 @@ def test_operator(spark):
     assert not got[2000] and not got[2001] and got[2002] and not got[2003]
     assert sum(got[1000 + i] for i in range(40)) >= 38 and sum(got[i] for i in range(600)) <= 6
     assert score_truncation(df.limit(0), "doc_id", "source", "text").count() == 0
+
+
+def test_known_words_come_from_all_intact_texts(spark):
+    rows = [(i, f"The word{'abc'[i % 3]} is rare here. It stands in many texts.") for i in range(60)] + [(100 + i, "A long tale of zebras. " * 300) for i in range(3)]
+    rows += [(200 + i, "Only quaggas twice. That is all.") for i in range(2)] + [(300 + i, "the text breaks off in gnu") for i in range(5)] + [(400, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    model = fitted(docs, "doc_id", "text", sample=4)
+    assert {"worda", "wordb", "wordc", "zebras"} <= model.vocabulary and not {"quaggas", "gnu"} & model.vocabulary
+    texts = [t for _, t in rows[:65]]
+    assert model.vocabulary == fit(texts, []).vocabulary

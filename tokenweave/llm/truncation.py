@@ -14,7 +14,7 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import bounded_rows
+
 BITS = 18
+#: Most words that the corpus may have in more than 2 intact texts; beyond it score_truncation raises. Every worker holds them.
+MOST_WORDS = 2_000_000
 #: Most texts that the classifier is fitted on, the most characters each may have, and the seed that picks cuts.
 SAMPLE, SAMPLE_CHARS, SEED = 10000, 4000, 11
 #: A length is a limit of its source if so many texts have it and so large a share of them lacks a closing mark.
@@ -179,9 +183,15 @@ class Cutoff:
         return 1.0 / (1.0 + np.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(texts: list[str], titles: list[str], seed: int = SEED, epochs: int = 6) -> Cutoff:
-    seen = Counter(w for t in texts for w in {x.lower() for x in _WORD.findall(t)[:-1]})
-    vocabulary = {w for w, n in seen.items() if n > 2}
+def _counted(texts: Iterable[str]) -> Counter[str]:
+    """Word -> number of texts that have it before their last word."""
+    return Counter(w for t in texts for w in {x.lower() for x in _WORD.findall(t)[:-1]})
+
+
+def fit(texts: list[str], titles: list[str], seed: int = SEED, epochs: int = 6, vocabulary: set[str] | None = None) -> Cutoff:
+    """vocabulary: the words taken for whole ones, by default those of more than 2 of texts."""
+    if vocabulary is None:
+        vocabulary = {w for w, n in _counted(texts).items() if n > 2}
     rows = list(examples(texts, titles, seed))
     if not rows:
         rows = [("", False, 0)]
@@ -216,21 +226,38 @@ def limits(documents: DataFrame, source: str, text: str) -> DataFrame:
     return counts.where((F.col("open") >= LIMIT_TEXTS) & (F.col("open") >= LIMIT_SHARE * F.col("n"))).select("source", "unit", "length")
 
 
+def whole_words(documents: DataFrame, text: str) -> set[str]:
+    """The words in more than 2 intact texts of all documents, whatever their length."""
+    at = F.col(f"`{text}`")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen = _counted(batch["text"])
+            yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())}).astype({"word": object, "n": "int64"})
+
+    parts = documents.where(at.rlike(CLOSED)).select(at.alias("text")).mapInPandas(count, "word string, n long")
+    often = parts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 2").select("word")
+    return {r.word for r in bounded_rows(often, MOST_WORDS, "the vocabulary of intact texts")}
+
+
 def fitted(documents: DataFrame, doc_id: str, text: str, title: str | None = None, sample: int = SAMPLE) -> Cutoff:
-    """A classifier from at most `sample` intact texts of at most SAMPLE_CHARS characters, those with the least hash of their id, and their headlines."""
+    """A classifier from at most `sample` intact texts of at most SAMPLE_CHARS characters, those with the least hash of their id, and their headlines.
+
+    The words it takes for whole ones are counted over all intact texts.
+    """
     at = lambda c: F.col(f"`{c}`")
     intact = documents.where((F.length(at(text)) <= SAMPLE_CHARS) & at(text).rlike(CLOSED)).select(F.xxhash64(at(doc_id)).alias("h"), at(text).alias("text"), (at(title) if title else F.lit(None).cast("string")).alias("title"))
     rows = intact.orderBy("h").limit(sample).collect()
     rows.sort(key=lambda r: (r.h, r.text))
-    return fit([r.text for r in rows], [r.title for r in rows if r.title and r.title.strip()])
+    return fit([r.text for r in rows], [r.title for r in rows if r.title and r.title.strip()], vocabulary=whole_words(documents, text))
 
 
 def score_truncation(documents: DataFrame, doc_id: str, source: str, text: str, title: str | None = None, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     """Every row of documents: doc_id, source, score (that its text breaks off), truncated (score >= threshold and no closing mark at the end).
 
     Null and empty texts score 0. Repeated rows are scored alike; a null source has limits of its own. Extra
-    columns are not read. The classifier is fitted when this is called, on a bounded sample; everything else
-    covers all rows.
+    columns are not read. The weights of the classifier are fitted when this is called, on a bounded sample;
+    everything else, its known words too, covers all rows.
     """
     spark = documents.sparkSession
     at = lambda c: F.col(f"`{c}`")

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from tokenweave.llm.truncation import describe, fit, fitted, limits, score_truncation, strip_closing
+from tokenweave.llm.truncation import Cutoff, describe, ended, fit, fitted, limits, score_truncation, strip_closing
 
 THINGS = ["kettle", "tent", "pillow", "rucksack", "desk lamp", "garden hose", "pan"]
 
@@ -66,3 +67,16 @@ def test_known_words_come_from_all_intact_texts(spark):
     assert {"worda", "wordb", "wordc", "zebras"} <= model.vocabulary and not {"quaggas", "gnu"} & model.vocabulary
     texts = [t for _, t in rows[:65]]
     assert model.vocabulary == fit(texts, []).vocabulary
+
+
+@pytest.mark.parametrize(
+    "text, closed",
+    [
+        ("It works well.", True), ("It works well!)", True), ('He said "it works."', True), ("It works. 4/5", True), ("So do I!", True), ("It took 10.", True),
+        ("We met K.", False), ("Sent by K.T.", False), ("It weighs 4.", False), ('He said "it works." -', False), ("It works (mostly.),", False), ("It works", False),
+    ],
+)
+def test_only_a_closing_mark_at_the_end_overrules_the_score(text, closed):
+    assert ended(text) == closed
+    sure = Cutoff(np.ones(1 << 18, np.float32), set())  # every text scores high
+    assert sure.breaks_off(text, False)[1] != closed

@@ -38,6 +38,8 @@ _ANY_MARK = re.compile(r"[.!?…]")
 _CLOSING = re.compile(
     r"(?:\s+|(?<=[.!?]))(?:\d{1,2}(?:[.,]\d)?\s?(?:/|out of|of|von|sur|de|auf)\s?\d{1,3}|[:;=8]-?[()\[\]DPp|/\\*]+|<3|x{2,}|[xX][oO]+[xX]*|\^\^)\s*\Z"
 )
+#: The mark as the last sign, closing quotes and brackets aside; not the dot of an initial, an abbreviation or a decimal.
+_ENDED = re.compile(r"(?:[!?]|(?<![^\W_])\.|(?<=[^\W_][^\W_])\.)[\"'”’»)\]\s]*\Z")
 _TAG = re.compile(r"\s*[\[(<{][^\[\](){}<>]{0,24}[\])>}]\s*\Z")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 # Signs that a cut may leave behind.
@@ -64,6 +66,12 @@ def strip_closing(text: str) -> str:
         text = t
 
 
+def ended(text: str) -> bool:
+    """True if the last sign of text, scores and closing quotes aside, is a closing mark that ends no initial or decimal."""
+    body = strip_closing(text)
+    return bool(_ENDED.search(body, max(0, len(body) - 40)))
+
+
 def describe(text: str, at_limit: bool) -> tuple[str, list[str], str, bool]:
     """State of the ending, last words of its sentence, sign left, tag.
 
@@ -168,7 +176,8 @@ def examples(texts: list[str], titles: list[str], seed: int) -> Iterator[tuple[s
 class Cutoff:
     """The fitted classifier: weights of hashed features and the words it takes for whole ones.
 
-    An exact check follows the score: a text that ends with its closing mark is complete, whatever its score.
+    An exact check follows the score: a text that ends with its closing mark is complete, whatever its score. The dot
+    after a lone letter or digit, and a mark with other signs than closing quotes and brackets behind, leave it to the score.
     """
 
     def __init__(self, weights: np.ndarray, vocabulary: set[str]):
@@ -176,7 +185,7 @@ class Cutoff:
 
     def breaks_off(self, text: str, at_limit: bool, threshold: float = 0.5) -> tuple[float, bool]:
         score = self.score(text, at_limit)
-        return score, score >= threshold and describe(text, at_limit)[0] != "E"
+        return score, score >= threshold and not (describe(text, at_limit)[0] == "E" and ended(text))
 
     def score(self, text: str, at_limit: bool) -> float:
         z = float(self.weights[features(text, at_limit, self.vocabulary)].sum())

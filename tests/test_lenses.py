@@ -140,3 +140,13 @@ def test_views(spark):
     assert [tuple(r) for r in spark.range(1).select(*views.page_range(F.lit(25), 20, 10)).collect()] == [(21, 25, True, False)]
     assert [tuple(r) for r in spark.range(1).select(*views.page_range(F.lit(0), 0, 10)).collect()] == [(0, 0, False, False)]
     assert spark.range(1).select(views.bar_width(F.lit(1), F.lit(10000)), views.bar_width(F.lit(0), F.lit(9)), views.bar_width(F.lit(9), F.lit(9))).first()[:] == (2, None, 100)
+
+
+def test_totals_and_lines_of_every_chapter(spark):
+    f = facts(spark, [("λόγος", "λόγος", NOM, c) for c in (0, 0, 2, 2, 2)] + [("ἄνθρωπος", "ἄνθρωπος", NOM, 1)])
+    want = spark.createDataFrame([("r", "λόγος")], "run_id string, lemma string")
+    assert rows(lemma.chapter_totals(f, want, refs(spark, 4)), "chapter_index", "total") == [(0, 2), (1, 0), (2, 3), (3, 0)]
+    assert rows(lemma.concordance(f, want, limit=2, by_chapter=True), "chapter_index", "line", "total") == [(0, 1, 2), (0, 2, 2), (2, 1, 3), (2, 2, 3)]
+    for c in (0, 1, 2):
+        by = lemma.concordance(f, want, by_chapter=True).where(f"chapter_index = {c}")
+        assert rows(by, "position", "line", "total") == rows(lemma.concordance(f, want, chapter_index=c), "position", "line", "total")

@@ -66,11 +66,12 @@ def in_chapters(facts: DataFrame, chapters: DataFrame) -> DataFrame:
     return filled.select(*WORD, "chapter_index", F.coalesce("occ", F.lit(0)).alias("occ"), total.alias("cumulative"), "gap_before", F.coalesce("parses", none).alias("parses"))
 
 
-def concordance(facts: DataFrame, wanted: DataFrame, context: int = 6, limit: int | None = 400, chapter_index: int | None = None) -> DataFrame:
+def concordance(facts: DataFrame, wanted: DataFrame, context: int = 6, limit: int | None = 400, chapter_index: int | None = None, by_chapter: bool = False) -> DataFrame:
     """The places of the wanted words (run_id, lemma) in reading order, with up to `context` forms before and after.
 
     line counts from 1 within a word; total is the number of places in scope, beside the first `limit`. Only chapters that hold a
-    wanted word are sorted; contexts end with the chapter. chapter_index narrows the places, not the contexts.
+    wanted word are sorted; contexts end with the chapter. chapter_index narrows the places, not the contexts. by_chapter gives
+    what that gives for every chapter: line, total and limit count within a word and chapter.
     """
     places = facts.join(wanted.select(*WORD), WORD, "left_semi").select(RUN, "chapter_index").distinct()
     w = Window.partitionBy(RUN, "chapter_index").orderBy("position")
@@ -82,8 +83,9 @@ def concordance(facts: DataFrame, wanted: DataFrame, context: int = 6, limit: in
     hits = around.join(wanted.select(*WORD), WORD, "left_semi")
     if chapter_index is not None:
         hits = hits.where(F.col("chapter_index") == chapter_index)
-    lines = Window.partitionBy(*WORD).orderBy("chapter_index", "position")
-    found = hits.select("*", F.row_number().over(lines).alias("line"), F.count("*").over(Window.partitionBy(*WORD)).alias("total"))
+    scope = Window.partitionBy(*WORD, *["chapter_index"] * by_chapter)
+    lines = scope.orderBy("chapter_index", "position")
+    found = hits.select("*", F.row_number().over(lines).alias("line"), F.count("*").over(scope).alias("total"))
     return found if limit is None else found.where(F.col("line") <= limit)
 
 
@@ -92,3 +94,10 @@ def totals(facts: DataFrame, wanted: DataFrame, chapter_index: int | None = None
     scoped = facts if chapter_index is None else facts.where(F.col("chapter_index") == chapter_index)
     counts = scoped.join(wanted.select(*WORD), WORD, "left_semi").groupBy(*WORD).agg(F.count("*").alias("total"))
     return wanted.select(*WORD).join(counts, WORD, "left").fillna(0, ["total"])
+
+
+def chapter_totals(facts: DataFrame, wanted: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Places of each wanted word in every chapter of its run, 0 where there is none."""
+    counts = facts.join(wanted.select(*WORD), WORD, "left_semi").groupBy(*WORD, "chapter_index").agg(F.count("*").alias("total"))
+    asked = wanted.select(*WORD).join(chapters.select(RUN, "chapter_index"), RUN)
+    return asked.join(counts, [*WORD, "chapter_index"], "left").fillna(0, ["total"])

@@ -528,6 +528,30 @@ def le_total(spark, d):
     return lemma.totals(facts, chosen(facts), 0)
 
 
+@query("le_total_chapters", _CHOSEN + """, n AS (SELECT run_id, lemma, chapter_index, count(*) AS n FROM f SEMI JOIN want USING (run_id, lemma) GROUP BY 1, 2, 3)
+SELECT want.run_id, want.lemma, ch.chapter_index, CAST(coalesce(n, 0) AS BIGINT) AS total FROM want JOIN ch USING (run_id) LEFT JOIN n ON n.run_id = want.run_id AND n.lemma = want.lemma AND n.chapter_index = ch.chapter_index""")
+def le_total_chapters(spark, d):
+    """Places of one word of each run in every chapter."""
+    facts = _facts(spark, d)
+    return lemma.chapter_totals(facts, chosen(facts), load_chapters(spark, d))
+
+
+@query("le_asked", _CHOSEN + """, asked AS (SELECT run_id, lemma FROM want UNION ALL SELECT run_id, 'no such lemma' FROM want)
+SELECT run_id, lemma, CAST(count(f.position) AS BIGINT) AS total FROM asked LEFT JOIN f USING (run_id, lemma) GROUP BY 1, 2""")
+def le_asked(spark, d):
+    """Places of asked words, one that each run has and one that it lacks."""
+    facts = _facts(spark, d)
+    want = chosen(facts)
+    return lemma.totals(facts, want.union(want.select(RUN, F.lit("no such lemma"))))
+
+
+@query("le_filter_chapters", _KWIC.replace("PARTITION BY run_id, lemma", "PARTITION BY run_id, lemma, chapter_index") + " SELECT run_id, lemma, chapter_index, position, line, total FROM kwic")
+def le_filter_chapters(spark, d):
+    """The first 400 places of one word of each run in every chapter."""
+    facts = _facts(spark, d)
+    return lemma.concordance(facts, chosen(facts), by_chapter=True).select(RUN, "lemma", "chapter_index", "position", "line", "total")
+
+
 # Export
 
 _EXPORT = _ROWS + """, ex AS (SELECT run_id, row_no, ch.filename AS file, chapter_index, ch.id AS chapter_id, ch.title AS chapter_title, type, lemma, form, parse, lemma_occ, parse_occ, form_occ, first_occ_lemma, first_occ_parse, last_occ_lemma, last_occ_parse,

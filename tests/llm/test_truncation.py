@@ -1,9 +1,8 @@
 import random
 
-import numpy as np
 import pytest
 
-from tokenweave.llm.truncation import Cutoff, describe, ended, fit, fitted, limits, score_truncation, strip_closing
+from tokenweave.llm.truncation import describe, ended, fit, fitted, limits, score_truncation, strip_closing
 
 THINGS = ["kettle", "tent", "pillow", "rucksack", "desk lamp", "garden hose", "pan"]
 
@@ -76,7 +75,22 @@ def test_known_words_come_from_all_intact_texts(spark):
         ("We met K.", False), ("Sent by K.T.", False), ("It weighs 4.", False), ('He said "it works." -', False), ("It works (mostly.),", False), ("It works", False),
     ],
 )
-def test_only_a_closing_mark_at_the_end_overrules_the_score(text, closed):
+def test_closing_mark_at_the_end(text, closed):
     assert ended(text) == closed
-    sure = Cutoff(np.ones(1 << 18, np.float32), set())  # every text scores high
-    assert sure.breaks_off(text, False)[1] != closed
+
+
+def test_score_alone_decides(model):
+    for text in ("I ordered the tent. It replaced a.", "I ordered the tent. It replaced a”.", "It arrived after 3 days in a plain!"):
+        assert model.score(text, False) < 0.5 < model.score(text.rstrip(".!”"), False)
+
+
+def test_limits_stand_out_from_the_lengths_around(spark):
+    rows = [("even", "x" * n + ". Word " + "y" * 3) for n in range(60, 100) for _ in range(30)]
+    rows += [("cut", "x" * n + ". Word " + "y" * 3) for n in range(60, 100) for _ in range(2)] + [("cut", "x" * 80 + ". Word yyy")] * 30
+    found = limits(spark.createDataFrame(rows, "source string, text string"), "source", "text")
+    assert {tuple(r) for r in found.collect()} == {("cut", "chars", 90), ("cut", "bytes", 90)}
+
+
+def test_closing_signs_of_any_length_are_seen_whole():
+    assert strip_closing("Good." + " " * 500 + "9 out of" + " " + "10") == "Good." and strip_closing("Good. " + "x" * 500) == "Good."
+    assert describe("Fine. " + "very" * 100 + " long", False)[1] == ["^", "very" * 100, "long"]

@@ -1,10 +1,10 @@
 """Texts that break off: a classifier trained on texts cut on purpose, which then scores every record.
 
 Training pairs are made from intact texts (those that end with a closing mark): cut at a random place, with
-and without the sign that a cut may leave, for positives; whole, without any marks, without the closing mark
-or trailing off, for negatives, along with headlines. A logistic regression over hashed features looks at the
-closing characters and words, the punctuation of the whole text, and the distance to the length at which a
-source cuts its texts.
+and without the sign that a cut may leave, for positives; whole, without any marks, without the closing mark,
+trailing off or closed by a mark in the middle of a sentence, for negatives, along with headlines. A logistic
+regression over hashed features looks at the closing characters and words, the punctuation of the whole text,
+and the distance to the length at which a source cuts its texts. Its score alone decides.
 """
 
 from __future__ import annotations
@@ -18,19 +18,22 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import bounded_rows
 
-BITS = 18
+#: Bits of a feature's hash and features of a text; passes, batch and rate of the fit.
+BITS, WIDTH = 18, 20
+EPOCHS, BATCH, RATE = 6, 1024, 0.5
 #: Most words that the corpus may have in more than 2 intact texts; beyond it score_truncation raises. Every worker holds them.
 MOST_WORDS = 2_000_000
 #: Most texts that the classifier is fitted on, the most characters each may have, and the seed that picks cuts.
 SAMPLE, SAMPLE_CHARS, SEED = 10000, 4000, 11
-#: A length is a limit of its source if so many texts have it and so large a share of them lacks a closing mark.
-LIMIT_TEXTS, LIMIT_SHARE = 8, 0.6
+#: A length is a limit of its source if so large a share of its texts lacks a closing mark, and if these texts are so many
+#: standard deviations more than those of the lengths around it, so many on each side.
+LIMIT_SHARE, LIMIT_SIGMAS, LIMIT_AROUND = 0.6, 5, 10
 
 _MARKS = ".!?"
 _ANY_MARK = re.compile(r"[.!?…]")
@@ -38,11 +41,11 @@ _ANY_MARK = re.compile(r"[.!?…]")
 _CLOSING = re.compile(
     r"(?:\s+|(?<=[.!?]))(?:\d{1,2}(?:[.,]\d)?\s?(?:/|out of|of|von|sur|de|auf)\s?\d{1,3}|[:;=8]-?[()\[\]DPp|/\\*]+|<3|x{2,}|[xX][oO]+[xX]*|\^\^)\s*\Z"
 )
-#: The mark as the last sign, closing quotes and brackets aside; not the dot of an initial, an abbreviation or a decimal.
-_ENDED = re.compile(r"(?:[!?]|(?<![^\W_])\.|(?<=[^\W_][^\W_])\.)[\"'”’»)\]\s]*\Z")
-_TAG = re.compile(r"\s*[\[(<{][^\[\](){}<>]{0,24}[\])>}]\s*\Z")
+_CLOSERS = "\"'”’»)]"
+_TAG = re.compile(r"[\[(<{][^\[\](){}<>]{0,24}[\])>}]\s*\Z")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 # Signs that a cut may leave behind.
+CLOSED_WITH = (".", ".", ".", "!", "?", "”.", " !", ".”")
 RESIDUES = ("", "", "", "", "", " ", "\n", "�", " �", "…", "...", " …", " ...", " [more]", "[...]", " -", "-", ",")
 
 
@@ -59,7 +62,8 @@ def strip_closing(text: str) -> str:
             end -= 1
         if end < len(t):
             t = t[:end].rstrip()
-        if m := _CLOSING.search(t, max(0, len(t) - 40)):
+        before = t.rsplit(None, 5)  # no such sign has more than five words
+        if m := _CLOSING.search(t, len(before[0]) if len(before) > 5 else 0):
             t = t[: m.start()]
         if t == text or not t:
             return t or text
@@ -68,20 +72,31 @@ def strip_closing(text: str) -> str:
 
 def ended(text: str) -> bool:
     """True if the last sign of text, scores and closing quotes aside, is a closing mark that ends no initial or decimal."""
-    body = strip_closing(text)
-    return bool(_ENDED.search(body, max(0, len(body) - 40)))
+    return _ended(strip_closing(text))
+
+
+def _ended(body: str) -> bool:
+    end = len(body)
+    while end and (body[end - 1] in _CLOSERS or body[end - 1].isspace()):
+        end -= 1
+    last = body[end - 1 : end]
+    if last != ".":
+        return last in ("!", "?")
+    return not (end > 1 and body[end - 2].isalnum()) or end > 2 and body[end - 3].isalnum()
 
 
 def describe(text: str, at_limit: bool) -> tuple[str, list[str], str, bool]:
-    """State of the ending, last words of its sentence, sign left, tag.
+    """State of the ending, last words of its sentence, sign left, whether the text ends with its closing mark.
 
     States: E closed; D dots; N no mark, though the text before has some. Of texts without any closing mark:
     V dots, U all in small letters and without commas, H others, such as headlines.
     """
     body = strip_closing(text)
-    tag = bool(m := _TAG.search(body, max(0, len(body) - 30))) and m.start() > 0
+    closed = _ended(body)
+    opening = max(map(body.rfind, "[(<{"))
+    tag = opening > 0 and bool(_TAG.match(body, opening)) and not body[:opening].isspace()
     if tag:
-        body = body[: m.start()]
+        body = body[:opening].rstrip()
     end = len(body)
     while end and not body[end - 1].isalnum():
         end -= 1
@@ -94,25 +109,23 @@ def describe(text: str, at_limit: bool) -> tuple[str, list[str], str, bool]:
         state = "D"
     else:
         state = "N"
-    if state != "E" and not _ANY_MARK.search(body, 0, end):
+    mark = max(body.rfind(c, 0, end) for c in _MARKS + "…")
+    if state != "E" and mark < 0:
         state = "V" if state == "D" else "U" if body == body.lower() and "," not in body else "H"
-    left = body[max(0, end - 80) : end]
-    last = _ANY_MARK.split(left)[-1] if state in "DN" else left
+    last = body[mark + 1 : end]
     words = ["0" if w[0].isdigit() else w.lower() for w in _WORD.findall(last)]
-    if last != left or len(left) == end:
-        words = ["^", *words]
-    words = words[-5:] or ["^"]
-    return state, words, ("t" if tag else "") + plain[:3] + ("_" if sign[-1:].isspace() else "") + ("l" if at_limit else ""), tag
+    words = ["^", *words][-5:]
+    return state, words, ("t" if tag else "") + plain[:3] + ("_" if sign[-1:].isspace() else "") + ("l" if at_limit else ""), closed
 
 
 def features(text: str, at_limit: bool, vocabulary: set[str]) -> list[int]:
-    state, words, sign, _ = describe(text, at_limit)
+    state, words, sign, closed = describe(text, at_limit)
     w = ["^"] * (5 - len(words)) + words
     known = "k" if w[-1] in vocabulary or w[-1] == "0" else "u"
     close = {"E": "E", "N": "N"}.get(state, "W")
     length = min(6, len(text).bit_length())
     names = [
-        "b", "s" + state, "g" + sign, "sg" + state + sign, "k" + known, "ks" + known + state, "l" + str(at_limit) + state, "n" + str(length) + state,
+        "b", "e" + str(closed) + state, "f" + str(closed), "s" + state, "g" + sign, "sg" + state + sign, "k" + known, "ks" + known + state, "l" + str(at_limit) + state, "n" + str(length) + state,
         "1" + w[-1], "2" + " ".join(w[-2:]), "3" + " ".join(w[-3:]), "4" + " ".join(w[-4:]), "5" + " ".join(w),
         "1" + close + w[-1], "2" + close + " ".join(w[-2:]), "3" + close + " ".join(w[-3:]),
         "c" + w[-1][-2:], "z" + str(min(len(w[-1]), 5)) + close,
@@ -130,8 +143,8 @@ def _unmarked(text: str) -> str:
 
 def examples(texts: list[str], titles: list[str], seed: int) -> Iterator[tuple[str, bool, int]]:
     """(text, at limit, 1 if cut) made from intact texts and headlines."""
-    rng = random.Random(seed)
     for text in texts:
+        rng = random.Random(f"{seed} {text}")
         ends = [m.end() for m in _SENTENCE_END.finditer(text)]
         if not ends:
             continue
@@ -155,6 +168,8 @@ def examples(texts: list[str], titles: list[str], seed: int) -> Iterator[tuple[s
             if len(inner) < 3:
                 continue
             at = low + rng.randrange(1, len(inner))
+            if turn % 2:  # a passage that ends in the middle of its sentence, but with a mark
+                yield text[:at].rstrip() + rng.choice(CLOSED_WITH), rng.random() < 0.02, 0
             if turn >= 3:  # between words, where it is hardest to tell
                 while at < low + len(inner) and not text[at].isspace():
                     at += 1
@@ -174,19 +189,11 @@ def examples(texts: list[str], titles: list[str], seed: int) -> Iterator[tuple[s
 
 
 class Cutoff:
-    """The fitted classifier: weights of hashed features and the words it takes for whole ones.
-
-    An exact check follows the score: a text that ends with its closing mark is complete, whatever its score. The dot
-    after a lone letter or digit, and a mark with other signs than closing quotes and brackets behind, leave it to the score.
-    """
+    """The fitted classifier: weights of hashed features and the words it takes for whole ones."""
 
     def __init__(self, weights: np.ndarray, vocabulary: set[str]):
         self.weights, self.vocabulary = weights, vocabulary
 
-    def breaks_off(self, text: str, at_limit: bool, threshold: float = 0.5) -> tuple[float, bool]:
-        score = self.score(text, at_limit)
-        return score, score >= threshold and not (describe(text, at_limit)[0] == "E" and ended(text))
-
     def score(self, text: str, at_limit: bool) -> float:
         z = float(self.weights[features(text, at_limit, self.vocabulary)].sum())
         return 1.0 / (1.0 + np.exp(-max(-30.0, min(30.0, z))))
@@ -197,29 +204,40 @@ def _counted(texts: Iterable[str]) -> Counter[str]:
     return Counter(w for t in texts for w in {x.lower() for x in _WORD.findall(t)[:-1]})
 
 
-def fit(texts: list[str], titles: list[str], seed: int = SEED, epochs: int = 6, vocabulary: set[str] | None = None) -> Cutoff:
-    """vocabulary: the words taken for whole ones, by default those of more than 2 of texts."""
-    if vocabulary is None:
-        vocabulary = {w for w, n in _counted(texts).items() if n > 2}
+def encode(texts: list[str], titles: list[str], seed: int, vocabulary: set[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features and the labels of the examples made from texts and headlines."""
     rows = list(examples(texts, titles, seed))
-    if not rows:
-        rows = [("", False, 0)]
-    x = np.array([features(t, lim, vocabulary) for t, lim, _ in rows], np.int32)
-    y = np.array([c for _, _, c in rows], np.float32)
+    x = np.array([features(t, lim, vocabulary) for t, lim, _ in rows], np.int32).reshape(len(rows), WIDTH)
+    return x, np.array([c for _, _, c in rows], np.int8)
+
+
+def weigh(x: np.ndarray, y: np.ndarray, seed: int = SEED, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights of a logistic regression, by gradient steps over batches, each weight with a rate of its own."""
+    w = np.zeros(1 << BITS, np.float32)
+    if not len(y):
+        return w
+    used, at = np.unique(x, return_inverse=True)
+    at = at.reshape(x.shape).astype(np.int32)
+    v, g = np.zeros(len(used), np.float32), np.full(len(used), 1e-4, np.float32)
     rng = np.random.default_rng(seed)
-    w, g = np.zeros(1 << BITS, np.float32), np.full(1 << BITS, 1e-2, np.float32)
     for _ in range(epochs):
         order = rng.permutation(len(y))
-        for a in range(0, len(y), 256):
-            at = order[a : a + 256]
-            idx = x[at]
-            p = 1 / (1 + np.exp(-np.clip(w[idx].sum(1), -30, 30)))
-            d = np.bincount(idx.ravel(), np.repeat(p - y[at], idx.shape[1]), minlength=0) / len(at)
-            hot = np.unique(idx)
-            step = d[hot].astype(np.float32) + 1e-6 * w[hot]
-            g[hot] += step * step
-            w[hot] -= 0.5 * step / np.sqrt(g[hot])
-    return Cutoff(w, vocabulary)
+        for a in range(0, len(y), BATCH):
+            some = order[a : a + BATCH]
+            idx = at[some]
+            p = 1 / (1 + np.exp(-np.clip(v[idx].sum(1), -30, 30)))
+            step = np.bincount(idx.ravel(), np.repeat(p - y[some], idx.shape[1]), minlength=len(used)).astype(np.float32) / len(some)
+            g += step * step
+            v -= RATE * step / np.sqrt(g)
+    w[used] = v
+    return w
+
+
+def fit(texts: list[str], titles: list[str], seed: int = SEED, epochs: int = EPOCHS, vocabulary: set[str] | None = None) -> Cutoff:
+    """vocabulary: the words taken for whole ones, by default those of more than 2 of texts."""
+    if vocabulary is None:
+        vocabulary = {w for w, n in _counted(texts).items() if n > 2}
+    return Cutoff(weigh(*encode(texts, titles, seed, vocabulary), seed, epochs), vocabulary)
 
 
 CLOSED = r"(?s)[^.][.!?][\"'”»)]*\s*$"
@@ -232,7 +250,10 @@ def limits(documents: DataFrame, source: str, text: str) -> DataFrame:
     at = lambda c: F.col(f"`{c}`")
     sized = documents.where(at(text).isNotNull() & (F.length(at(text)) > 0)).select(at(source).alias("source"), (~at(text).rlike(CLOSED) & at(text).rlike(OPEN)).cast("int").alias("open"), F.explode(F.create_map(F.lit("chars"), F.length(at(text)), F.lit("bytes"), F.octet_length(at(text)))).alias("unit", "length"))
     counts = sized.groupBy("source", "unit", "length").agg(F.count("*").alias("n"), F.sum("open").alias("open"))
-    return counts.where((F.col("open") >= LIMIT_TEXTS) & (F.col("open") >= LIMIT_SHARE * F.col("n"))).select("source", "unit", "length")
+    w = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-LIMIT_AROUND, LIMIT_AROUND)
+    around = (F.sum("open").over(w) - F.col("open")) / (2 * LIMIT_AROUND)
+    stands_out = F.col("open") >= around + LIMIT_SIGMAS * F.sqrt(around + 1)
+    return counts.withColumn("is_limit", stands_out & (F.col("open") >= LIMIT_SHARE * F.col("n"))).where("is_limit").select("source", "unit", "length")
 
 
 def whole_words(documents: DataFrame, text: str) -> set[str]:
@@ -252,17 +273,34 @@ def whole_words(documents: DataFrame, text: str) -> set[str]:
 def fitted(documents: DataFrame, doc_id: str, text: str, title: str | None = None, sample: int = SAMPLE) -> Cutoff:
     """A classifier from at most `sample` intact texts of at most SAMPLE_CHARS characters, those with the least hash of their id, and their headlines.
 
-    The words it takes for whole ones are counted over all intact texts.
+    The words it takes for whole ones are counted over all intact texts. Examples are made and encoded by the executors;
+    the driver gets their features, WIDTH numbers each, some thirty a text.
     """
     at = lambda c: F.col(f"`{c}`")
+    spark = documents.sparkSession
+    vocabulary = whole_words(documents, text)
+    shared = spark.sparkContext.broadcast(vocabulary)
     intact = documents.where((F.length(at(text)) <= SAMPLE_CHARS) & at(text).rlike(CLOSED)).select(F.xxhash64(at(doc_id)).alias("h"), at(text).alias("text"), (at(title) if title else F.lit(None).cast("string")).alias("title"))
-    rows = intact.orderBy("h").limit(sample).collect()
-    rows.sort(key=lambda r: (r.h, r.text))
-    return fit([r.text for r in rows], [r.title for r in rows if r.title and r.title.strip()], vocabulary=whole_words(documents, text))
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for h, body, head in batch.itertuples(index=False, name=None):
+                x, y = encode([body], [head] if head and head.strip() else [], SEED, shared.value)
+                rows.append((h, zlib.crc32(body.encode()), x.tobytes(), y.tobytes()))
+            yield pd.DataFrame(rows, columns=["h", "t", "x", "y"])
+
+    spread = intact.orderBy("h").limit(sample).repartition(spark.sparkContext.defaultParallelism)
+    made = spread.mapInPandas(make, "h long, t long, x binary, y binary").toArrow()
+    order = np.lexsort((made["t"].to_numpy(), made["h"].to_numpy()))
+    xs, ys = made["x"].to_pylist(), made["y"].to_pylist()
+    x = np.frombuffer(b"".join(xs[i] for i in order), np.int32).reshape(-1, WIDTH)
+    y = np.frombuffer(b"".join(ys[i] for i in order), np.int8)
+    return Cutoff(weigh(x, y), vocabulary)
 
 
 def score_truncation(documents: DataFrame, doc_id: str, source: str, text: str, title: str | None = None, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
-    """Every row of documents: doc_id, source, score (that its text breaks off), truncated (score >= threshold and no closing mark at the end).
+    """Every row of documents: doc_id, source, score (that its text breaks off), truncated (score >= threshold).
 
     Null and empty texts score 0. Repeated rows are scored alike; a null source has limits of its own. Extra
     columns are not read. The weights of the classifier are fitted when this is called, on a bounded sample;
@@ -283,7 +321,7 @@ def score_truncation(documents: DataFrame, doc_id: str, source: str, text: str,
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fit_ = model.value
         for batch in batches:
-            s = [fit_.breaks_off(t, bool(lim), threshold) if t else (0.0, False) for t, lim in zip(batch["text"], batch["at_limit"])]
-            yield pd.DataFrame({doc_id: batch["doc"], source: batch["source"], "score": [x for x, _ in s], "truncated": [y for _, y in s]})
+            s = [fit_.score(t, bool(lim)) if t else 0.0 for t, lim in zip(batch["text"], batch["at_limit"])]
+            yield pd.DataFrame({doc_id: batch["doc"], source: batch["source"], "score": s, "truncated": [x >= threshold for x in s]})
 
     return marked.mapInPandas(score, out)

@@ -58,3 +58,17 @@ def test_the_number_of_blocks_changes_no_cleaned_text(spark):
     assert run(1) == got == run(50)
     assert got[0] == (1, None, 80, True) and got[1][2:] == (23, False) and got[2][2:] == (14, False) and "e7  e8" in got[2][1]
     assert got[3:] == [(4, None, 0, False), (5, "", 0, False)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_nested_and_overlapping_items_in_blocks_of_any_size(spark, seed):
+    rng = random.Random(seed)
+    text = lambda a, b: " ".join(rng.choice("abcd") for _ in range(rng.randrange(a, b)))
+    bodies = [text(3, 20) for _ in range(12)]
+    bodies += [" ".join(b.split()[2:-1]) for b in bodies[:6]] + [f"{a} {b}" for a, b in zip(bodies, bodies[3:])]
+    items = spark.createDataFrame(list(enumerate(bodies)), "item_id long, text string")
+    docs = [text(0, 60) + (" " + rng.choice(bodies) if rng.random() < 0.6 else "") + " " + text(0, 9) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for op in (leaks, cleaned):
+        first, *rest = [sorted(map(tuple, op(docs, items, "doc_id", "text", "item_id", "text", least=4, block_words=n).collect()), key=str) for n in (500_000, 60, 1)]
+        assert first and all(r == first for r in rest)

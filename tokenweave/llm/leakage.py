@@ -9,16 +9,21 @@ that stands for that item.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from functools import reduce
 from itertools import chain
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import by_block, each_block, union
+
 _WORD = re.compile(r"[^\W_]+")
+#: Words of items in one automaton.
+BLOCK_WORDS = 500_000
 
 
 def words_of(text: str) -> list[str]:
@@ -27,38 +32,56 @@ def words_of(text: str) -> list[str]:
 
 
 class ItemAutomaton:
-    """Suffix automaton over the words of several items; states know the items they occur in."""
+    """Suffix automaton over the words of several items; states that stand for passages know the items they occur in.
+
+    Once built it is packed: of each state one move is kept in arrays, further moves, which few states have, in dicts.
+    """
 
     def __init__(self, items: Iterable[tuple[int, str]], least: int):
         self.least = least
         self.ids: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        owner: list[set[int]] = [set()]
+        link, length = self.link, self.length = [-1], [0]
         self.items: list[int] = []
+        coded: list[list[int]] = []
         for item, text in items:
-            no = len(self.items)
             self.items.append(item)
+            coded.append([self.ids.setdefault(word, len(self.ids)) for word in words_of(text)])
             last = 0
-            for word in words_of(text):
-                last = self._extend(last, self.ids.setdefault(word, len(self.ids)), owner)
-                owner[last].add(no)
-        for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
-            owner[self.link[state]] |= owner[state]
+            for word in coded[-1]:
+                last = self._extend(last, word)
         # of the states whose strings end alike, the shortest that is still long enough has the most items
-        self.top = [-1] * len(self.length)
-        for state in sorted(range(1, len(self.length)), key=self.length.__getitem__):
-            if self.length[state] >= least:
-                up = self.top[self.link[state]]
-                self.top[state] = state if up < 0 else up
-        self.found = {s: tuple(sorted(owner[s])) for s in set(self.top) if s >= 0}
-
-    def _extend(self, last: int, word: int, owner: list[set[int]]) -> int:
+        top = [-1] * len(length)
+        for state in sorted(range(1, len(length)), key=length.__getitem__):
+            if length[state] >= least:
+                up = top[link[state]]
+                top[state] = state if up < 0 else up
+        # every place of an item leads to the one of those states that stands for its last `least` words
+        found: dict[int, set[int]] = {}
+        for no, words in enumerate(coded):
+            state = 0
+            for word in words:
+                state = self.next[state][word]
+                if top[state] >= 0:
+                    found.setdefault(top[state], set()).add(no)
+        self.found = {state: tuple(sorted(nos)) for state, nos in found.items()}
+        self.word, self.to = array("i", [-1]) * len(length), array("i", [-1]) * len(length)
+        self.more: dict[int, dict[int, int]] = {}
+        for state, moves in enumerate(self.next):
+            for word, to in moves.items():
+                if self.word[state] < 0:
+                    self.word[state], self.to[state] = word, to
+                else:
+                    self.more.setdefault(state, {})[word] = to
+        self.link, self.length, self.top = array("i", link), array("i", length), array("i", top)
+        del self.next
+
+    def _extend(self, last: int, word: int) -> int:
         nxt, link, length = self.next, self.link, self.length
         if word in nxt[last]:
             q = nxt[last][word]
-            return q if length[q] == length[last] + 1 else self._clone(last, word, q, owner)
-        new = self._state(length[last] + 1, {}, owner)
+            return q if length[q] == length[last] + 1 else self._clone(last, word, q)
+        new = self._state(length[last] + 1, {})
         p = last
         while p >= 0 and word not in nxt[p]:
             nxt[p][word] = new
@@ -67,18 +90,17 @@ class ItemAutomaton:
             link[new] = 0
         else:
             q = nxt[p][word]
-            link[new] = q if length[q] == length[p] + 1 else self._clone(p, word, q, owner)
+            link[new] = q if length[q] == length[p] + 1 else self._clone(p, word, q)
         return new
 
-    def _state(self, length: int, moves: dict[int, int], owner: list[set[int]]) -> int:
+    def _state(self, length: int, moves: dict[int, int]) -> int:
         self.next.append(moves)
         self.link.append(0)
         self.length.append(length)
-        owner.append(set())
         return len(self.length) - 1
 
-    def _clone(self, p: int, word: int, q: int, owner: list[set[int]]) -> int:
-        clone = self._state(self.length[p] + 1, dict(self.next[q]), owner)
+    def _clone(self, p: int, word: int, q: int) -> int:
+        clone = self._state(self.length[p] + 1, dict(self.next[q]))
         self.link[clone] = self.link[q]
         self.link[q] = clone
         while p >= 0 and self.next[p].get(word) == q:
@@ -88,7 +110,8 @@ class ItemAutomaton:
 
     def matches(self, text: str) -> tuple[list[int], list[tuple[int, int]], int]:
         """The items that share `least` words in a row with text, the matching spans of words, and the number of words."""
-        ids, nxt, link, length, least = self.ids, self.next, self.link, self.length, self.least
+        ids, only, to, more, link, length, least = self.ids, self.word, self.to, self.more, self.link, self.length, self.least
+        none: dict[int, int] = {}
         state = run = 0
         hits: set[int] = set()
         spans: list[tuple[int, int]] = []
@@ -98,12 +121,19 @@ class ItemAutomaton:
             if word is None:
                 state = run = 0
                 continue
-            while state and word not in nxt[state]:
+            while True:
+                if only[state] == word:
+                    state = to[state]
+                    run += 1
+                    break
+                if (there := more.get(state, none).get(word)) is not None:
+                    state = there
+                    run += 1
+                    break
+                if not state:
+                    break
                 state = link[state]
                 run = length[state]
-            if word in nxt[state]:
-                state = nxt[state][word]
-                run += 1
             if run >= least:
                 hits.update(self.found[self.top[state]])
                 first = i + 1 - run
@@ -148,23 +178,21 @@ def blocks(items: DataFrame, item_id: str, item_text: str, block_words: int) ->
         yield block
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, least: int = 12, block_words: int = 500_000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, least: int = 12, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per document and item that share at least `least` consecutive words: doc_id, item_id.
 
     Rows with a null id or text are left out; texts with fewer than `least` words have no match. Documents
     are taken as they come: a repeated row gives repeated results, items with the same text are all reported.
     Extra columns are not read. Items reach the driver one by one and are put into automata of block_words
     words at most (one item more); each is broadcast by itself and the documents are scanned once for each,
-    so that a broadcast stays bounded however many items there are.
+    so that the driver, a worker and a broadcast hold one automaton, however many items there are.
     """
     spark = documents.sparkSession
     at = lambda c: F.col(f"`{c}`")
     docs = documents.select(at(doc_id).alias("doc"), at(text).alias("text")).dropna()
     out = T.StructType([T.StructField(doc_id, documents.schema[doc_id].dataType), T.StructField(item_id, items.schema[item_id].dataType)])
 
-    def scan(block: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(ItemAutomaton(block, least))
-
+    def scan(shared: Broadcast) -> DataFrame:
         def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             automaton = shared.value
             for batch in batches:
@@ -174,29 +202,39 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_i
 
         return docs.mapInPandas(find, out)
 
-    return reduce(DataFrame.unionByName, (scan(b) for b in blocks(items, item_id, item_text, block_words)))
+    automata = (ItemAutomaton(block, least) for block in blocks(items, item_id, item_text, block_words))
+    return union(by_block(spark, automata, scan, "leaks"))
 
 
-def cleaned(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, least: int = 12, most_coverage: float = 0.5, block_words: int = 500_000) -> DataFrame:
+def cleaned(documents: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str, least: int = 12, most_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Every document without the passages it shares with an item: doc_id, text, removed_words, dropped.
 
     A document of whose words more than most_coverage lie in passages is dropped: its text is null and `dropped`
     true. Null texts stay null and are not dropped. Passages of all blocks of items are found in the untouched
     text and merged before they are cut and coverage is judged, so the number of blocks makes no difference.
+    With several blocks each scan is written to the shared folder, and the next one reads it.
     """
     spark = documents.sparkSession
     at = lambda c: F.col(f"`{c}`")
     rows = documents.select(at(doc_id).alias("doc"), at(text).alias("text"), F.array().cast("array<int>").alias("spans"))
-    for block in blocks(items, item_id, item_text, block_words):
-        shared = spark.sparkContext.broadcast(ItemAutomaton(block, least))
 
-        def find(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+    def scan(shared: Broadcast) -> DataFrame:
+        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             automaton = shared.value
             for batch in batches:
                 spans = [[*had, *chain(*automaton.matches(body)[1])] if body is not None else had for body, had in zip(batch["text"], batch["spans"])]
                 yield batch.assign(spans=pd.Series(spans, index=batch.index, dtype=object))
 
-        rows = rows.mapInPandas(find, rows.schema)
+        return rows.mapInPandas(find, rows.schema)
+
+    def one_more(shared: Broadcast) -> DataFrame:
+        nonlocal rows
+        rows = scan(shared)
+        return rows
+
+    automata = (ItemAutomaton(block, least) for block in blocks(items, item_id, item_text, block_words))
+    for rows in each_block(spark, automata, one_more, "spans"):
+        pass
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

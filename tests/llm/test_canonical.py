@@ -52,10 +52,10 @@ def test_labels(value, label):
 def test_operators(spark):
     words, labels = WordList(["λόγος"], []), FeatureList(LABELS)
     df = spark.createDataFrame([("lemma", "λογος", 1), ("parse", "Adverb", 1), ("lemma", None, 1), ("lemma", "λογος", 1)], "field string, entered string, canonical int")
-    got = sorted(map(tuple, map_values(df, {"lemma": words.closest, "parse": labels.closest}).collect()), key=str)
+    got = sorted(map(tuple, map_values(df, iter([{"lemma": words, "parse": labels}])).collect()), key=str)
     assert got == sorted([("lemma", "λογος", "λόγος"), ("lemma", "λογος", "λόγος"), ("parse", "Adverb", "adv."), ("lemma", None, "")], key=str)
-    assert map_values(df.limit(0), {}).count() == 0
-    assert [tuple(r) for r in list_candidates(df.where("field = 'lemma'").limit(1), words).collect()] == [("λογος", "λόγος", 0)]
+    assert map_values(df.limit(0), iter([])).count() == 0
+    assert [tuple(r) for r in list_candidates(df.where("field = 'lemma'").limit(1), iter([words])).collect()] == [("λογος", "λόγος", 0)]
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -83,7 +83,7 @@ def test_candidates_by_alias_and_length(spark):
     assert ("θεός", 0) in names("***") and names("2") == [("2", 0)] and names("") == []
     assert words.closest("παρμιδεμώφος") == "λόγος" and words.closest("παρμιδεμώφο") == ""
     df = spark.createDataFrame([("παρμιδεμώφος",)], "entered string")
-    assert sorted(map(tuple, list_candidates(df, words).collect())) == [("παρμιδεμώφος", "θεός", 0), ("παρμιδεμώφος", "λόγος", 0)]
+    assert sorted(map(tuple, list_candidates(df, iter([words])).collect())) == [("παρμιδεμώφος", "θεός", 0), ("παρμιδεμώφος", "λόγος", 0)]
 
 
 def test_query_of_candidates_has_aliases_and_bands(spark, tmp_path):
@@ -104,3 +104,34 @@ def test_only_whole_labels_say_nothing(spark, tmp_path):
     spark.createDataFrame([(1, "adv.")], "label_id int, label string").write.parquet(f"{tmp_path}/parse_labels.parquet")
     got = sorted((r.entered, r.canonical) for r in p6_found(spark, str(tmp_path)).collect())
     assert got == [("-\n", ""), ("adv.\n", "adv."), ("n/a\u2028", "")]
+
+
+def test_words_of_labels_outside_the_vocabulary():
+    labels = FeatureList([*LABELS, "nom. sg. masc. enclitic", "crasis"])
+    assert labels.closest("masc enclitic nom sg") == "nom. sg. masc. enclitic" and labels.closest("nom. sg. masc.") == "nom. sg. masc."
+    assert labels.closest("crassis") == "crasis" and labels.closest("nom. sg. masc. crasis") == "" and labels.closest("Adverb") == "adv."
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_blocks_find_what_one_list_finds(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("αβγάι") for _ in range(rng.randrange(2, 6)))
+    entries = sorted({word() for _ in range(60)}, key=lambda _: rng.random())
+    aliases = sorted({(word(), rng.choice(entries)) for _ in range(60)})
+    values = spark.createDataFrame([("lemma", v) for v in sorted({word() for _ in range(200)})] + [("lemma", None), ("other", "x")], "field string, entered string")
+    rows = [(i, e, None) for i, e in enumerate(entries)] + [(entries.index(e), e, v) for v, e in aliases]
+    rows.sort(key=lambda r: (r[0], r[2] or ""))
+    bands = ((1, 1), (4, 2))
+    lists = lambda n, slips: (WordList.of(rows[a : a + n], slips) for a in range(0, len(rows), n))
+    mapped = lambda n: sorted(map(tuple, map_values(values, ({"lemma": w} for w in lists(n, ((1, 1),)))).collect()), key=str)
+    assert mapped(7) == mapped(1000) and len(mapped(7)) == values.count()
+    whole = WordList(entries, aliases)
+    assert {r[1]: r[2] for r in mapped(7) if r[0] == "lemma" and r[1]} == {v: whole.closest(v) for _, v in values.dropna().collect() if _ == "lemma"}
+    near = lambda n: sorted(map(tuple, list_candidates(values.where("field = 'lemma'").select("entered"), lists(n, bands)).collect()))
+    assert near(7) == near(1000)
+
+
+def test_labels_in_blocks(spark):
+    values = spark.createDataFrame([("parse", v) for v in ("nom sg m", "adverb", "nom. sg.", "prres. act. inf.")], "field string, entered string")
+    run = lambda n: sorted(map(tuple, map_values(values, ({"parse": FeatureList(LABELS[a : a + n])} for a in range(0, len(LABELS), n))).collect()))
+    assert run(2) == run(100) == sorted([("parse", "nom sg m", "nom. sg. masc."), ("parse", "adverb", "adv."), ("parse", "nom. sg.", ""), ("parse", "prres. act. inf.", "pres. act. inf.")])

@@ -4,20 +4,26 @@ Reference entries, and alias variants as further paths to them, are the words of
 up by running a Levenshtein automaton (with swaps of neighbours) along the trie: the states are bit masks,
 one bit for each position of the value and one mask for each number of slips, and a branch ends where no
 state is left. All entries within a distance that depends on the length of the value are returned.
+
+A list of any size is taken in blocks: a worker holds the tries of one block, every value is looked up in each, and
+what the blocks found is compared by the same order as within a block.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
-from itertools import product
+from itertools import chain
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vocab import tags
+from .blocks import by_block, union
 from .lookalike import look
 
 
@@ -109,26 +115,41 @@ def _apart(a: str, b: str) -> int:
 
 
 class WordList:
-    """A reference list of words: entries in order of rank, and aliases (variant, entry)."""
-
-    def __init__(self, entries: list[str], aliases: list[tuple[str, str]], slips: tuple[tuple[int, int], ...] = ((1, 1),)):
-        """slips: (shortest length in letters, most slips) in rising order, for candidates and closest alike."""
-        self.entries, self.slips = entries, slips
-        number = {}
-        for i, e in enumerate(entries):
-            number.setdefault(e, i)
+    """A reference list of words, or a block of one: entries in order of rank, and aliases (variant, entry)."""
+
+    def __init__(self, entries: list[str], aliases: list[tuple[str, str]], slips: tuple[tuple[int, int], ...] = ((1, 1),), ranks: dict[str, int] | None = None):
+        """slips: (shortest length in letters, most slips) in rising order, for candidates and closest alike.
+
+        ranks: entry -> rank, for a block; it may name entries that only their aliases are in the block of. Else aliases
+        of what is no entry are left out.
+        """
+        self.slips = slips
+        own = {e: i for i, e in reversed([*enumerate(entries)])}
+        number = {e: i for i, e in enumerate([*own, *(e for e in ranks or {} if e not in own)])} if ranks else own
+        self.entries = [*number] if ranks else entries
+        self.ranks = [ranks[e] for e in number] if ranks else range(len(entries))
         self.exact: dict[str, int] = {}
-        for e, i in number.items():
-            self.exact.setdefault(look(e), i)
+        for e in own:
+            self.exact[look(e)] = min(number[e], self.exact.get(look(e), number[e]), key=lambda i: self.ranks[i])
         self.alias: dict[str, int] = {}
-        for variant, entry in sorted(set(aliases), key=lambda a: (number.get(a[1], -1), a)):
+        for variant, entry in sorted(set(aliases)):
             if entry in number:
-                self.alias.setdefault(look(variant), number[entry])
-        self.trie = Trie((letters(e), i) for e, i in number.items())
+                v, i = look(variant), number[entry]
+                self.alias[v] = min(i, self.alias.get(v, i), key=lambda i: self.ranks[i])
+        self.trie = Trie((letters(e), number[e]) for e in own)
         self.paths = Trie((v, i) for v, i in self.alias.items())
-        self.ways = [(letters(e), i) for e, i in number.items()]
+        self.ways = [(letters(e), number[e]) for e in own]
         self.ways += [(v, number[e]) for v, e in ((letters(v), e) for v, e in aliases if e in number) if v]
 
+    @classmethod
+    def of(cls, rows: Iterable[tuple[int, str, str | None]], slips: tuple[tuple[int, int], ...] = ((1, 1),)) -> WordList:
+        """A block of rows (rank, entry, None for the entry itself or an alias variant of it)."""
+        rows = list(rows)
+        ranks: dict[str, int] = {}
+        for rank, entry, _ in rows:
+            ranks[entry] = min(rank, ranks.get(entry, rank))
+        return cls([*dict.fromkeys(e for _, e, v in rows if v is None)], [(v, e) for _, e, v in rows if v is not None], slips, ranks)
+
     @cached_property
     def _both(self) -> tuple[Trie, Trie]:
         """Entries and alias variants in letters, read forwards and backwards."""
@@ -169,90 +190,69 @@ class WordList:
                 found[i] = 0
         return sorted(found.items())
 
-    def closest(self, value: str) -> str:
-        """The entry that value stands for, or the empty string.
+    def best(self, value: str) -> list[tuple[tuple[int, ...], str]]:
+        """The entry that value stands for, if any, with (way, distance in letters, distance with signs, rank).
 
         Same look before alias path before distance in letters. Among entries as close in letters the one
         counts that is closest with case, accents and signs, then the one of better rank.
         """
         seen = look(value)
         i = self.exact.get(seen)
-        if i is None:
-            hit = self.paths.within(seen, 0)
-            i = min(hit) if hit else None
-        if i is None:
-            near = self.near(value)
-            if not near:
-                return ""
-            least = min(near.values())
-            best = sorted(e for e, d in near.items() if d == least)
-            i = best[0] if len(best) == 1 else min(best, key=lambda e: (_apart(unicodedata.normalize("NFD", seen), unicodedata.normalize("NFD", self.entries[e])), e))
-        return self.entries[i]
-
-
-# The features that labels name, each with its spellings.
-FEATURES = {
-    ("tense", "pres"): "pres present",
-    ("tense", "impf"): "impf imperf imperfect",
-    ("tense", "fut"): "fut future",
-    ("tense", "aor"): "aor aorist",
-    ("tense", "perf"): "perf pf perfect",
-    ("tense", "plup"): "plup plupf plpf pluperf pluperfect",
-    ("voice", "act"): "act active",
-    ("voice", "mid"): "mid middle",
-    ("voice", "pass"): "pass passive",
-    ("mood", "ind"): "ind indic indicative",
-    ("mood", "subj"): "subj subjunctive",
-    ("mood", "opt"): "opt optative",
-    ("mood", "imp"): "imp imper impv imperative",
-    ("mood", "inf"): "inf infin infinitive",
-    ("mood", "part"): "part ptc ptcp participle",
-    ("case", "nom"): "nom nominative",
-    ("case", "gen"): "gen genitive",
-    ("case", "dat"): "dat dative",
-    ("case", "acc"): "acc accusative",
-    ("case", "voc"): "voc vocative",
-    ("number", "sg"): "sg sing s singular",
-    ("number", "dual"): "dual du",
-    ("number", "pl"): "pl plur p plural",
-    ("gender", "masc"): "masc m masculine",
-    ("gender", "fem"): "fem f feminine",
-    ("gender", "neut"): "neut n neuter",
-    ("person", "1"): "1 1st first",
-    ("person", "2"): "2 2nd second",
-    ("person", "3"): "3 3rd third",
-    ("degree", "comp"): "comp compar comparative",
-    ("degree", "superl"): "superl sup superlative",
-    ("word", "particle"): "particle",
-    ("word", "adverb"): "adv adverb adverbial",
-    ("word", "indeclinable"): "indecl indeclinable",
-}
-# Spellings that name two features at once.
-PAIRED = {"mp": (("voice", "mid"), ("voice", "pass")), "midpass": (("voice", "mid"), ("voice", "pass")), "mediopassive": (("voice", "mid"), ("voice", "pass"))}
+        if i is not None:
+            return [((0, 0, 0, self.ranks[i]), self.entries[i])]
+        if hit := self.paths.within(seen, 0):
+            i = min(hit, key=lambda i: self.ranks[i])
+            return [((1, 0, 0, self.ranks[i]), self.entries[i])]
+        near = self.near(value)
+        if not near:
+            return []
+        least = min(near.values())
+        apart = lambda i: _apart(unicodedata.normalize("NFD", seen), unicodedata.normalize("NFD", self.entries[i]))
+        return [min(((2, least, apart(i), self.ranks[i]), self.entries[i]) for i, d in near.items() if d == least)]
+
+    def closest(self, value: str) -> str:
+        """The entry that value stands for, or the empty string."""
+        return next((entry for _, entry in self.best(value)), "")
+
+
+# Spellings beside those of the closed vocabulary, and the spelling each stands for.
+MORE_SPELLINGS = {"pf": "perf", "plupf": "plup", "plpf": "plup", "impv": "imp", "ptcp": "part", "s": "sg", "p": "pl", "first": "1", "second": "2", "third": "3", "mediopassive": "mp"}
 _WORD = re.compile(r"[^\W_]+")
 #: Spellings shorter than this have to be right: a slip would make most of them something else.
 SLIP_FROM = 3
 
 
+def _words(label: str) -> list[str]:
+    return _WORD.findall(look(label).lower())
+
+
 class FeatureList:
     """A reference list of labels, each read as a set of features."""
 
     def __init__(self, labels: list[str]):
-        spelt: dict[str, frozenset] = {s: frozenset({f}) for f, names in FEATURES.items() for s in names.split()}
-        spelt |= {s: frozenset(f) for s, f in PAIRED.items()}
-        for p, n in product("123", ("sg", "pl")):
-            spelt[p + n] = spelt[p] | spelt[n]
-            spelt[p + n[0]] = spelt[p + n]
-        self.spelt, self.names = spelt, list(spelt)
-        self.trie = Trie((s, i) for i, s in enumerate(self.names))
-        self.widest = 1 + max(map(len, self.names))
-        self.longest = 1 + sum(max(map(len, names.split())) for names in FEATURES.values())
+        """Features are those of the closed vocabulary; any other word of a label is a feature of its own."""
+        spelt: dict[str, frozenset] = {s: frozenset(features) for s, features in tags().items()}
+        spelt |= {s: spelt[of] for s, of in MORE_SPELLINGS.items()}
+        self.spelt: dict[str, frozenset] = {}
+        self._spell(spelt)
+        unknown = {w for label in labels for w in _words(label) if not any(slips == 0 for _, slips in self._joined(w))}
+        self._spell(spelt | {w: frozenset({f"word={w}"}) for w in unknown})
         self.label: dict[frozenset, str] = {}
         for label in labels:
             for features, slips in self.readings(label):
                 if not slips:
                     self.label.setdefault(features, label)
 
+    def _spell(self, spelt: dict[str, frozenset]) -> None:
+        self.spelt, self.names = spelt, list(spelt)
+        self.trie = Trie((s, i) for i, s in enumerate(self.names))
+        self.widest = 1 + max(map(len, self.names))
+        longest: dict[frozenset, int] = {}
+        for s, features in spelt.items():
+            longest[features] = max(len(s), longest.get(features, 0))
+        self.longest = 1 + sum(longest.values())
+        self._word.cache_clear()
+
     @lru_cache(maxsize=65536)  # noqa: B019
     def _word(self, word: str) -> tuple[tuple[frozenset, int], ...]:
         """What a word may name, with its slips: as it is written, else at one slip."""
@@ -283,7 +283,7 @@ class FeatureList:
 
     def readings(self, value: str) -> Iterator[tuple[frozenset, int]]:
         """Every set of features that the value can be read as, with the slips that takes."""
-        words = _WORD.findall(look(value).lower())
+        words = _words(value)
         partial: dict[frozenset, int] = {frozenset(): 0} if words else {}
         for word in words:
             longer: dict[frozenset, int] = {}
@@ -296,45 +296,90 @@ class FeatureList:
             partial = longer
         yield from partial.items()
 
-    def closest(self, value: str) -> str:
-        """The label naming the same features, with the fewest slips; empty if there is none or two as good."""
-        best: dict[str, int] = {}
+    def best(self, value: str) -> list[tuple[tuple[int, ...], str]]:
+        """The labels naming the same features with the fewest slips, each with (slips,)."""
+        found: dict[str, int] = {}
         for features, slips in self.readings(value):
             if label := self.label.get(features):
-                best[label] = min(best.get(label, 99), slips)
-        if not best:
-            return ""
-        least = min(best.values())
-        top = [label for label, s in best.items() if s == least]
-        return top[0] if len(top) == 1 else ""
+                found[label] = min(found.get(label, 99), slips)
+        least = min(found.values(), default=0)
+        return [((least,), label) for label, s in found.items() if s == least]
 
+    def closest(self, value: str) -> str:
+        """The label naming the same features, with the fewest slips; empty if there is none or two as good."""
+        top = self.best(value)
+        return top[0][1] if len(top) == 1 else ""
+
+
+def blocks(rows: DataFrame, size: int) -> Iterator[list[tuple]]:
+    """The rows, in their order, in lists of `size`; at least one list."""
+    block: list[tuple] = []
+    any_yet = False
+    for row in rows.toLocalIterator():
+        block.append(tuple(row))
+        if len(block) >= size:
+            yield block
+            block, any_yet = [], True
+    if block or not any_yet:
+        yield block
+
+
+def map_values(values: DataFrame, finders: Iterator[dict]) -> DataFrame:
+    """values (field, entered) with `canonical`, the entry that the finder of the field gives, '' for none.
+
+    finders: for each block of the lists, field -> finder with best(value); a field that a block lacks has no entries
+    there. Of the entries that several blocks find the one with the least order counts; two as good give ''. Null values
+    and values of fields without a finder give an empty canonical. Every row is looked at once a block and comes out once;
+    make rows distinct before. values should be cheap to read again.
+    """
+    narrow = values.select(F.col("field").cast("string"), F.col("entered").cast("string"))
 
-def map_values(values: DataFrame, finders: dict[str, Callable[[str], str]]) -> DataFrame:
-    """values (field, entered) with `canonical`, the entry that finders[field] gives, '' for none.
+    def scan(shared: Broadcast) -> DataFrame:
+        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            of = shared.value
+            for batch in batches:
+                rows = [(f, v, order, entry) for f, v in zip(batch["field"], batch["entered"]) if v is not None and f in of for order, entry in of[f].best(v)]
+                yield pd.DataFrame(rows, columns=["field", "entered", "order", "canonical"])
 
-    Null values give an empty canonical. Every row is looked at once; make rows distinct before.
-    """
-    shared = values.sparkSession.sparkContext.broadcast(finders)
+        return narrow.mapInPandas(find, "field string, entered string, order array<int>, canonical string")
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = shared.value
-        for batch in batches:
-            batch["canonical"] = ["" if v is None else of[f](v) for f, v in zip(batch["field"], batch["entered"])]
-            yield batch
+    def settled(shared: Broadcast) -> DataFrame:
+        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            of = shared.value
+            for batch in batches:
+                batch["canonical"] = [of[f].closest(v) if v is not None and f in of else "" for f, v in zip(batch["field"], batch["entered"])]
+                yield batch
 
-    narrow = values.select(F.col("field").cast("string"), F.col("entered").cast("string"))
-    return narrow.mapInPandas(find, "field string, entered string, canonical string")
+        return narrow.mapInPandas(find, "field string, entered string, canonical string")
+
+    spark = values.sparkSession
+    first = next(finders, {})
+    second = next(finders, None)
+    if second is None:
+        return settled(spark.sparkContext.broadcast(first))
+    found = union(by_block(spark, chain([first, second], finders), scan, "mapped"))
+    least = found.groupBy("field", "entered").agg(F.min("order").alias("order"))
+    top = found.distinct().join(least, ["field", "entered", "order"]).groupBy("field", "entered").agg(F.count("*").alias("n"), F.min("canonical").alias("canonical"))
+    best = top.select("field", "entered", F.when(F.col("n") == 1, F.col("canonical")).alias("canonical"))
+    return narrow.join(best, ["field", "entered"], "left").fillna("", ["canonical"]).select("field", "entered", "canonical")
 
 
-def list_candidates(values: DataFrame, words: WordList) -> DataFrame:
-    """entered, entry, distance: all entries within the distance that the length of a value allows, alias variants counted in."""
-    shared = values.sparkSession.sparkContext.broadcast(words)
+def list_candidates(values: DataFrame, lists: Iterator[WordList]) -> DataFrame:
+    """entered, entry, distance: all entries within the distance that the length of a value allows, alias variants counted in.
+
+    lists: the blocks of the list. An entry whose aliases lie in several blocks has the least of its distances.
+    """
+    narrow = values.select(F.col("entered").cast("string"))
+
+    def scan(shared: Broadcast) -> DataFrame:
+        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            of = shared.value
+            for batch in batches:
+                rows = [(v, of.entries[e], d) for v in batch["entered"] if v is not None for e, d in of.candidates(v)]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["entered", "entry", "distance"])
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = shared.value
-        for batch in batches:
-            rows = [(v, of.entries[e], d) for v in batch["entered"] if v is not None for e, d in of.candidates(v)]
-            if rows:
-                yield pd.DataFrame(rows, columns=["entered", "entry", "distance"])
+        return narrow.mapInPandas(find, "entered string, entry string, distance int")
 
-    return values.select(F.col("entered").cast("string")).mapInPandas(find, "entered string, entry string, distance int")
+    parts = by_block(values.sparkSession, lists, scan, "candidates")
+    return parts[0] if len(parts) == 1 else union(parts).groupBy("entered", "entry").agg(F.min("distance").alias("distance"))

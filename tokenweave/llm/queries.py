@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import zip_longest
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.facts import KEY, unique
-from ..session import bounded_rows, cut, small, table
-from .canonical import FeatureList, WordList, list_candidates, map_values
+from ..session import cut, small, table
+from .blocks import spread
+from .canonical import FeatureList, WordList, blocks, list_candidates, map_values
 from .leakage import cleaned, leaks
 from .lookalike import unify_values
 from .mixing import mix, rates, reached, with_tokens
@@ -16,8 +20,8 @@ from .termstats import mark_terms, term_counts
 from .topn import top_per_group
 from .truncation import score_truncation
 
-#: Most rows a reference list may have; it is held by every worker.
-MOST_ENTRIES = 1_000_000
+#: Rows of a reference list (entries, alias variants, labels) in one block; every worker holds one block at a time.
+BLOCK_ENTRIES = 50_000
 #: p6_candidates: shortest length in letters and most slips from there on. p6_found has one slip at any length, by its definition.
 CANDIDATE_SLIPS = ((1, 1), (8, 2))
 
@@ -146,24 +150,31 @@ def _entered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.where(~unsaid).join(listed, ["field", "entered"], "left_anti").distinct()
 
 
-def _finders(spark: SparkSession, sf_dir: str, slips: tuple[tuple[int, int], ...] = ((1, 1),)) -> tuple[WordList, FeatureList]:
-    entries = bounded_rows(table(spark, sf_dir, "lexicon_entries").where("lemma is not null").select("rank", "lemma").orderBy("rank"), MOST_ENTRIES, "lexicon_entries")
-    aliases = bounded_rows(table(spark, sf_dir, "greek_core_5k_aliases").select("variant", "lemma").dropna().distinct(), MOST_ENTRIES, "greek_core_5k_aliases")
-    labels = bounded_rows(table(spark, sf_dir, "parse_labels").where("label is not null").orderBy("label_id").select("label"), MOST_ENTRIES, "parse_labels")
-    return WordList([r.lemma for r in entries], [tuple(r) for r in aliases], slips), FeatureList([r.label for r in labels])
+def _word_lists(spark: SparkSession, sf_dir: str, slips: tuple[tuple[int, int], ...] = ((1, 1),)) -> Iterator[WordList]:
+    """The entries and their alias variants, in blocks by rank."""
+    entries = table(spark, sf_dir, "lexicon_entries").select("rank", "lemma").dropna()
+    aliases = table(spark, sf_dir, "greek_core_5k_aliases").select("variant", "lemma").dropna().distinct()
+    ways = entries.withColumn("variant", F.lit(None).cast("string")).union(entries.join(aliases, "lemma").select("rank", "lemma", "variant"))
+    return (WordList.of(block, slips) for block in blocks(ways.orderBy("rank", "lemma", "variant"), BLOCK_ENTRIES))
+
+
+def _feature_lists(spark: SparkSession, sf_dir: str) -> Iterator[FeatureList]:
+    labels = table(spark, sf_dir, "parse_labels").where("label is not null").orderBy("label_id").select("label")
+    return (FeatureList([label for label, in block]) for block in blocks(labels, BLOCK_ENTRIES))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words, labels = _finders(spark, sf_dir)
     entered = cut(_entered(spark, sf_dir), "entered")
-    found = map_values(entered.select("field", "entered").distinct(), {"lemma": words.closest, "parse": labels.closest})
+    both = zip_longest(_word_lists(spark, sf_dir), _feature_lists(spark, sf_dir))
+    finders = ({f: x for f, x in (("lemma", words), ("parse", labels)) if x is not None} for words, labels in both)
+    found = map_values(spread(entered.select("field", "entered").distinct(), "values"), finders)
     return entered.join(found, ["field", "entered"]).select("run_id", "field", "entered", "canonical")
 
 
 def p6_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every lexicon entry that itself or by an alias is within the distance of each distinct entered lemma."""
-    words, _ = _finders(spark, sf_dir, CANDIDATE_SLIPS)
-    return list_candidates(_entered(spark, sf_dir).where("field = 'lemma'").select("entered").distinct(), words)
+    values = spread(_entered(spark, sf_dir).where("field = 'lemma'").select("entered").distinct(), "values")
+    return list_candidates(values, _word_lists(spark, sf_dir, CANDIDATE_SLIPS))
 
 # 7. Test items in documents
 

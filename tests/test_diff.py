@@ -4,6 +4,7 @@ import pytest
 
 from tokenweave.operators.diff import diff_copies
 from tokenweave.operators.repeats import thin_repeats
+from tokenweave.session import fresh_path, release, tasks_for
 
 SCHEMA = "a string, b int, x string, y int, extra string"
 
@@ -69,11 +70,30 @@ def test_against_brute_force_with_a_hot_key_and_long_texts(spark):
     assert sorted(got) == sorted(expected)
 
 
-def test_hot_keys_are_thinned_to_their_distinct_rows(spark):
-    rows = [("hot", 1, "u", 1, ""), ("hot", 1, "v", 1, ""), (None, None, "u", 1, "")] * 20000 + [(str(i), i, "u", 1, "") for i in range(300)] * 2
+def test_hot_keys_are_thinned_to_their_first_row(spark):
+    rows = [("hot", 1, "v", 1, ""), ("hot", 1, "u", 1, ""), ("hot", 1, "u", 2, None), (None, None, "u", 1, "")] * 20000 + [(str(i), i, "u", 1, "") for i in range(300)] * 2
     df = spark.createDataFrame(rows, SCHEMA)
-    thin = thin_repeats(df, ["a", "b"])
-    assert thin.where("a = 'hot'").count() == 2 and thin.where("a is null").count() == 1 and thin.where("b < 300 and a <> 'hot'").count() == 600
-    assert thin_repeats(df.where("a <> 'hot'"), ["a", "b"]).count() == 600
+    thin, n = thin_repeats(df, ["a", "b"])
+    assert thin.columns == df.columns and 60_000 < n < 100_000
+    assert thin.where("a = 'hot'").collect() == [("hot", 1, "u", 1, "")] and thin.where("a is null").count() == 1 and thin.where("b < 300 and a <> 'hot'").count() == 600
+    assert thin_repeats(df.where("a <> 'hot'"), ["a", "b"])[0].count() == 600
+    assert thin_repeats(df.select("a", "b"), ["a", "b"])[0].count() == 602
     left, right = df, spark.createDataFrame([("hot", 1, "w", 1, "")], SCHEMA)
     assert diff_copies(left, right, ["a", "b"], ["x"]).where("a = 'hot'").collect()[0][2:] == ("x", "u", "w")
+
+
+def test_tasks_follow_the_rows(spark):
+    df = spark.createDataFrame([], "a string, b int")
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks_for(df, 10) == few and tasks_for(df, 48_000_000) == -(-48_000_000 * 28 // (2 * 64 * 1024 * 1024)) and tasks_for(df, 10**12) > 200_000
+
+
+def test_what_is_written_goes_with_the_application(spark):
+    from pathlib import Path
+
+    at = fresh_path(spark, "x")
+    spark.range(3).write.parquet(at)
+    assert spark.read.parquet(at).count() == 3
+    release(spark)
+    assert not Path(at.removeprefix("file://")).parent.exists()
+    assert fresh_path(spark, "x") != at

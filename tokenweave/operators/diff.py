@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import tasks_for
 from .repeats import thin_repeats
 
 
@@ -105,7 +106,8 @@ def diff_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list
     * Text counts as equal if it is equal under canonical composition; null equals null only; keys are
       compared as stored, and a null key part equals a null one.
     * Rows that repeat a key count once; should they disagree, the one first in field order stands for its side.
-    * A key with very many copies is thinned to its distinct rows before the shuffle.
+    * Rows of a key with very many copies, alike or not, are combined within each task before the shuffle.
+    * partitions: by default as many as the number of rows calls for.
     * An empty copy makes every key of the other one missing; two empty copies give no row.
     * Extra columns are not read; columns may bear any names, those used inside included.
     """
@@ -124,8 +126,8 @@ def diff_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: list
         return df.select(*(at(c).alias(f"k{i}") for i, c in enumerate(keys)), F.lit(side).cast("tinyint").alias("side"), *(at(c).alias(f"f{i}") for i, c in enumerate(fields)))
 
     ks = [f"k{i}" for i in range(len(keys))]
-    both = thin_repeats(shaped(left, 0).unionByName(shaped(right, 1)), ks)
-    ranged = both.repartitionByRange(partitions, *ks) if partitions else both.repartitionByRange(*ks)
+    both, rows = thin_repeats(shaped(left, 0).unionByName(shaped(right, 1)), [*ks, "side"])
+    ranged = both.repartitionByRange(partitions or tasks_for(both, rows), *ks)
     ordered = ranged.sortWithinPartitions(*ks, "side", *(f"f{i}" for i in range(len(fields))))
     out = T.StructType([*(T.StructField(k, left.schema[c].dataType) for k, c in zip(ks, keys)), *(T.StructField(n, T.StringType()) for n in ("diff", "left_value", "right_value"))])
     plain = [(name, types[name] == "string") for name in fields]

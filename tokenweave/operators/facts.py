@@ -18,7 +18,7 @@ BLOCK = 1 << 16
 def unique(rows: DataFrame) -> DataFrame:
     """Rows that repeat a key once. One shuffle, by blocks of chapters: it keeps neighbours together and
     splits a chapter of any size. Which of several unlike rows of a key stays is not settled."""
-    blocked = thin_repeats(rows, KEY).withColumn("__block", F.floor(F.col("position") / BLOCK))
+    blocked = thin_repeats(rows, KEY)[0].withColumn("__block", F.floor(F.col("position") / BLOCK))
     return blocked.repartition("run_id", "chapter_index", "__block").dropDuplicates([*KEY, "__block"]).drop("__block")
 
 

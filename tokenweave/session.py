@@ -30,6 +30,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tokenweave/{spark.sparkContext.applicationId}"
+
+
+def _fs(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables this application wrote to the shared folder. What was made from them can't be read any more."""
+    fs, where = _fs(spark, _own_dir(spark))
+    fs.delete(where, True)
+
+
 _shipped: set[str] = set()
 
 
@@ -48,7 +63,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tokenweave/{label}-{uuid.uuid4().hex}"
+    """A path in the application's own part of the shared folder, which goes with the driver, or by release()."""
+    own = _own_dir(spark)
+    fs, where = _fs(spark, own)
+    if fs.mkdirs(where):
+        fs.deleteOnExit(where)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -64,6 +84,15 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """Tasks that a shuffle of so many rows of df calls for: as the session says, or more, so that one gets no more than the
+    advised size of a partition. A text counts as 20 bytes, other values as 8, half of it once compressed."""
+    spark = df.sparkSession
+    width = sum(20 if t == "string" else 8 for _, t in df.dtypes)
+    advised = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes"))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows * width // (2 * advised)))
+
+
 def bounded_rows(df: DataFrame, most: int, what: str) -> list:
     """Rows of a side table that must fit one process; raises beyond `most` instead of growing without notice."""
     rows = df.limit(most + 1).collect()

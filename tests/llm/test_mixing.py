@@ -28,7 +28,7 @@ def test_shares_caps_and_repeats(spark):
 def test_tokens_are_those_of_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
-    texts = ["A small text.", "", None, "naïve Ünïcode 42", "<|endoftext|>", "word " * 20000]
+    texts = ["A small text.", "", None, "naïve Ünïcode 42", "<|endoftext|>", "word " * 20000, " " * 200_000, "a" + "\n" * 30_000 + " b", "it's  we'll \t\n x\u00a0\u3000y", "😀" * 300, "a" * 50_000]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, __text string")
     t = Tokenizer.from_file(TOKENIZER)
     t.encode_special_tokens = True
@@ -44,3 +44,11 @@ def test_empty(spark):
     row = reached(mix(df, rated), rated).first()
     assert (row.rate, row.actual_share, row.mix_share) == (0, 0, 0)
     assert rates(counted(spark), targets.limit(0)).count() == 0
+
+
+def test_a_tokenizer_without_ranks(spark, tmp_path):
+    import shutil
+
+    alone = shutil.copy(TOKENIZER, tmp_path / "alone.json")
+    df = spark.createDataFrame([(1, "A small text."), (2, None)], "doc_id long, text string")
+    assert sorted(map(tuple, with_tokens(df, "text", str(alone)).collect())) == sorted(map(tuple, with_tokens(df, "text").collect())) == [(1, 4), (2, 0)]

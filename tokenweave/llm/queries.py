@@ -226,6 +226,12 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = rates(counted, table(spark, sf_dir, "mix_targets"))
     return reached(mix(counted, rated), rated)
 
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wanted mixture and the documents there are for it."""
+    counted = table(spark, sf_dir, "documents").select("source", F.lit(0).alias("tokens"))
+    return rates(counted, table(spark, sf_dir, "mix_targets")).select("source", "target_share", "max_repeats", "documents")
+
+
 # 9. Texts that break off
 
 
@@ -259,6 +265,7 @@ QUERIES = {
     "p7_items": p7_items,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p8_sources": p8_sources,
     "p9_found": p9_found,
     "p9_rates": p9_rates,
 }
@@ -269,6 +276,7 @@ ORACLES = {
     "p2_terms": _P2 + "SELECT * FROM m",
     "p7_found": _P7 + "SELECT doc_id, item_id FROM f",
     "p7_items": _P7 + "SELECT item_id, CAST(count(doc_id) AS BIGINT) AS documents FROM eval_items LEFT JOIN f USING (item_id) GROUP BY 1",
+    "p8_sources": "SELECT m.source, target_share, coalesce(max_repeats, 1) AS max_repeats, CAST(count(d.source) AS BIGINT) AS documents FROM mix_targets AS m LEFT JOIN documents AS d USING (source) GROUP BY 1, 2, 3",
     "p4_found": _P4 + "SELECT run_id, lemma, place, parse, form FROM r WHERE place <= 3",
     "p4_top_pairs": _P4 + "SELECT run_id, lemma, place, parse, form, n FROM r WHERE place <= 3",
 }

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from tokenweave.llm.lookalike import CLEAN, consistent, look, unify_values
+from tokenweave.llm.lookalike import CLEAN, SECOND_GREEK, consistent, look, readings, unify_values
 
 
 @pytest.mark.parametrize(
@@ -70,3 +70,12 @@ def test_line_breaks_at_the_end_are_found(spark):
     assert got == sorted((k, k[:-1]) for k, _ in rows if k != "clean")
     mixed = spark.createDataFrame([("m", "λόγoς")], "row_key string, value string")  # a word with a line break attests nothing
     assert [r.status for r in unify_values(mixed, df.where("value like 'λόγος_'").select("value")).collect()] == ["script_unattested"]
+
+
+def test_letters_that_look_like_two_are_read_by_the_vocabulary(spark):
+    assert readings("λόγος") == [] and readings("λόγοс") == ["λόγος"] and readings("φyσις") == ["φγσις", "φυσις"]
+    assert len(readings("αβγδεζηθικ" * 3 + "".join(SECOND_GREEK) * 2)) == 2 ** len(SECOND_GREEK)
+    rows = [("φyσις", 1), ("φyσις", 2), ("nνευμα", 3), ("vόμος", 4), ("vlx", 5), ("ξyστις", 6)]
+    words = spark.createDataFrame([("φυσις",), ("πνευμα",), ("νόμος",), ("υόμος",), ("ξyστις",)], "value string")
+    got = {r.n: (r.consistent, r.status) for r in unify_values(spark.createDataFrame(rows, "value string, n int"), words).collect()}
+    assert got == {1: ("φυσις", "script"), 2: ("φυσις", "script"), 3: ("πνευμα", "script"), 4: ("νόμος", "script"), 6: ("ξγστις", "script_unattested")}

@@ -106,7 +106,7 @@ def _unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _unified(spark, sf_dir).select("field", "row_key").distinct()
+    return _unified(spark, sf_dir).where("consistent <> value").select("field", "row_key").distinct()
 
 
 def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,3 +150,23 @@ def test_totals_and_lines_of_every_chapter(spark):
     for c in (0, 1, 2):
         by = lemma.concordance(f, want, by_chapter=True).where(f"chapter_index = {c}")
         assert rows(by, "position", "line", "total") == rows(lemma.concordance(f, want, chapter_index=c), "position", "line", "total")
+
+
+def test_contexts_reach_over_blocks_and_gaps(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    at = {c: sorted(rng.sample(range(200), n)) for c, n in ((0, 60), (1, 3), (2, 25))}
+    made = [("r", "a", c, "i", "t", p, "noun", rng.choice("xyz"), f"f{c}-{p}", NOM) for c, ps in at.items() for p in ps]
+    f = spark.createDataFrame(made, "run_id string, filename string, chapter_index int, chapter_id string, chapter_title string, position int, type string, lemma string, form string, parse string")
+    want = spark.createDataFrame([("r", "x")], "run_id string, lemma string")
+    form = {(r[2], r[5]): r[8] for r in made}
+    expected = sorted((c, p, [form[c, q] for q in at[c] if q < p][-6:], [form[c, q] for q in at[c] if q > p][:6]) for _, _, c, _, _, p, _, w, *_ in made if w == "x")
+    for block in (3, 50, 1 << 16):
+        monkeypatch.setattr(lemma, "BLOCK", block)
+        assert sorted((r.chapter_index, r.position, r.before, r.after) for r in lemma.concordance(f, want, limit=None).collect()) == expected
+
+
+def test_profile_and_counts_of_a_run_without_labels(spark):
+    decoded = mo.decode(facts(spark, [("λόγος", "λόγος", "", 0)]))
+    assert grammar.profile(decoded).count() == grammar.profile(decoded, refs(spark, 2)).count() == grammar.inventory_counts(decoded, refs(spark, 2)).count() == 0

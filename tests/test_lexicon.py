@@ -92,3 +92,21 @@ def test_frequency_list(spark):
     glosses = spark.createDataFrame([(2, "λόγος", "word"), (1, "λόγος", "speech")], "rank int, match_key string, gloss string")
     got = rows(lx.frequency_list(f, {"noun": "L", "article": "F"}, glosses), "rank", "lemma", "gloss", "kind", "ref_count", "ref_coverage")
     assert got == [(1, "λόγος", "speech", "L", 2, 40.0), (2, "ὁ", "", "F", 2, 80.0), (3, "οὕτως", "", "", 1, 100.0)]
+
+
+def test_ranks_over_many_ranges(spark):
+    import random
+
+    rng = random.Random(2)
+    counts = [(f"w{i:04}", rng.choice([1, 1, 1, 2, 5, 40]), "noun") for i in range(400)]
+    df = spark.createDataFrame(counts, "lemma string, ref_count long, type string").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((r["rank"], r.lemma, r.running, r.everything) for r in lx._ranks(df).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order, so_far, expected = sorted(counts, key=lambda c: (-c[1], c[0])), 0, []
+    for i, (w, n, _) in enumerate(order, 1):
+        so_far += n
+        expected.append((i, w, so_far, sum(c[1] for c in counts)))
+    assert got == expected

@@ -64,6 +64,13 @@ def test_order_ids_and_titles(spark):
     assert got == [(0, "B.docx", "1-document", "Document"), (1, "B.docx", "2-" + "c" * 62, "C" * 80), (2, "Chapter 2.docx", "3-alpha-beta", "Alpha Beta!"), (3, "Chapter 2.docx", "4-ch-4", "Λόγος"), (4, "Chapter 10.docx", "5-chapter-10", "Chapter 10")]
 
 
+def test_natural_order_of_digits_of_any_length(spark):
+    names = ["a" + "9" * 30, "a1" + "0" * 30, "a10", "A2", "a007", "a!", "a", "a2b", "a2b1"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    key = lambda n: [int(x) if x.isdigit() else x.lower() for x in re.split(r"(\d+)", n)]
+    assert [r.n for r in df.orderBy(text.natural_key(F.col("n"))).collect()] == sorted(names, key=key)
+
+
 def test_docx_to_facts(spark, tmp_path):
     (tmp_path / "A.docx").write_bytes(docx.write_docx([(None, "before"), ("One", "οὐ οὐκ, οὐ.\n\n[note] end"), ("Empty", ""), (" ", "more")]))
     (tmp_path / "Chapter 4.docx").write_bytes(docx.write_docx([(None, "solo text")]))

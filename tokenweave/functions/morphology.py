@@ -162,11 +162,13 @@ def decode_labels(labels: DataFrame) -> DataFrame:
     return flat.select("*", signature(m).alias("signature"), form_class(m).alias("form_class"), is_verb_form(m, F.col("type")).alias("is_verb_form"), missing_voice(m, F.col("type")).alias("missing_voice"), sort_key(m).alias("sort_key"))
 
 
-def decode(facts: DataFrame) -> DataFrame:
+def decode(facts: DataFrame, raw: DataFrame | None = None) -> DataFrame:
     """facts with decode_labels' columns. parse and type must not be null.
 
     Each distinct (parse, type) is decoded once, into a table in the shared folder: the long expression is
-    evaluated and optimised once, and its real size decides whether the join broadcasts it.
+    evaluated and optimised once, and its real size decides whether the join broadcasts it. raw: a table that holds
+    all labels of facts and is cheaper to read, such as the one that facts were made from; its nulls count as empty.
     """
-    labels = cut(decode_labels(facts.select("parse", "type").distinct()), "labels")
+    source = facts if raw is None else raw.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("parse", "type")))
+    labels = cut(decode_labels(source.select("parse", "type").distinct()), "labels")
     return facts.join(small(labels), ["parse", "type"])

@@ -19,19 +19,23 @@ def rows(facts: DataFrame) -> DataFrame:
     type of the first token; forms ranked by count, then first position; the first of them is `form`, whose
     span covers every parse of (lemma, form).
     """
-    forms = form_counts(facts)
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("occ")).alias("n"), "first_position", "form")))
-    grouped = forms.groupBy(RUN, "chapter_index", "lemma", "parse").agg(F.sum("occ").alias("parse_occ"), F.min("first_position").alias("first_position"), F.min_by("type", "first_position").alias("type"), ranked.alias("r"))
+    # one exchange by lemma serves every window and group but the last; the counts before it are combined within tasks
+    forms = form_counts(facts).repartition(RUN, "lemma")
+    in_form = Window.partitionBy(RUN, "lemma", "form")
+    spanned = forms.select("*", F.min("chapter_index").over(in_form).alias("a"), F.max("chapter_index").over(in_form).alias("b"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("occ")).alias("n"), "first_position", "form", "a", "b")))
+    grouped = spanned.groupBy(RUN, "chapter_index", "lemma", "parse").agg(F.sum("occ").alias("parse_occ"), F.min("first_position").alias("first_position"), F.min_by("type", "first_position").alias("type"), ranked.alias("r"))
     in_lemma = Window.partitionBy(RUN, "lemma").orderBy("chapter_index")
     in_parse = Window.partitionBy(RUN, "lemma", "parse").orderBy("chapter_index").rowsBetween(Window.unboundedPreceding, 0)
     whole_lemma, whole_parse = Window.partitionBy(RUN, "lemma"), Window.partitionBy(RUN, "lemma", "parse")
     here = Window.partitionBy(RUN, "lemma", "chapter_index")
-    form = F.col("r")[0]["form"]
-    spans = forms.groupBy(RUN, "lemma", "form").agg(F.min("chapter_index").alias("form_first_chapter"), F.max("chapter_index").alias("form_last_chapter"))
-    counted = grouped.select(
+    first = F.col("r")[0]
+    joined = grouped.select(
         "*",
-        form.alias("form"),
-        (-F.col("r")[0]["n"]).alias("form_occ"),
+        first["form"].alias("form"),
+        (-first["n"]).alias("form_occ"),
+        first["a"].alias("form_first_chapter"),
+        first["b"].alias("form_last_chapter"),
         F.sum("parse_occ").over(here).alias("lemma_occ"),
         F.sum("parse_occ").over(in_lemma.rangeBetween(Window.unboundedPreceding, 0)).alias("lemma_cum"),
         F.sum("parse_occ").over(in_parse).alias("parse_cum"),
@@ -40,7 +44,6 @@ def rows(facts: DataFrame) -> DataFrame:
         F.min("chapter_index").over(whole_parse).alias("parse_first_chapter"),
         F.max("chapter_index").over(whole_parse).alias("parse_last_chapter"),
     )
-    joined = counted.join(spans, [RUN, "lemma", "form"])
     chapter = F.col("chapter_index")
     return joined.select(
         RUN, "chapter_index", (F.row_number().over(Window.partitionBy(RUN, "chapter_index").orderBy("first_position")) - 1).alias("row_no"),

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vocab import DIMENSIONS, FORM_CLASSES, VALUES
-from .tracks import RUN, by_chapter, dense, readings, span, stated
+from ..session import cut
+from .tracks import RUN, dense, readings, span, stated
 
 
 def vocabulary(like: DataFrame) -> DataFrame:
@@ -22,9 +23,11 @@ def profile(decoded: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
     chapters: for every chapter, the count there and up to there; first, last and chapter_count are the run's.
     `stated` and `stated_cumulative` count tokens that state the dimension, which is not the sum of its rows.
     """
-    pairs = stated(decoded)
-    dims = by_chapter(pairs, ["dimension"])
-    values = by_chapter(readings(pairs), ["dimension", "value"])
+    # facts are grouped once, by all dimensions together; what follows reads that small table
+    combined = cut(decoded.groupBy(RUN, "chapter_index", *DIMENSIONS).agg(F.count("*").alias("n")), "profile")
+    said = stated(combined, "n")
+    dims = said.groupBy(RUN, "dimension", "chapter_index").agg(F.sum("n").alias("occ"))
+    values = readings(said).groupBy(RUN, "dimension", "value", "chapter_index").agg(F.sum("n").alias("occ"))
     whole = span(values, ["dimension", "value"]).drop("chapters")
     total = dims.groupBy(RUN, "dimension").agg(F.sum("occ").alias("stated"))
     grid = total.join(F.broadcast(vocabulary(decoded)), "dimension").join(whole, [RUN, "dimension", "value"], "left")
@@ -37,13 +40,21 @@ def profile(decoded: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
     return rows.select(RUN, "chapter_index", "dimension", "value", "dimension_order", "value_order", zero("occ"), zero("cumulative"), "first_chapter", "last_chapter", zero("chapter_count"), "stated", "stated_cumulative")
 
 
+def combinations(decoded: DataFrame) -> DataFrame:
+    """Each combination of features per chapter: run_id, signature, form_class, sort_key, chapter_index, occ, p (the first position)."""
+    return decoded.where("signature <> ''").groupBy(RUN, "signature", "form_class", "sort_key", "chapter_index").agg(F.count("*").alias("occ"), F.min("position").alias("p"))
+
+
 def inventory(decoded: DataFrame) -> DataFrame:
     """Each combination of features of a run: form_class, signature, order (from 0), occ, first and last chapter, chapter_count.
 
     Paradigm order; combinations that tie stand in order of first appearance.
     """
-    some = decoded.where("signature <> ''")
-    track = some.groupBy(RUN, "signature", "form_class", "sort_key", "chapter_index").agg(F.count("*").alias("occ"), F.min("position").alias("p"))
+    return inventory_of(combinations(decoded))
+
+
+def inventory_of(track: DataFrame) -> DataFrame:
+    """inventory() from combinations()."""
     whole = track.groupBy(RUN, "signature", "form_class", "sort_key").agg(F.sum("occ").alias("occ"), F.min("chapter_index").alias("first_chapter"), F.max("chapter_index").alias("last_chapter"), F.count("*").alias("chapter_count"), F.min(F.struct("chapter_index", "p")).alias("seen"))
     place = F.row_number().over(Window.partitionBy(RUN).orderBy("sort_key", "seen")) - 1
     return whole.select(RUN, "form_class", "signature", place.alias("order"), "occ", F.col("occ").alias("cumulative"), "first_chapter", "last_chapter", "chapter_count")
@@ -59,9 +70,16 @@ def inventory_tables(decoded: DataFrame) -> DataFrame:
 
 def inventory_counts(decoded: DataFrame, chapters: DataFrame) -> DataFrame:
     """Per chapter: order, occ and cumulative of the combinations met so far."""
-    order = inventory(decoded).select(RUN, "signature", "order")
-    grid = dense(by_chapter(decoded.where("signature <> ''"), ["signature"]), ["signature"], chapters)
-    return grid.where("cumulative > 0").join(order, [RUN, "signature"]).select(RUN, "chapter_index", "order", "occ", "cumulative")
+    return counts_of(cut(combinations(decoded), "combinations"), chapters)
+
+
+def counts_of(track: DataFrame, chapters: DataFrame) -> DataFrame:
+    """inventory_counts() from combinations(): each combination in its chapters from the first on, no others."""
+    listed = inventory_of(track).select(RUN, "signature", "order", "first_chapter")
+    later = listed.join(chapters.select(RUN, "chapter_index"), RUN).where("chapter_index >= first_chapter")
+    here = later.join(track.select(RUN, "signature", "chapter_index", "occ"), [RUN, "signature", "chapter_index"], "left").fillna(0, ["occ"])
+    so_far = F.sum("occ").over(Window.partitionBy(RUN, "order").orderBy("chapter_index").rowsBetween(Window.unboundedPreceding, 0))
+    return here.select(RUN, "chapter_index", "order", "occ", so_far.alias("cumulative"))
 
 
 def coverage(decoded: DataFrame, by: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .facts import BLOCK
 from .tracks import RUN, by_chapter, running
 
 WORD = [RUN, "lemma"]
@@ -70,19 +71,24 @@ def concordance(facts: DataFrame, wanted: DataFrame, context: int = 6, limit: in
     """The places of the wanted words (run_id, lemma) in reading order, with up to `context` forms before and after.
 
     line counts from 1 within a word; total is the number of places in scope, beside the first `limit`. Only chapters that hold a
-    wanted word are sorted; contexts end with the chapter. chapter_index narrows the places, not the contexts. by_chapter gives
+    wanted word are sorted, in blocks of positions, so that no chapter is too long for a task; what a block lacks at its ends comes
+    from the blocks around it. Contexts end with the chapter. chapter_index narrows the places, not the contexts. by_chapter gives
     what that gives for every chapter: line, total and limit count within a word and chapter.
     """
-    places = facts.join(wanted.select(*WORD), WORD, "left_semi").select(RUN, "chapter_index").distinct()
-    w = Window.partitionBy(RUN, "chapter_index").orderBy("position")
-    around = facts.join(places, [RUN, "chapter_index"], "left_semi").select(
-        RUN, "chapter_index", "position", "lemma", "form", "parse",
-        F.collect_list("form").over(w.rowsBetween(-context, -1)).alias("before"),
-        F.collect_list("form").over(w.rowsBetween(1, context)).alias("after"),
-    )
+    at, whole = [RUN, "chapter_index", "block"], [RUN, "chapter_index"]
+    places = facts.join(wanted.select(*WORD), WORD, "left_semi").select(*whole).distinct()
+    w = Window.partitionBy(*at).orderBy("position")
+    forms = lambda a, b: F.collect_list("form").over(w.rowsBetween(a, b))
+    around = facts.withColumn("block", F.floor(F.col("position") / BLOCK)).join(places, whole, "left_semi").select(*at, "position", "lemma", "form", "parse", forms(-context, -1).alias("before"), forms(1, context).alias("after"))
+    tail, head = F.concat("before", F.array("form")), F.concat(F.array("form"), "after")
+    edges = around.groupBy(*at).agg(F.max_by(tail, "position").alias("tail"), F.min_by(head, "position").alias("head"))
+    blocks = Window.partitionBy(*whole).orderBy("block")
+    carried = edges.select(*at, F.flatten(F.collect_list("tail").over(blocks.rowsBetween(-context, -1))).alias("left"), F.flatten(F.collect_list("head").over(blocks.rowsBetween(1, context))).alias("right"))
+    last = lambda a: F.slice(a, F.greatest(F.size(a) - context, F.lit(0)) + 1, context)
     hits = around.join(wanted.select(*WORD), WORD, "left_semi")
     if chapter_index is not None:
         hits = hits.where(F.col("chapter_index") == chapter_index)
+    hits = hits.join(carried, at).select(*whole, "position", "lemma", "form", "parse", last(F.concat("left", "before")).alias("before"), F.slice(F.concat("after", "right"), 1, context).alias("after"))
     scope = Window.partitionBy(*WORD, *["chapter_index"] * by_chapter)
     lines = scope.orderBy("chapter_index", "position")
     found = hits.select("*", F.row_number().over(lines).alias("line"), F.count("*").over(scope).alias("total"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import fold_key, is_proper, match_key, safe_share
 from ..functions.vocab import MATCHES
-from ..session import small
+from ..session import cut, small
 from .lemma import dominant_type
 from .tracks import RUN, by_chapter
 
@@ -39,11 +39,12 @@ def lookup(lemmas: DataFrame, entries: DataFrame, aliases: DataFrame, match: Key
 
     lemmas: one distinct column; lemmas without a match are absent. ambiguous: the key has more than one entry.
     """
-    words = lemmas.select("lemma", match(F.col("lemma")).alias("m"), fold(F.col("lemma")).alias("f"))
+    words = cut(lemmas.select("lemma", match(F.col("lemma")).alias("m"), fold(F.col("lemma")).alias("f")), "keys")  # once, not in each layer
     listed = entries.select("rank", "match_key", "fold_key")
+    aliased = cut(resolve_aliases(aliases, entries, match).withColumnRenamed("match_key", "m"), "aliases")
     layers = (
         words.join(small(listed.select(F.col("match_key").alias("m"), "rank")), "m").select("lemma", "rank", F.lit(0).alias("layer"))
-        .unionByName(words.join(small(resolve_aliases(aliases, entries, match).withColumnRenamed("match_key", "m")), "m").select("lemma", "rank", F.lit(1).alias("layer")))
+        .unionByName(words.join(small(aliased), "m").select("lemma", "rank", F.lit(1).alias("layer")))
         .unionByName(words.join(small(listed.select(F.col("fold_key").alias("f"), "rank")), "f").select("lemma", "rank", F.lit(2).alias("layer")))
     )
     best = F.min("layer").over(Window.partitionBy("lemma"))
@@ -160,12 +161,16 @@ def frequency_list(facts: DataFrame, kinds: dict[str, str], glosses: DataFrame,
 
 
 def _ranks(counts: DataFrame) -> DataFrame:
-    """rank and running by (-ref_count, lemma), without one window over all words: words of one count are
-    ranked among themselves, and what precedes a count comes from a table of counts."""
-    per = counts.groupBy("ref_count").agg(F.count("*").alias("words"))
-    w = Window.orderBy(F.desc("ref_count")).rowsBetween(Window.unboundedPreceding, -1)
-    before = per.select("ref_count", F.coalesce(F.sum("words").over(w), F.lit(0)).alias("words_before"), F.coalesce(F.sum(F.col("words") * F.col("ref_count")).over(w), F.lit(0)).alias("tokens_before"))
-    total = counts.agg(F.sum("ref_count").alias("everything"))
-    at = F.row_number().over(Window.partitionBy("ref_count").orderBy("lemma"))
-    placed = counts.withColumn("at", at).join(before, "ref_count").crossJoin(F.broadcast(total))
-    return placed.withColumn("rank", (F.col("words_before") + F.col("at")).cast("int")).withColumn("running", F.col("tokens_before") + F.col("at") * F.col("ref_count"))
+    """rank and running by (-ref_count, lemma), without a window over many words: words are put into ranges of that order,
+    each range is numbered by itself, and what precedes a range comes from a table of ranges."""
+    ranged = counts.repartitionByRange(F.desc("ref_count"), "lemma").sortWithinPartitions(F.desc("ref_count"), "lemma")
+    # an id is the number of its range, then that of its row in it; written, since a range is no longer one when it is made again
+    stored = cut(ranged.withColumn("id", F.monotonically_increasing_id()), "ranked").withColumn("range", F.shiftright("id", 33))
+    per = stored.groupBy("range").agg(F.count("*").alias("words"), F.sum("ref_count").alias("tokens"))
+    w = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = per.select("range", F.coalesce(F.sum("words").over(w), F.lit(0)).alias("words_before"), F.coalesce(F.sum("tokens").over(w), F.lit(0)).alias("tokens_before"))
+    total = per.agg(F.sum("tokens").alias("everything"))
+    so_far = F.sum("ref_count").over(Window.partitionBy("range").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    placed = stored.withColumn("so_far", so_far).join(small(before), "range").crossJoin(F.broadcast(total))
+    at = F.col("id") - F.shiftleft("range", 33) + 1
+    return placed.withColumn("rank", (F.col("words_before") + at).cast("int")).withColumn("running", F.col("tokens_before") + F.col("so_far"))

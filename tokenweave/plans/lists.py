@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
@@ -37,7 +37,7 @@ class Lens:
         self.chapters = load_chapters(spark, d)
         entries = table(spark, d, "lexicon_entries")
         reference = entries.where("lemma is not null").agg(F.coalesce(F.sum("ref_count"), F.lit(0)).alias("n")).first().n
-        self.entries = lx.keyed(entries, reference)
+        self.entries = cut(lx.keyed(entries, reference), "entries")
         self.aliases = table(spark, d, "greek_core_5k_aliases")
         lemmas = table(spark, d, "token_facts").select(F.coalesce("lemma", F.lit("")).alias("lemma")).distinct()
         self.matches = cut(lx.lookup(lemmas, self.entries, self.aliases), "matches")
@@ -348,11 +348,16 @@ def src_locate(spark, d):
     return tx.locate(tx.word_provider(_cleaned(spark, d))).groupBy(RUN, "chapter_index").agg(F.count("*").alias("tokens"))
 
 
-@query("src_natural_order")
+_NATURAL = """, nk AS (SELECT *, string_split_regex(lower(filename), '[0-9]+') AS ps, regexp_extract_all(filename, '[0-9]+') AS ns FROM t),
+nat AS (SELECT *, flatten(list_transform(range(1, len(ps) + 1), lambda i: CASE WHEN i <= len(ns) THEN [ps[i], lpad(ns[i], 60, '0')] ELSE [ps[i]] END)) AS nkey FROM nk)"""
+
+
+@query("src_natural_order", "z AS (SELECT 1)" + _NATURAL + ", u AS (SELECT DISTINCT run_id, filename, nkey FROM nat WHERE filename IS NOT NULL) SELECT run_id, filename, CAST(row_number() OVER (PARTITION BY run_id ORDER BY nkey, filename) AS INTEGER) AS place FROM u", _T)
 def src_natural_order(spark, d):
     """The files of each run in natural order."""
     files = _texts(spark, d).select(RUN, "filename").distinct().dropna()
-    return files.select(RUN, "filename", tx.natural_key(F.col("filename")).alias("natural_key")).orderBy(RUN, "natural_key")
+    w = Window.partitionBy(RUN).orderBy(tx.natural_key(F.col("filename")), "filename")
+    return files.select(RUN, "filename", F.row_number().over(w).alias("place"))
 
 
 @query("src_slug_id", "z AS (SELECT 1), s AS (SELECT run_id, chapter_index, regexp_replace(regexp_replace(lower(coalesce(title, '')), '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g') AS slug FROM t) SELECT run_id, chapter_index, substr((chapter_index + 1) || '-' || CASE WHEN slug = '' THEN 'ch-' || (chapter_index + 1) ELSE slug END, 1, 64) AS id FROM s", _T)
@@ -366,7 +371,10 @@ def src_chapter_refs(spark, d):
     return _texts(spark, d).select(RUN, "chapter_index", (F.col("text") == "").alias("empty"))
 
 
-@query("src_arrange")
+@query("src_arrange", "z AS (SELECT 1)" + _NATURAL + """, a AS (SELECT run_id, filename, CAST(row_number() OVER (PARTITION BY run_id ORDER BY nkey NULLS FIRST, filename NULLS FIRST, chapter_index) AS INTEGER) AS n,
+CASE WHEN count(*) OVER (PARTITION BY run_id, filename) = 1 AND coalesce(title, '') = 'Document' THEN regexp_replace(filename, '(.)\\.[^.]*$', '\\1') ELSE coalesce(title, '') END AS title FROM nat),
+b AS (SELECT *, regexp_replace(regexp_replace(lower(title), '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g') AS slug FROM a)
+SELECT run_id, filename, n - 1 AS chapter_index, substr(n || '-' || CASE WHEN slug = '' THEN 'ch-' || n ELSE slug END, 1, 64) AS chapter_id, title FROM b""", _T)
 def src_arrange(spark, d):
     """Chapters put in corpus order from their files, with new ids."""
     sections = _texts(spark, d).select(RUN, "filename", F.col("chapter_index").alias("section_no"), F.coalesce("title", F.lit("")).alias("title"), "text")

@@ -12,7 +12,7 @@ from ..functions.vocab import DIMENSIONS
 from ..operators import chapters as chap
 from ..operators import export, grammar, lemma, text, tracks, views
 from ..operators.facts import load_chapters, load_facts
-from ..session import table
+from ..session import cut, table
 from .base import DECODED, WITH
 
 RUN = "run_id"
@@ -24,7 +24,13 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, d: str) -> DataFrame:
-    return mo.decode(load_facts(spark, d, "type", "parse"))
+    return mo.decode(load_facts(spark, d, "type", "parse"), table(spark, d, "token_facts"))
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    """Every distinct label and part of speech, decoded; no facts need be made unique for that."""
+    raw = table(spark, d, "token_facts").select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("parse", "type")))
+    return mo.decode_labels(raw.distinct())
 
 
 QUERIES: dict = {}
@@ -54,7 +60,7 @@ def add(name: str, fn, sql: str | None = None, base: str = WITH) -> None:
 CAST(array_to_string(sort_key, ' ') AS VARCHAR) AS sort_key FROM m""", DECODED)
 def m_decode(spark, d):
     """Every distinct label and part of speech, decoded."""
-    labels = mo.decode_labels(load_facts(spark, d, "type", "parse").select("parse", "type").distinct())
+    labels = _labels(spark, d)
     return labels.select("parse", "type", *DIMENSIONS, "status", "is_deponent", F.array_join("descriptors", BAR).alias("descriptors"), F.array_join("unparsed", BAR).alias("unparsed"), "signature", "form_class", "is_verb_form", "missing_voice", F.array_join("sort_key", " ").alias("sort_key"))
 
 
@@ -74,15 +80,11 @@ SELECT u.dimension, u.value, string_agg(name, '/' ORDER BY i) AS label FROM u JO
 @query("m_feature_label", _label_sql(), DECODED)
 def m_feature_label(spark, d):
     """Names of all values that occur, compound ones too."""
-    labels = mo.decode_labels(load_facts(spark, d, "type", "parse").select("parse", "type").distinct())
+    labels = _labels(spark, d)
     pairs = F.explode(F.array(*(F.struct(F.lit(x).alias("dimension"), F.col(x).alias("value"), F.when(F.col(x).isNotNull(), mo.feature_label(x, F.col(x))).alias("label")) for x in DIMENSIONS)))
     return labels.select(pairs.alias("p")).select("p.*").where("value is not null").distinct()
 
 
-def _labels(spark, d):
-    return mo.decode_labels(load_facts(spark, d, "type", "parse").select("parse", "type").distinct())
-
-
 @query("m_has", "SELECT parse, type, list_contains(string_split(coalesce(\"case\", ''), '|'), 'nom') AS nominative, list_contains(string_split(coalesce(voice, ''), '|'), 'pass') AS passive FROM m", DECODED)
 def m_has(spark, d):
     """Labels that have a reading, alone or among others."""
@@ -361,8 +363,8 @@ CAST(sum(occ) OVER w AS BIGINT) AS class_tokens, CAST(sum(cumulative) OVER w AS
 
 
 def _combo(spark, d):
-    decoded, chapters = _decoded(spark, d), load_chapters(spark, d)
-    return views.chapter_combinations(grammar.inventory(decoded), grammar.inventory_counts(decoded, chapters), chapters)
+    track, chapters = cut(grammar.combinations(_decoded(spark, d)), "combinations"), load_chapters(spark, d)
+    return views.chapter_combinations(grammar.inventory_of(track), grammar.counts_of(track, chapters), chapters)
 
 
 @query("ui_combo_join", _COMBO + " SELECT * FROM combo", DECODED)

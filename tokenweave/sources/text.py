@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -70,10 +71,12 @@ def chunks(text: Column, limit: int = 1200) -> Column:
     return _pack(pieces, "\n\n", limit)
 
 
-def natural_key(name: Column, width: int = 20) -> Column:
-    """A sort key that compares runs of digits as numbers (up to `width` digits) and letters without case."""
-    padded = F.regexp_replace(F.lower(name), r"(\d+)", "0" * width + "$1")
-    return F.regexp_replace(padded, r"\d*(\d{" + str(width) + r"})(?!\d)", "$1")
+def natural_key(name: Column) -> Column:
+    """A sort key that compares runs of digits as numbers, however long, and what stands between them without case."""
+    digits = F.regexp_extract_all(name, F.lit(r"(\d+)"), F.lit(1))
+    number = lambda n: F.concat(F.lpad(F.length(n).cast("string"), 10, "0"), n)  # noqa: E731 - longer numbers are larger
+    pairs = F.zip_with(F.split(F.lower(name), r"\d+"), F.transform(digits, lambda n: number(F.ltrim(n, F.lit("0")))), lambda t, n: F.array_compact(F.array(t, n)))
+    return F.flatten(pairs)
 
 
 def slug_id(title: Column, ordinal: Column) -> Column:
@@ -86,13 +89,18 @@ def slug_id(title: Column, ordinal: Column) -> Column:
 def arrange(sections: DataFrame) -> DataFrame:
     """Sections of files (run_id, filename, section_no, title, text) in corpus order, with chapter_index and id.
 
-    Files stand in natural order of their names; a file of one section titled `Document` takes its file's name.
+    Files stand in natural order of their names; a file of one section titled `Document` takes its file's name. Sections
+    are told apart by run_id, filename and section_no. They are numbered without their texts, which are joined then.
     """
+    key = ["run_id", "filename", "section_no"]
     alone = (F.count("*").over(Window.partitionBy("run_id", "filename")) == 1) & (F.col("title") == "Document")
     stem = F.regexp_replace("filename", r"(?<=.)\.[^.]*$", "")
     index = F.row_number().over(Window.partitionBy("run_id").orderBy(natural_key(F.col("filename")), "filename", "section_no"))
-    titled = sections.withColumn("title", F.when(alone, stem).otherwise(F.col("title"))).withColumn("__n", index)
-    return titled.select("run_id", "filename", (F.col("__n") - 1).alias("chapter_index"), slug_id(F.col("title"), F.col("__n")).alias("chapter_id"), "title", "text")
+    titled = sections.select(*key, F.when(alone, stem).otherwise(F.col("title")).alias("title"), index.alias("__n"))
+    listed = titled.select(*key, (F.col("__n") - 1).alias("chapter_index"), slug_id(F.col("title"), F.col("__n")).alias("chapter_id"), "title")
+    texts = sections.select(*(F.col(c).alias(f"__{c}") for c in key), "text")
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key))
+    return listed.join(texts, same).select("run_id", "filename", "chapter_index", "chapter_id", "title", "text")
 
 
 def words(text: Column) -> Column:

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import NOM, facts, rows
-from tokenweave.operators import chapters, export
-from tokenweave.sources import docx, lists, sinks, text
+from tokenweave.operators import chapters, export, lexicon
+from tokenweave.sources import docx, lists, sinks, store, text
 from tokenweave.sources.store import FEATURES, RunStore, migrate
 from tokenweave.streaming import appearances
 
@@ -171,3 +171,45 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert max(r.facts for r in spark.table("arrivals").collect()) == 4
+
+
+def test_files_of_one_name_in_two_folders(spark, tmp_path):
+    for folder, body in (("x", "from x"), ("y", "from y"), (".", "from above")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / "Chapter 1.docx").write_bytes(docx.write_docx([(None, body)]))
+    sections = docx.sections(docx.read_paragraphs(spark, str(tmp_path)))
+    assert rows(sections, "filename", "text") == [("Chapter 1.docx", "from above"), ("x/Chapter 1.docx", "from x"), ("y/Chapter 1.docx", "from y")]
+    assert rows(text.arrange(sections.withColumn("run_id", F.lit("r"))), "chapter_index", "title", "text") == [(0, "Chapter 1", "from above"), (1, "Chapter 1", "from x"), (2, "Chapter 1", "from y")]
+    one = docx.read_paragraphs(spark, str(tmp_path / "x" / "Chapter 1.docx"))
+    assert rows(one, "filename") == [("Chapter 1.docx",)]
+
+
+def test_many_runs_added_at_once(spark, tmp_path):
+    made = [(run, "a.docx", 0, "1-a", "A", p, kind, "λόγος", "λόγος", parse) for run in ("r1", "r 2:é") for p, (kind, parse) in enumerate([("noun", "nom. sg."), (None, None)])]
+    facts_ = spark.createDataFrame(made, "run_id string, filename string, chapter_index int, chapter_id string, chapter_title string, position int, type string, lemma string, form string, parse string")
+    runs = spark.createDataFrame([("r1", "2024-01-01", "m", ["a.docx"], 1, 2, None), ("r 2:é", "2024-01-02", "m", ["a.docx"], 1, 2, "n")], store.RUNS)
+    kept = store.RunStore(spark, str(tmp_path / "s"))
+    kept.add(runs, facts_)
+    assert kept.count() == 2 and kept.latest().id == "r 2:é" and kept.get("r1").note is None
+    assert [r.parse for r in kept.facts("r 2:é").collect()] == ["nom. sg.", ""] and kept.table().where("feat_status = 'ok'").count() == 2
+    assert kept.delete(["r 2:é", "nope"]) == ["r 2:é"] and kept.count() == 1 and rows(kept.table(), "run_id", "position") == [("r1", 0), ("r1", 1)]
+    one = kept.save(facts_.where("run_id = 'r1'"), "m", ["a.docx"])
+    assert kept.count() == 2 and kept.facts(one).count() == 2
+
+
+def test_first_appearances_in_a_stream(spark, tmp_path):
+    schema = "run_id string, chapter_index int, position int, lemma string"
+    for n, batch in enumerate(([("r", 0, 0, "a"), ("r", 0, 1, "b")], [("r", 5, 0, "a"), ("s", 0, 0, "a"), ("r", 5, 1, "c")])):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = appearances.first_appearances(appearances.read_facts(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 1))
+    told = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    told.awaitTermination()
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "run_id", "lemma") == [("r", "a"), ("r", "b"), ("r", "c"), ("s", "a")]
+
+
+def test_sound_lists_only(spark):
+    good = spark.createDataFrame([(1, "α", "g", "L", 1, 1.0), (2, "β", None, "", 1, 1.0), (3, "γ", None, "F", 1, 1.0)], "rank int, lemma string, gloss string, kind string, ref_count long, ref_coverage double")
+    assert rows(lexicon.core_list(good), "rank", "gloss") == [(1, "g"), (3, "")]
+    for bad in (good.where("rank <> 2"), good.union(good.where("rank = 3").selectExpr("4", "lemma", "gloss", "kind", "ref_count", "ref_coverage"))):
+        with pytest.raises(Exception, match="holes|twice"):
+            lexicon.core_list(bad).collect()

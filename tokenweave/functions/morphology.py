@@ -21,7 +21,7 @@ def strip(value: Column) -> Column:
     return F.regexp_replace(value, _EDGES, "")
 
 
-def _bare(value: Column) -> Column:
+def bare(value: Column) -> Column:
     """A word without white space and .,;: around it."""
     return F.regexp_replace(value, _PUNCTUATION, "")
 
@@ -30,6 +30,34 @@ def _strings(values) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
+def without_phrases(label: Column) -> Column:
+    """label with a sentinel, \\u0001 and its number, in place of each phrase."""
+    for i, (pattern, _) in enumerate(PHRASES):
+        label = F.regexp_replace(label, "(?iU)" + pattern, f" \u0001{i} ")
+    return label
+
+
+def phrases(marked: Column) -> Column:
+    """The descriptors of the phrases that without_phrases() found, in the order of PHRASES."""
+    return F.array_compact(F.array(*(F.when(marked.contains(f"\u0001{i}"), d) for i, (_, d) in enumerate(PHRASES))))
+
+
+def words(marked: Column) -> Column:
+    """The words of a label beside its phrases, those of nothing but .,;: left out; as written."""
+    return F.filter(F.split(F.regexp_replace(marked, "\u0001[0-9]", " "), r"[\s\p{Z}]+"), lambda w: bare(w) != "")
+
+
+def sides(word: Column) -> Column:
+    """The alternatives of a word, without white space and .,;: around them."""
+    return F.filter(F.transform(F.split(bare(word), "/"), bare), lambda a: a != "")
+
+
+def meaning(alternative: Column) -> Column:
+    """What an alternative states, as `dimension=value` or `descriptor=word`; null if it is not known."""
+    known = F.create_map(*(x for s, t in tags().items() for x in (F.lit(s), _strings(t))))
+    return F.try_element_at(known, F.lower(alternative))
+
+
 def with_morph(df: DataFrame, parse: str = "parse", token_type: str = "type") -> DataFrame:
     """df with the dimensions, status, is_deponent, descriptors and unparsed of its labels.
 
@@ -38,22 +66,13 @@ def with_morph(df: DataFrame, parse: str = "parse", token_type: str = "type") ->
     each is evaluated once however often the next ones use it.
     """
     kept = df.columns
-    sides = lambda w: F.filter(F.transform(F.split(_bare(w), "/"), _bare), lambda a: a != "")
-    known = F.create_map(*(x for s, t in tags().items() for x in (F.lit(s), _strings(t))))
-    meaning = lambda a: F.try_element_at(known, F.lower(a))
-
-    text = F.col("__raw")
-    for i, (pattern, _) in enumerate(PHRASES):
-        text = F.regexp_replace(text, "(?iU)" + pattern, f" \u0001{i} ")
-    flags = F.array_compact(F.array(*(F.when(F.col("__text").contains(f"\u0001{i}"), d) for i, (_, d) in enumerate(PHRASES))))
-    words = F.filter(F.split(F.regexp_replace("__text", "\u0001[0-9]", " "), r"[\s\p{Z}]+"), lambda w: _bare(w) != "")
-    sided = F.transform(words, lambda w: F.struct(w.alias("word"), sides(w).alias("sides")))
+    sided = F.transform(words(F.col("__text")), lambda w: F.struct(w.alias("word"), sides(w).alias("sides")))
     read = F.transform("__sided", lambda x: F.struct(x["word"].alias("word"), x["sides"].alias("sides"), F.transform(x["sides"], meaning).alias("means")))
     said = F.flatten(F.transform("__read", lambda x: F.flatten(F.transform(x["means"], lambda m: F.coalesce(m, _strings([]))))))
     unread = F.flatten(F.transform("__read", lambda x: _unread(x["word"], x["sides"], F.filter(x["sides"], lambda a, i: F.get(x["means"], i).isNull()))))
 
-    steps = df.withColumn("__raw", strip(F.coalesce(parse, F.lit("")))).withColumn("__text", text)
-    steps = steps.withColumns({"__phrases": flags, "__sided": sided}).withColumn("__read", read).withColumns({"__said": said, "__unread": unread})
+    steps = df.withColumn("__raw", strip(F.coalesce(parse, F.lit("")))).withColumn("__text", without_phrases(F.col("__raw")))
+    steps = steps.withColumns({"__phrases": phrases(F.col("__text")), "__sided": sided}).withColumn("__read", read).withColumns({"__said": said, "__unread": unread})
     steps = steps.withColumns({f"__{n}": _of(n) for n in (*DIMENSIONS, "descriptor", "deponent")} | {"__nothing": F.lower("__raw").isin(*NOT_APPLICABLE)})
     alone = F.size("__tense") + F.size("__voice") + F.size("__person") == 0
     steps = steps.withColumn("__bare_part", (F.col(token_type) == "particle") & (F.col("__mood") == _strings(["part"])) & alone)

@@ -17,16 +17,36 @@ VALUES = {
 
 #: dimension -> value -> spellings in labels; the last one is the display name, if it is a word.
 SPELLINGS = {
-    "tense": {"pres": "pres present", "impf": "impf imperf imperfect", "fut": "fut future", "aor": "aor aorist", "perf": "perf perfect", "plup": "plup pluperf pluperfect"},
-    "voice": {"act": "act active", "mid": "mid middle", "pass": "pass passive"},
-    "mood": {"ind": "ind indic indicative", "subj": "subj subjunctive", "opt": "opt optative", "imp": "imp imper imperative", "inf": "inf infin infinitive", "part": "part ptc participle"},
-    "case": {"nom": "nom nominative", "gen": "gen genitive", "dat": "dat dative", "acc": "acc accusative", "voc": "voc vocative"},
-    "number": {"sg": "sg sing singular", "dual": "du dual", "pl": "pl plur plural"},
-    "gender": {"masc": "masc m masculine", "fem": "fem f feminine", "neut": "neut n neuter"},
-    "person": {"1": "1 1st", "2": "2 2nd", "3": "3 3rd"},
-    "degree": {"comp": "comp compar comparative", "superl": "superl sup superlative"},
+    "tense": {
+        "pres": ("pres", "present"),
+        "impf": ("impf", "imperf", "imperfect"),
+        "fut": ("fut", "future"),
+        "aor": ("aor", "aorist"),
+        "perf": ("perf", "perfect"),
+        "plup": ("plup", "pluperf", "pluperfect"),
+    },
+    "voice": {"act": ("act", "active"), "mid": ("mid", "middle"), "pass": ("pass", "passive")},
+    "mood": {
+        "ind": ("ind", "indic", "indicative"),
+        "subj": ("subj", "subjunctive"),
+        "opt": ("opt", "optative"),
+        "imp": ("imp", "imper", "imperative"),
+        "inf": ("inf", "infin", "infinitive"),
+        "part": ("part", "ptc", "participle"),
+    },
+    "case": {
+        "nom": ("nom", "nominative"),
+        "gen": ("gen", "genitive"),
+        "dat": ("dat", "dative"),
+        "acc": ("acc", "accusative"),
+        "voc": ("voc", "vocative"),
+    },
+    "number": {"sg": ("sg", "sing", "singular"), "dual": ("du", "dual"), "pl": ("pl", "plur", "plural")},
+    "gender": {"masc": ("masc", "m", "masculine"), "fem": ("fem", "f", "feminine"), "neut": ("neut", "n", "neuter")},
+    "person": {"1": ("1", "1st"), "2": ("2", "2nd"), "3": ("3", "3rd")},
+    "degree": {"comp": ("comp", "compar", "comparative"), "superl": ("superl", "sup", "superlative")},
 }
-LABELS = {d: {v: names.split()[-1] for v, names in s.items()} for d, s in SPELLINGS.items()}
+LABELS = {d: {v: names[-1] for v, names in s.items()} for d, s in SPELLINGS.items()}
 DIMENSION_LABELS = {d: d.capitalize() for d in DIMENSIONS}
 
 #: Spellings of a voice that may be either of two.
@@ -36,21 +56,21 @@ DEPONENT = ("deponent", "depon", "dep")
 
 #: descriptor -> spellings.
 DESCRIPTORS = {
-    "interrogative": "interrogative interrog",
-    "negative": "negative neg",
-    "affirmative": "affirmative affirm",
-    "demonstrative": "demonstrative dem",
-    "relative": "relative rel",
-    "reflexive": "reflexive refl",
-    "possessive": "possessive poss",
-    "indefinite": "indefinite indef",
-    "indeclinable": "indeclinable indecl",
-    "adverb": "adv adverb adverbial",
-    "particle": "particle",
-    "conjunction": "conj",
-    "preposition": "prep",
-    "abbreviation": "abbreviation",
-    "proper noun": "proper",
+    "interrogative": ("interrogative", "interrog"),
+    "negative": ("negative", "neg"),
+    "affirmative": ("affirmative", "affirm"),
+    "demonstrative": ("demonstrative", "dem"),
+    "relative": ("relative", "rel"),
+    "reflexive": ("reflexive", "refl"),
+    "possessive": ("possessive", "poss"),
+    "indefinite": ("indefinite", "indef"),
+    "indeclinable": ("indeclinable", "indecl"),
+    "adverb": ("adv", "adverb", "adverbial"),
+    "particle": ("particle",),
+    "conjunction": ("conj",),
+    "preposition": ("prep",),
+    "abbreviation": ("abbreviation",),
+    "proper noun": ("proper",),
 }
 
 #: Phrases, replaced in this order, each with its descriptor.
@@ -75,11 +95,11 @@ MATCHES = ("exact", "alias", "folded")
 
 def tags() -> dict[str, list[str]]:
     """Each spelling a label may have with what it states, as `dimension=value` or `descriptor=word`."""
-    out = {s: [f"{d}={v}"] for d, values in SPELLINGS.items() for v, names in values.items() for s in names.split()}
+    out = {s: [f"{d}={v}"] for d, values in SPELLINGS.items() for v, names in values.items() for s in names}
     out |= {s: ["voice=mid", "voice=pass"] for s in MIDDLE_OR_PASSIVE}
     out |= {s: ["voice=mid", "deponent=1"] for s in DEPONENT}
     for d, names in DESCRIPTORS.items():
-        for s in names.split():
+        for s in names:
             out.setdefault(s, [f"descriptor={d}"])
     for person in VALUES["person"]:
         for number, short in (("sg", "s"), ("pl", "p")):

@@ -144,6 +144,16 @@ def match_audit(placed: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
+def core_list(entries: DataFrame, kinds: tuple[str, ...] = ("L", "F")) -> DataFrame:
+    """The entries of known kind with the columns a list has. Raises, once it is run, if ranks of entries have holes or lemmas repeat."""
+    some = entries.where(F.col("lemma").isNotNull())
+    sound = some.agg(F.count("*").alias("n"), F.count_distinct("rank").alias("ranks"), F.min("rank").alias("low"), F.max("rank").alias("high"), F.count_distinct("lemma").alias("lemmas"))
+    fault = F.when((F.col("ranks") != F.col("n")) | (F.col("low") != 1) | (F.col("high") != F.col("n")), "the ranks have holes").when(F.col("lemmas") != F.col("n"), "a lemma is listed twice")
+    checked = some.crossJoin(F.broadcast(sound.select(fault.alias("fault"))))
+    rank = F.when(F.col("fault").isNull(), F.col("rank")).otherwise(F.raise_error(F.col("fault")).cast("int"))
+    return checked.where(F.col("kind").isin(*kinds)).select(rank.alias("rank"), "lemma", F.coalesce("gloss", F.lit("")).alias("gloss"), "kind", "ref_count", "ref_coverage")
+
+
 def frequency_list(facts: DataFrame, kinds: dict[str, str], glosses: DataFrame, match: Key = match_key) -> DataFrame:
     """A ranked list from a token stream: rank, lemma, gloss, kind, ref_count, ref_coverage (cumulative percent).
 

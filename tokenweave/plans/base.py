@@ -2,7 +2,73 @@
 
 from __future__ import annotations
 
-from ..functions.vocab import DIMENSIONS, NOT_APPLICABLE, PHRASES, VALUES, tags
+from ..functions.vocab import DIMENSIONS, VALUES
+
+# What labels may say. The oracle's own tables, written out apart from those of the library, so that a wrong
+# spelling on one side shows.
+STATED_BY = {
+    ("case", "nom"): ["nom", "nominative"],
+    ("case", "gen"): ["gen", "genitive"],
+    ("case", "dat"): ["dat", "dative"],
+    ("case", "acc"): ["acc", "accusative"],
+    ("case", "voc"): ["voc", "vocative"],
+    ("number", "sg"): ["sg", "sing", "singular", "1sg", "1s", "2sg", "2s", "3sg", "3s"],
+    ("number", "pl"): ["pl", "plur", "plural", "1pl", "1p", "2pl", "2p", "3pl", "3p"],
+    ("number", "dual"): ["dual", "du"],
+    ("gender", "masc"): ["masc", "m", "masculine"],
+    ("gender", "fem"): ["fem", "f", "feminine"],
+    ("gender", "neut"): ["neut", "n", "neuter"],
+    ("tense", "pres"): ["pres", "present"],
+    ("tense", "impf"): ["impf", "imperf", "imperfect"],
+    ("tense", "fut"): ["fut", "future"],
+    ("tense", "aor"): ["aor", "aorist"],
+    ("tense", "perf"): ["perf", "perfect"],
+    ("tense", "plup"): ["plup", "pluperf", "pluperfect"],
+    ("voice", "act"): ["act", "active"],
+    ("voice", "mid"): ["mid", "middle", "mp", "midpass", "deponent", "depon", "dep"],
+    ("voice", "pass"): ["pass", "passive", "mp", "midpass"],
+    ("mood", "ind"): ["ind", "indic", "indicative"],
+    ("mood", "subj"): ["subj", "subjunctive"],
+    ("mood", "opt"): ["opt", "optative"],
+    ("mood", "imp"): ["imp", "imper", "imperative"],
+    ("mood", "inf"): ["inf", "infin", "infinitive"],
+    ("mood", "part"): ["part", "ptc", "participle"],
+    ("degree", "comp"): ["comp", "compar", "comparative"],
+    ("degree", "superl"): ["superl", "sup", "superlative"],
+    ("person", "1"): ["1", "1st", "1sg", "1s", "1pl", "1p"],
+    ("person", "2"): ["2", "2nd", "2sg", "2s", "2pl", "2p"],
+    ("person", "3"): ["3", "3rd", "3sg", "3s", "3pl", "3p"],
+    ("deponent", "1"): ["deponent", "depon", "dep"],
+    ("descriptor", "interrogative"): ["interrogative", "interrog"],
+    ("descriptor", "negative"): ["negative", "neg"],
+    ("descriptor", "affirmative"): ["affirmative", "affirm"],
+    ("descriptor", "demonstrative"): ["demonstrative", "dem"],
+    ("descriptor", "relative"): ["relative", "rel"],
+    ("descriptor", "reflexive"): ["reflexive", "refl"],
+    ("descriptor", "possessive"): ["possessive", "poss"],
+    ("descriptor", "indefinite"): ["indefinite", "indef"],
+    ("descriptor", "indeclinable"): ["indeclinable", "indecl"],
+    ("descriptor", "adverb"): ["adv", "adverb", "adverbial"],
+    ("descriptor", "particle"): ["particle"],
+    ("descriptor", "conjunction"): ["conj"],
+    ("descriptor", "preposition"): ["prep"],
+    ("descriptor", "abbreviation"): ["abbreviation"],
+    ("descriptor", "proper noun"): ["proper"],
+}
+KNOWN = [(spelling, dimension, value) for (dimension, value), spellings in STATED_BY.items() for spelling in spellings]
+# Phrases, in this order, and the descriptor of each; labels that say there is nothing to say.
+PHRASES = [
+    (r"\bdef(inite)?[.]?\s+art(icle)?[.]?", "def. art."),
+    (r"\bindef(inite)?[.]?\s+art(icle)?[.]?", "indef. art."),
+    (r"\binterrog(ative)?[.]?\s+adv(erb)?[.]?", "interrogative"),
+    (r"\binterrog(ative)?[.]?\s+part(icle)?[.]?", "interrogative"),
+    (r"\bneg(ative)?[.]?\s+part(icle)?[.]?", "negative"),
+    (r"\baffirm(ative)?[.]?\s+part(icle)?[.]?", "affirmative"),
+    (r"\bproper\s+n(oun)?[.]?", "proper noun"),
+    (r"\bindecl(inable)?[.]?\s+noun[.]?", "indeclinable"),
+    (r"\babbrev(iation)?[.]?\s+(for\s+)?\S*", "abbreviation"),
+]
+NOTHING = ("", "-", "--", "n/a", "na", "none", "unknown", "?")
 
 #: f: unique facts; ch: chapters.
 FACTS = """
@@ -20,24 +86,40 @@ def _text(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _values(rows: list[tuple]) -> str:
+def values_sql(rows: list[tuple]) -> str:
     cell = lambda x: _text(x) if isinstance(x, str) else str(x)
     return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ")"
 
 
-def _decoder() -> str:
-    """m: every distinct (parse, type) with its features, found by joining words to a table of spellings."""
-    known = [(s, t.split("=")[0], t.split("=")[1]) for s, ts in tags().items() for t in ts]
-    text = "regexp_replace(parse, '^\\s+|\\s+$', '', 'g')"
+def marked(label: str) -> str:
+    """A label with chr(1) and a number in place of each phrase."""
+    text = f"regexp_replace({label}, '^\\s+|\\s+$', '', 'g')"
     for i, (p, _) in enumerate(PHRASES):
         text = f"regexp_replace({text}, {_text(p)}, ' ' || chr(1) || '{i} ', 'gi')"
+    return text
+
+
+def bare(word: str) -> str:
+    return f"regexp_replace(regexp_replace({word}, '^\\s*[.,;:]*\\s*', ''), '\\s*[.,;:]*\\s*$', '')"
+
+
+#: pw: label and word, of every distinct label; pa: label, word and alternative.
+WORDS = f""",
+pl AS (SELECT DISTINCT parse, {marked("parse")} AS text FROM f),
+pw AS (SELECT parse, i, ws[i] AS word FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT parse, string_split_regex(regexp_replace(text, chr(1) || '[0-9]', ' ', 'g'), '\\s+') AS ws FROM pl)) WHERE {bare("ws[i]")} <> ''),
+pa AS (SELECT parse, i, word, k, alts[k] AS alternative FROM (SELECT *, unnest(range(1, len(alts) + 1)) AS k FROM (SELECT *, list_filter(list_transform(string_split({bare("word")}, '/'), lambda a: {bare("a")}), lambda a: a <> '') AS alts FROM pw)))
+"""
+
+
+def _decoder() -> str:
+    """m: every distinct (parse, type) with its features, found by joining words to a table of spellings."""
+    text = marked("parse")
     flags = ", ".join(f"CASE WHEN contains(text, chr(1) || '{i}') THEN {_text(d)} END" for i, (_, d) in enumerate(PHRASES))
-    bare = lambda x: f"regexp_replace(regexp_replace({x}, '^\\s*[.,;:]*\\s*', ''), '\\s*[.,;:]*\\s*$', '')"
     feature = lambda d: f"string_agg(DISTINCT value, '|' ORDER BY value) FILTER (dimension = '{d}') AS \"{d}\""
     return f"""
 labels AS (SELECT DISTINCT parse, type FROM f),
-spelt(spelling, dimension, value) AS {_values(known)},
-p0 AS (SELECT parse, type, {text} AS text, lower(regexp_replace(parse, '^\\s+|\\s+$', '', 'g')) IN ({", ".join(map(_text, NOT_APPLICABLE))}) AS nothing FROM labels),
+spelt(spelling, dimension, value) AS {values_sql(KNOWN)},
+p0 AS (SELECT parse, type, {text} AS text, lower(regexp_replace(parse, '^\\s+|\\s+$', '', 'g')) IN ({", ".join(map(_text, NOTHING))}) AS nothing FROM labels),
 p1 AS (SELECT parse, type, nothing, list_filter([{flags}], lambda x: x IS NOT NULL) AS phrases, string_split_regex(regexp_replace(text, chr(1) || '[0-9]', ' ', 'g'), '\\s+') AS ws FROM p0),
 p2 AS (SELECT parse, type, ws[i] AS word, i, list_filter(list_transform(string_split({bare("ws[i]")}, '/'), lambda a: {bare("a")}), lambda a: a <> '') AS alts
 FROM (SELECT parse, type, ws, unnest(range(1, len(ws) + 1)) AS i FROM p1 WHERE NOT nothing)),
@@ -58,9 +140,9 @@ m0 AS (SELECT p1.parse, p1.type, nothing, {", ".join(f'"{d}"' for d in DIMENSION
 coalesce({", ".join(f'"{d}"' for d in DIMENSIONS)}) IS NOT NULL AS stated FROM p1 LEFT JOIN feats USING (parse, type) LEFT JOIN descs USING (parse, type) LEFT JOIN unread USING (parse, type)),
 m1 AS (SELECT *, CASE WHEN nothing THEN 'not_applicable' WHEN stated AND unparsed <> '' THEN 'partial' WHEN stated THEN 'ok' WHEN descriptors <> '' AND unparsed = '' THEN 'descriptive'
 WHEN descriptors <> '' THEN 'partial' ELSE 'unparsed' END AS status FROM m0),
-m AS (SELECT *, {_signature()} AS signature, CASE WHEN list_contains(string_split(coalesce(mood, ''), '|'), 'part') THEN 'participle' WHEN coalesce(tense, mood, voice) IS NOT NULL THEN 'verb'
+m AS (SELECT *, {signature_sql()} AS signature, CASE WHEN list_contains(string_split(coalesce(mood, ''), '|'), 'part') THEN 'participle' WHEN coalesce(tense, mood, voice) IS NOT NULL THEN 'verb'
 WHEN "case" IS NOT NULL THEN 'nominal' ELSE 'other' END AS form_class, type = 'verb' OR tense IS NOT NULL OR mood IS NOT NULL AS is_verb_form,
-(type = 'verb' OR tense IS NOT NULL OR mood IS NOT NULL) AND voice IS NULL AS missing_voice, [{", ".join(map(_rank, DIMENSIONS))}] AS sort_key FROM m1),
+(type = 'verb' OR tense IS NOT NULL OR mood IS NOT NULL) AND voice IS NULL AS missing_voice, [{", ".join(map(rank_sql, DIMENSIONS))}] AS sort_key FROM m1),
 fm AS (SELECT f.*, m.* EXCLUDE (parse, type, nothing, stated) FROM f JOIN m USING (parse, type))
 """
 
@@ -69,11 +151,11 @@ def _sorted(d: str) -> str:
     return f"list_filter([{', '.join(map(_text, VALUES[d]))}], lambda v: list_contains(string_split(\"{d}\", '|'), v))"
 
 
-def _rank(d: str) -> str:
+def rank_sql(d: str) -> str:
     return f"coalesce(list_min(list_transform(string_split(\"{d}\", '|'), lambda v: list_position([{', '.join(map(_text, VALUES[d]))}], v) - 1)), 99)"
 
 
-def _signature() -> str:
+def signature_sql() -> str:
     ab = lambda d: f"array_to_string(list_transform({_sorted(d)}, lambda v: v || '.'), '/')"
     when = lambda c, x: f"CASE WHEN {c} THEN {x} END"
     has = lambda d: f'"{d}" IS NOT NULL'

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys
-from ..functions.morphology import strip
+from ..operators import chapters as chap
 from ..operators import lexicon as lx
 from ..operators import views
 from ..operators.facts import load_chapters, load_facts
-from ..session import cut, table
+from ..session import cut, fresh_path, table
+from ..sources import lists as ls
+from ..sources import sinks
 from ..sources import text as tx
 from .base import WITH, fold_key, match_key
 
 RUN = "run_id"
+_S = r"\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_TOLD = f"regexp_replace(coalesce(lemma, ''), '[{_S}]+', '', 'g') <> ''"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -94,7 +100,7 @@ def k_ref_share(spark, d):
     return entries.crossJoin(F.broadcast(total)).select("rank", "lemma", keys.safe_share(F.coalesce("ref_count", F.lit(0)), F.col("n")).alias("ref_share"))
 
 
-@query("ui_fold")
+@query("ui_fold", "SELECT lemma, lower(strip_accents(lemma)) AS fold FROM lexicon_entries WHERE lemma IS NOT NULL")
 def ui_fold(spark, d):
     lemmas = table(spark, d, "lexicon_entries").select("lemma").dropna()
     return lemmas.select("lemma", keys.search_fold(F.col("lemma")).alias("fold"))
@@ -200,11 +206,17 @@ def lx_dominant_type(spark, d):
     return lx.dominant_type(load_facts(spark, d, "type", "lemma"), [RUN, "lemma"])
 
 
-@query("lx_ref", "SELECT CAST(count(*) AS BIGINT) AS entry_count, CAST(sum(ref_count) AS BIGINT) AS reference_tokens, max(rank) AS last_rank, count(DISTINCT rank) = max(rank) AS dense FROM lexicon_entries WHERE lemma IS NOT NULL")
+@query("lx_ref", f"SELECT 'core' AS id, 'Core list' AS name, 'Core' AS short_name, CAST(count(*) FILTER ({_TOLD}) AS BIGINT) AS entry_count, CAST(sum(ref_count) AS BIGINT) AS reference_tokens, true AS is_default FROM lexicon_entries")
 def lx_ref(spark, d):
-    """What the list is: its size, its corpus, and whether its ranks have no holes."""
-    rows = table(spark, d, "lexicon_entries").where("lemma is not null")
-    return rows.agg(F.count("*").alias("entry_count"), F.sum("ref_count").alias("reference_tokens"), F.max("rank").alias("last_rank"), (F.count_distinct("rank") == F.max("rank")).alias("dense"))
+    """What the list is, as the registry of a folder with its manifest tells it."""
+    entries = table(spark, d, "lexicon_entries")
+    tokens = entries.agg(F.coalesce(F.sum("ref_count"), F.lit(0)).alias("n")).first().n
+    folder = fresh_path(spark, "lists")
+    entries.write.option("header", True).option("escape", '"').csv(f"{folder}/core.csv")
+    manifest = {"lexicons": [{"id": "core", "name": "Core list", "short_name": "Core", "entries_file": "core.csv", "reference_tokens": tokens, "default": True}, {"id": "gone", "entries_file": "gone.csv"}, {"name": "without id"}]}
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{folder}/manifest.json")
+    metas = [(m.id, m.name, m.short_name, m.entry_count, m.reference_tokens, m.is_default) for m in ls.ListRegistry(spark, folder).available()]
+    return spark.createDataFrame(metas, "id string, name string, short_name string, entry_count long, reference_tokens long, is_default boolean")
 
 
 #: Parts of speech and the kind of word they are.
@@ -224,8 +236,8 @@ def prep_freq(spark, d):
 
 @query("prep_core", "SELECT rank, lemma, coalesce(gloss, '') AS gloss, kind, ref_count, ref_coverage FROM lexicon_entries WHERE kind IN ('L', 'F') AND lemma IS NOT NULL")
 def prep_core(spark, d):
-    """The entries of known kind, with the columns a list has."""
-    return table(spark, d, "lexicon_entries").where("kind in ('L', 'F') and lemma is not null").select("rank", "lemma", F.coalesce("gloss", F.lit("")).alias("gloss"), "kind", "ref_count", "ref_coverage")
+    """The entries of known kind, from a list whose ranks and lemmas are sound."""
+    return lx.core_list(table(spark, d, "lexicon_entries"))
 
 
 # Scopes over the list
@@ -293,7 +305,6 @@ def ui_sqrt_bar(spark, d):
 
 # Ingest, over the texts of the chapters
 
-_S = r"\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _T = f"""WITH t AS (SELECT DISTINCT run_id, filename, chapter_index, title, coalesce(text, '') AS text FROM text_chapters),
 l AS (SELECT *, list_filter(string_split_regex(regexp_replace(text, '\\[[^\\]]*\\]', '', 'g'), '\\r\\n|[\\n\\r]'), lambda x: NOT regexp_matches(nfc_normalize(regexp_replace(x, '^[{_S}]+', '')), '^μέρος')) AS ls FROM t),
 c AS (SELECT run_id, filename, chapter_index, title, regexp_replace(array_to_string(list_transform(ls, lambda x: CASE WHEN regexp_full_match(x, '[{_S}]*') THEN '' ELSE x END), chr(10)), '\\n$', '') AS text FROM l),
@@ -365,12 +376,6 @@ def src_slug_id(spark, d):
     return _texts(spark, d).select(RUN, "chapter_index", tx.slug_id(F.coalesce("title", F.lit("")), F.col("chapter_index") + 1).alias("id"))
 
 
-@query("src_chapter_refs", "z AS (SELECT 1) SELECT run_id, chapter_index, text = '' AS empty FROM t", _T)
-def src_chapter_refs(spark, d):
-    """All chapters, and whether they have any text."""
-    return _texts(spark, d).select(RUN, "chapter_index", (F.col("text") == "").alias("empty"))
-
-
 @query("src_arrange", "z AS (SELECT 1)" + _NATURAL + """, a AS (SELECT run_id, filename, CAST(row_number() OVER (PARTITION BY run_id ORDER BY nkey NULLS FIRST, filename NULLS FIRST, chapter_index) AS INTEGER) AS n,
 CASE WHEN count(*) OVER (PARTITION BY run_id, filename) = 1 AND coalesce(title, '') = 'Document' THEN regexp_replace(filename, '(.)\\.[^.]*$', '\\1') ELSE coalesce(title, '') END AS title FROM nat),
 b AS (SELECT *, regexp_replace(regexp_replace(lower(title), '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g') AS slug FROM a)
@@ -381,29 +386,34 @@ def src_arrange(spark, d):
     return tx.arrange(sections).drop("text")
 
 
-@query("src_json_tokens")
+@query("src_json_tokens", f"w AS (SELECT run_id, chapter_index, list_filter(list_transform(string_split_regex({_STRIPPED}, '[{_S}]+'), lambda x: regexp_replace(x, '^[.,·;!?]+|[.,·;!?]+$', '', 'g')), lambda x: x <> '') AS ws FROM c) SELECT run_id, chapter_index, CAST(len(ws) AS INTEGER) AS tokens FROM w", _T)
 def src_json_tokens(spark, d):
     """A model's answer for each chapter (its words as JSON in a code fence) read back into tokens."""
     answers = tx.word_provider(_cleaned(spark, d)).select(RUN, "chapter_index", F.concat(F.lit("Here they are:\n```json\n"), F.to_json("tokens"), F.lit("\n```")).alias("raw"))
     return answers.select(RUN, "chapter_index", F.size(tx.json_tokens(tx.json_array(F.col("raw")))).alias("tokens"))
 
 
-@query("src_lexicon_csv", "SELECT rank, nfc_normalize(lemma) AS lemma, coalesce(kind, '') AS kind FROM lexicon_entries WHERE lemma IS NOT NULL AND lemma <> ''")
-def src_lexicon_csv(spark, d):
-    """The list in composed form, as its loader gives it."""
-    from ..functions.unicode import nfc
+def _kept(column: str) -> str:
+    return f"regexp_replace(coalesce({column}, ''), '^[{_S}]+|[{_S}]+$', '', 'g')"
 
-    rows = table(spark, d, "lexicon_entries").where(strip(F.coalesce("lemma", F.lit(""))) != "")
-    return rows.select("rank", nfc(F.col("lemma")).alias("lemma"), F.coalesce("kind", F.lit("")).alias("kind"))
 
+def _as_csv(df: DataFrame, label: str) -> str:
+    """The path of df written as a CSV with a header, the way lists come."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
 
-@query("src_alias_csv", "SELECT DISTINCT nfc_normalize(variant) AS variant, nfc_normalize(lemma) AS lemma FROM (SELECT regexp_replace(variant, '^[" + _S + "]+|[" + _S + "]+$', '', 'g') AS variant, lemma FROM greek_core_5k_aliases) WHERE variant <> '' AND lemma <> ''")
-def src_alias_csv(spark, d):
-    """The aliases in composed form, blank ones left out, as their loader gives them."""
-    from ..functions.unicode import nfc
 
-    rows = table(spark, d, "greek_core_5k_aliases").select(strip("variant").alias("variant"), strip("lemma").alias("lemma")).where("variant <> '' and lemma <> ''")
-    return rows.select(nfc(F.col("variant")).alias("variant"), nfc(F.col("lemma")).alias("lemma")).distinct()
+@query("src_lexicon_csv", f"SELECT rank, nfc_normalize({_kept('lemma')}) AS lemma, {_kept('gloss')} AS gloss, {_kept('kind')} AS kind, coalesce(ref_count, 0) AS ref_count, coalesce(ref_coverage, 0) AS ref_coverage FROM lexicon_entries WHERE {_kept('lemma')} <> ''")
+def src_lexicon_csv(spark, d):
+    """The list, written as a CSV and read by its loader."""
+    return ls.read_entries(spark, _as_csv(table(spark, d, "lexicon_entries"), "entries"))
+
+
+@query("src_alias_csv", f"SELECT nfc_normalize({_kept('variant')}) AS variant, nfc_normalize({_kept('lemma')}) AS lemma, {_kept('kind')} AS kind, {_kept('note')} AS note FROM greek_core_5k_aliases WHERE {_kept('variant')} <> '' AND {_kept('lemma')} <> ''")
+def src_alias_csv(spark, d):
+    """The aliases, written as a CSV and read by their loader; blank ones are left out."""
+    return ls.read_aliases(spark, _as_csv(table(spark, d, "greek_core_5k_aliases"), "aliases"))
 
 
 @query("src_provider", f"w AS (SELECT run_id, chapter_index, list_filter(string_split_regex({_STRIPPED}, '[{_S}]+'), lambda x: x <> '') AS ws FROM c) SELECT run_id, chapter_index, CAST(len(ws) AS INTEGER) AS tokens FROM w", _T)
@@ -413,7 +423,8 @@ def src_provider(spark, d):
     return analysed.select(RUN, "chapter_index", F.size("tokens").alias("tokens"))
 
 
-@query("src_json_extract")
+@query("src_json_extract", f"""w AS (SELECT run_id, chapter_index, list_filter(list_transform(string_split_regex({_STRIPPED}, '[{_S}]+'), lambda x: regexp_replace(x, '^[.,·;!?]+|[.,·;!?]+$', '', 'g')), lambda x: x <> '') AS ws FROM c)
+SELECT run_id, chapter_index, CAST(length(CAST(to_json(list_transform(ws, lambda x: struct_pack("type" := 'noun', lemma := x, form := x, parse := 'nom. sg.'))) AS VARCHAR)) AS INTEGER) AS characters FROM w""", _T)
 def src_json_extract(spark, d):
     """The first JSON array inside a model's answer for each chapter."""
     answers = tx.word_provider(_cleaned(spark, d)).select(RUN, "chapter_index", F.concat(F.lit("Answer: "), F.to_json("tokens"), F.lit(" -- end]")).alias("raw"))
@@ -427,10 +438,11 @@ def src_stem_title(spark, d):
     return tx.arrange(sections).select(RUN, F.col("text").cast("int").alias("chapter_index"), "title")
 
 
-@query("sink_json", "SELECT CAST(count(DISTINCT run_id) AS BIGINT) AS runs FROM token_facts")
+@query("sink_json", """, u AS (SELECT run_id, chapter_index, lemma, parse, CAST(count(*) AS BIGINT) AS parse_occ, CAST(row_number() OVER (PARTITION BY run_id, chapter_index ORDER BY min(position)) - 1 AS INTEGER) AS row_no FROM f GROUP BY 1, 2, 3, 4),
+n AS (SELECT run_id, chapter_index, list(struct_pack(row_no := row_no, lemma := lemma, parse := parse, parse_occ := parse_occ) ORDER BY row_no) AS rows, CAST(sum(parse_occ) AS BIGINT) AS tokens, CAST(count(DISTINCT lemma) AS BIGINT) AS lemmas FROM u GROUP BY 1, 2)
+SELECT ch.run_id, ch.chapter_index, CAST(to_json(struct_pack(chapter_index := ch.chapter_index, id := coalesce(id, 'ch-' || (ch.chapter_index + 1)), title := coalesce(title, ''), token_count := coalesce(tokens, 0), unique_lemmas := coalesce(lemmas, 0), rows := coalesce(rows, []))) AS VARCHAR) AS json FROM ch LEFT JOIN n USING (run_id, chapter_index)""", WITH)
 def sink_json(spark, d):
-    """The number of runs in a JSON report of the totals."""
-    from ..sources.sinks import to_json
-
-    counts = load_facts(spark, d, "lemma").groupBy(RUN).agg(F.count("*").alias("tokens"))
-    return to_json(counts, [RUN]).where(F.get_json_object("json", "$.tokens").cast("long") > 0).agg(F.count("*").alias("runs"))
+    """The report of each chapter as one nested document: labels, counts, and its rows in order."""
+    facts, refs = load_facts(spark, d, "type", "lemma", "form", "parse"), load_chapters(spark, d)
+    heads = chap.summaries(facts, refs).select(RUN, "chapter_index", "id", "title", "token_count", "unique_lemmas")
+    return sinks.chapter_reports(heads, chap.rows(facts).select(RUN, "chapter_index", "row_no", "lemma", "parse", "parse_occ"))

@@ -23,6 +23,11 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
     return load_facts(spark, d, "type", "lemma", "form", "parse")
 
 
+def _kept_facts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Facts that a query reads more than once: made unique once, and written to the shared folder."""
+    return cut(load_facts(spark, d, *columns), "facts")
+
+
 def _decoded(spark: SparkSession, d: str) -> DataFrame:
     return mo.decode(load_facts(spark, d, "type", "parse"), table(spark, d, "token_facts"))
 
@@ -307,9 +312,9 @@ _PROFILE = _READ + _VOCAB + """, tot AS (SELECT run_id, dimension, CAST(count(*)
 val AS (SELECT run_id, dimension, value, CAST(count(*) AS BIGINT) AS occ, min(chapter_index) AS first_chapter, max(chapter_index) AS last_chapter, CAST(count(DISTINCT chapter_index) AS BIGINT) AS chapter_count FROM rd GROUP BY 1, 2, 3)"""
 
 
-@query("gr_profile_text", _PROFILE + """ SELECT tot.run_id, v.dimension, v.value, dimension_order, value_order, coalesce(occ, 0) AS occ, coalesce(occ, 0) AS cumulative, first_chapter, last_chapter, coalesce(chapter_count, 0) AS chapter_count,
+@query("gr_profile", _PROFILE + """ SELECT tot.run_id, v.dimension, v.value, dimension_order, value_order, coalesce(occ, 0) AS occ, coalesce(occ, 0) AS cumulative, first_chapter, last_chapter, coalesce(chapter_count, 0) AS chapter_count,
 stated, stated AS stated_cumulative FROM tot JOIN v USING (dimension) LEFT JOIN val ON val.run_id = tot.run_id AND val.dimension = v.dimension AND val.value = v.value""", DECODED)
-def gr_profile_text(spark, d):
+def gr_profile(spark, d):
     """Values of the dimensions a run states, zeros included."""
     return grammar.profile(_decoded(spark, d))
 
@@ -428,7 +433,8 @@ def ui_progress_cols(spark, d):
     return views.progress_columns(tx_progress(spark, d)).drop("new_percent")
 
 
-@query("ui_pct")
+@query("ui_pct", _progress_sql("lemma") + """, s AS (SELECT run_id, chapter_index, CASE WHEN new_types + repeated_types = 0 THEN 0 ELSE 100 * (new_types / (new_types + repeated_types)::DOUBLE) END AS p FROM prog)
+SELECT run_id, chapter_index, CASE WHEN p IN (0, 100) THEN printf('%.0f', p) ELSE printf('%.1f', round(p, 1)) END || '%' AS new_percent FROM s""")
 def ui_pct(spark, d):
     """The share of new words per chapter as text."""
     return views.progress_columns(tx_progress(spark, d)).select(RUN, "chapter_index", "new_percent")
@@ -439,13 +445,14 @@ def tx_refs(spark, d):
     return load_chapters(spark, d)
 
 
-@query("ui_lemma_search")
+@query("ui_lemma_search", _vocab_sql("lemma").replace(" SELECT * FROM b JOIN a USING", ", v AS (SELECT * FROM b JOIN a USING") + r"""), h AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY total DESC, lemma) AS INTEGER) AS place, CAST(count(*) OVER (PARTITION BY run_id) AS BIGINT) AS matches
+FROM v WHERE contains(lower(regexp_replace(strip_accents(lemma), '(\p{L})Σ([^\p{L}]|$)', '\1ς\2', 'g')), 'ος')) SELECT * FROM h WHERE place <= 200""")
 def ui_lemma_search(spark, d):
     """Lemmas that hold a syllable, accents and case aside; the first 200 of each run."""
     return views.search(tx_lemma_rows(spark, d), "ος", 200)
 
 
-@query("ui_sort")
+@query("ui_sort", _vocab_sql("lemma"))
 def ui_sort(spark, d):
     """Vocabulary in the order of the alphabet, accents and case aside."""
     return views.sort_rows(tx_lemma_rows(spark, d), "lemma", "text")
@@ -494,7 +501,7 @@ SELECT want.run_id, want.lemma, ch.chapter_index, CAST(coalesce(occ, 0) AS BIGIN
 FROM want JOIN ch USING (run_id) LEFT JOIN c2 ON c2.run_id = want.run_id AND c2.lemma = want.lemma AND c2.chapter_index = ch.chapter_index""")
 def le_chapters(spark, d):
     """One word of each run in all its chapters."""
-    facts = _facts(spark, d)
+    facts = _kept_facts(spark, d, "type", "lemma", "parse")
     rows = lemma.in_chapters(facts.join(chosen(facts), [RUN, "lemma"], "left_semi"), load_chapters(spark, d))
     return rows.withColumn("parses", F.array_join(F.transform("parses", lambda x: F.concat_ws(":", x["parse"], x["occ"].cast("string"))), BAR))
 
@@ -505,7 +512,7 @@ CAST(count(*) OVER (PARTITION BY run_id, lemma) AS BIGINT) AS total FROM a SEMI
 
 
 def _kwic(spark, d):
-    facts = _facts(spark, d)
+    facts = _kept_facts(spark, d, "type", "lemma", "form", "parse")
     lines = lemma.concordance(facts, chosen(facts))
     return lines.withColumn("before", F.array_join("before", " ")).withColumn("after", F.array_join("after", " "))
 
@@ -523,18 +530,18 @@ def ui_kwic_group(spark, d):
     return views.group_concordance(_kwic(spark, d), "parse")
 
 
-@query("le_total", _CHOSEN + " SELECT run_id, lemma, CAST(count(f.position) FILTER (f.chapter_index = 0) AS BIGINT) AS total FROM want LEFT JOIN f USING (run_id, lemma) GROUP BY 1, 2")
+@query("le_total", _CHOSEN + " SELECT run_id, lemma, CAST(count(f.position) AS BIGINT) AS total FROM want LEFT JOIN f USING (run_id, lemma) GROUP BY 1, 2")
 def le_total(spark, d):
-    """Places of one word of each run in its first chapter."""
-    facts = _facts(spark, d)
-    return lemma.totals(facts, chosen(facts), 0)
+    """Places of one word of each run in all its chapters."""
+    facts = _kept_facts(spark, d, "type", "lemma")
+    return lemma.totals(facts, chosen(facts))
 
 
 @query("le_total_chapters", _CHOSEN + """, n AS (SELECT run_id, lemma, chapter_index, count(*) AS n FROM f SEMI JOIN want USING (run_id, lemma) GROUP BY 1, 2, 3)
 SELECT want.run_id, want.lemma, ch.chapter_index, CAST(coalesce(n, 0) AS BIGINT) AS total FROM want JOIN ch USING (run_id) LEFT JOIN n ON n.run_id = want.run_id AND n.lemma = want.lemma AND n.chapter_index = ch.chapter_index""")
 def le_total_chapters(spark, d):
     """Places of one word of each run in every chapter."""
-    facts = _facts(spark, d)
+    facts = _kept_facts(spark, d, "type", "lemma")
     return lemma.chapter_totals(facts, chosen(facts), load_chapters(spark, d))
 
 
@@ -542,7 +549,7 @@ def le_total_chapters(spark, d):
 SELECT run_id, lemma, CAST(count(f.position) AS BIGINT) AS total FROM asked LEFT JOIN f USING (run_id, lemma) GROUP BY 1, 2""")
 def le_asked(spark, d):
     """Places of asked words, one that each run has and one that it lacks."""
-    facts = _facts(spark, d)
+    facts = _kept_facts(spark, d, "type", "lemma")
     want = chosen(facts)
     return lemma.totals(facts, want.union(want.select(RUN, F.lit("no such lemma"))))
 
@@ -550,7 +557,7 @@ def le_asked(spark, d):
 @query("le_filter_chapters", _KWIC.replace("PARTITION BY run_id, lemma", "PARTITION BY run_id, lemma, chapter_index") + " SELECT run_id, lemma, chapter_index, position, line, total FROM kwic")
 def le_filter_chapters(spark, d):
     """The first 400 places of one word of each run in every chapter."""
-    facts = _facts(spark, d)
+    facts = _kept_facts(spark, d, "type", "lemma", "form", "parse")
     return lemma.concordance(facts, chosen(facts), by_chapter=True).select(RUN, "lemma", "chapter_index", "position", "line", "total")
 
 
@@ -644,12 +651,6 @@ def _newest(spark, d):
     return unique_runs(spark, d).agg(F.max_by("id", "created_at").alias(RUN))
 
 
-@query("run_get", f", r AS ({_RUNS}), z AS (SELECT arg_max(id, created_at) AS id FROM r) SELECT id, created_at, model_id, chapter_count, token_count, note FROM r SEMI JOIN z USING (id)")
-def run_get(spark, d):
-    """One run by its id."""
-    return unique_runs(spark, d).join(_newest(spark, d).withColumnRenamed(RUN, "id"), "id", "left_semi").select("id", "created_at", "model_id", "chapter_count", "token_count", "note")
-
-
 _NEWEST = f", r AS ({_RUNS}), z AS (SELECT arg_max(id, created_at) AS run_id FROM r)"
 
 
@@ -660,13 +661,6 @@ def scan_facts(spark, d):
     return rows.select("chapter_index", "position", "type", "lemma", "form", "parse").orderBy("chapter_index", "position")
 
 
-@query("run_delete", _NEWEST + " SELECT run_id, CAST(count(*) AS BIGINT) AS tokens FROM f ANTI JOIN z USING (run_id) GROUP BY 1")
-def run_delete(spark, d):
-    """What is left of the facts once one run is gone."""
-    rows = load_facts(spark, d, "lemma").join(F.broadcast(_newest(spark, d)), RUN, "left_anti")
-    return rows.groupBy(RUN).agg(F.count("*").alias("tokens"))
-
-
 @query("sink_filename", f""", r AS ({_RUNS}), n AS (SELECT id, from_json(filenames, '["VARCHAR"]') AS fs, replace(substr(replace(substr(created_at, 1, 16), 'T', '-'), 1, 16), ':', '') AS st FROM r)
 SELECT id, 'tokenweave-' || CASE WHEN len(fs) = 1 THEN coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(fs[1], '(?i)[.]docx$', ''), '[^\\p{{L}}\\p{{N}}_]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'report') ELSE len(fs) || '-files' END || '-' || replace(substr(st, 1, 10), '-', '') || substr(st, 11) || '.xlsx' AS name FROM n""")
 def sink_filename(spark, d):

@@ -34,14 +34,15 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tokenweave/{spark.sparkContext.applicationId}"
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def release(spark: SparkSession) -> None:
     """Deletes the tables this application wrote to the shared folder. What was made from them can't be read any more."""
-    fs, where = _fs(spark, _own_dir(spark))
+    fs, where = file_system(spark, _own_dir(spark))
     fs.delete(where, True)
 
 
@@ -65,7 +66,7 @@ def ship(spark: SparkSession) -> None:
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the application's own part of the shared folder, which goes with the driver, or by release()."""
     own = _own_dir(spark)
-    fs, where = _fs(spark, own)
+    fs, where = file_system(spark, own)
     if fs.mkdirs(where):
         fs.deleteOnExit(where)
     return f"{own}/{label}-{uuid.uuid4().hex}"

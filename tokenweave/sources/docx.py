@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.morphology import strip
+from ..session import file_system
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -43,7 +44,11 @@ def body_paragraphs(data: bytes) -> list[tuple[str, str]]:
 
 
 def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
-    """filename, paragraph_no, style, text of every .docx under path. A file that can't be read raises."""
+    """filename, paragraph_no, style, text of every .docx under path. A file that can't be read raises.
+
+    filename is the path below `path`, so that files of one name in two folders stay two; for a single file or a pattern
+    it is the name alone.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,7 +59,10 @@ def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
                     rows = [(name, 0, "", "")]
                 yield pd.DataFrame(rows, columns=["filename", "paragraph_no", "style", "text"])
 
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+    fs, where = file_system(spark, path)
+    root = fs.makeQualified(where).toString().rstrip("/") + "/"
+    below = F.when(F.col("path").startswith(root), F.substring("path", len(root) + 1, 1 << 20)).otherwise(F.element_at(F.split("path", "/"), -1))
+    named = files.select(below.alias("filename"), "content")
     return named.mapInPandas(parse, "filename string, paragraph_no int, style string, text string")
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import logging
 from dataclasses import dataclass
-from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.morphology import strip
 from ..functions.unicode import nfc
+from ..session import file_system
 
 log = logging.getLogger(__name__)
 
@@ -43,6 +44,7 @@ def read_aliases(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(nfc(_said("variant")).alias("variant"), nfc(_said("lemma")).alias("lemma"), _said("kind").alias("kind"), _said("note").alias("note"))
 
 
+# The fields of a list's description, as the manifest and the reports name them.
 @dataclass(frozen=True)
 class ListMeta:
     id: str
@@ -56,30 +58,37 @@ class ListMeta:
 
 
 class ListRegistry:
-    """The lists of one folder, by its manifest.json. Lists are read once and then kept."""
+    """The lists of one folder, on any file system Spark reads, by its manifest.json. Lists are read once and then kept."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, Path(folder)
+        self.spark, self.folder = spark, str(folder).rstrip("/")
         self._loaded: dict[str, tuple[ListMeta, DataFrame, DataFrame | None]] = {}
 
     def manifest(self) -> list[dict]:
         """Rows of the manifest that have an id; none, with a log line, if it is missing or can't be read."""
         try:
-            data = json.loads((self.folder / "manifest.json").read_text(encoding="utf-8"))
+            text = self.spark.read.text(f"{self.folder}/manifest.json", wholetext=True).first()
+            data = json.loads(text.value if text else "")
             return [row for row in data.get("lexicons", []) if row.get("id")]
-        except (OSError, ValueError) as problem:
+        except (AnalysisException, ValueError, AttributeError) as problem:
             log.warning("no word lists: %s", problem)
             return []
 
+    def _has(self, name: str | None) -> bool:
+        if not name:
+            return False
+        fs, where = file_system(self.spark, f"{self.folder}/{name}")
+        return fs.exists(where)
+
     def available(self) -> list[ListMeta]:
         """The default list first, then by name; lists whose file is missing are left out."""
         metas = []
         for row in self.manifest():
-            if not row.get("entries_file") or not (self.folder / row["entries_file"]).is_file():
+            if not self._has(row.get("entries_file")):
                 log.warning("word list %s has no file", row["id"])
                 continue
             name = row.get("name", row["id"])
-            count = read_entries(self.spark, str(self.folder / row["entries_file"])).count()
+            count = read_entries(self.spark, f"{self.folder}/{row['entries_file']}").count()
             metas.append(ListMeta(row["id"], name, row.get("short_name", name), row.get("description", ""), count, int(row.get("reference_tokens", 0)), row.get("source", ""), bool(row.get("default"))))
         return sorted(metas, key=lambda m: (not m.is_default, m.name))
 
@@ -97,8 +106,8 @@ class ListRegistry:
             return None
         row = next(r for r in self.manifest() if r["id"] == list_id)
         aliases = row.get("aliases_file")
-        some = aliases and (self.folder / aliases).is_file()
-        found = (meta, read_entries(self.spark, str(self.folder / row["entries_file"])).cache(), read_aliases(self.spark, str(self.folder / aliases)).cache() if some else None)
+        some = self._has(aliases)
+        found = (meta, read_entries(self.spark, f"{self.folder}/{row['entries_file']}").cache(), read_aliases(self.spark, f"{self.folder}/{aliases}").cache() if some else None)
         self._loaded[list_id] = found
         return found
 

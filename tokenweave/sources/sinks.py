@@ -21,6 +21,22 @@ def to_json(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def chapter_reports(summaries: DataFrame, rows: DataFrame) -> DataFrame:
+    """run_id, chapter_index, json: the report of each chapter as one document, its labels and counts and under `rows` its rows in order.
+
+    summaries: operators.chapters.summaries; rows: operators.chapters.rows. A run is all documents of its id: one for each
+    chapter, since a run of any size would not fit one task.
+    """
+    at = ["run_id", "chapter_index"]
+    item = F.struct("row_no", *(c for c in rows.columns if c not in (*at, "row_no")))
+    nested = rows.groupBy(*at).agg(F.sort_array(F.collect_list(item)).alias("rows"))
+    whole = summaries.join(nested, at, "left")
+    none = F.array().cast(nested.schema["rows"].dataType)
+    fields = [c for c in summaries.columns if c != "run_id"]
+    document = F.struct(*fields, F.coalesce("rows", none).alias("rows"))
+    return whole.select(*at, F.to_json(document, {"ignoreNullFields": "false"}).alias("json"))
+
+
 def _letter(n: int) -> str:
     out = ""
     while n:

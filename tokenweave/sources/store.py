@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.morphology import decode
 from ..functions.vocab import DIMENSIONS
+from ..session import file_system
 
 log = logging.getLogger(__name__)
 FACTS = ["filename", "chapter_index", "chapter_id", "chapter_title", "position", "type", "lemma", "form", "parse"]
@@ -31,22 +32,27 @@ class RunStore:
         self._cache: OrderedDict[str, DataFrame] = OrderedDict()
 
     def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+        return file_system(self.spark, path)
 
     def _exists(self, path: str) -> bool:
         fs, where = self._fs(path)
         return fs.exists(where)
 
+    def _folder(self, column: str, value: str) -> str:
+        return f"{column}={self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)}"
+
     def _facts_path(self, run_id: str) -> str:
-        return f"{self.path}/token_facts/run_id={run_id}"
+        return f"{self.path}/token_facts/{self._folder('run_id', run_id)}"
+
+    def _run_path(self, run_id: str) -> str:
+        return f"{self.path}/runs/{self._folder('run', run_id)}"
 
     @staticmethod
-    def with_features(facts: DataFrame) -> DataFrame:
-        """facts with the feat_ columns, decoded from parse and type anew."""
-        decoded = decode(facts.select(*FACTS))
-        return decoded.select(*FACTS, *(F.col(d).alias(f"feat_{d}") for d in DIMENSIONS), F.col("status").alias("feat_status"), F.col("is_deponent").cast("int").alias("feat_deponent"))
+    def with_features(facts: DataFrame, *keep: str) -> DataFrame:
+        """facts with the feat_ columns, decoded from parse and type anew; a null label or type counts as empty."""
+        known = facts.select(*keep, *FACTS).fillna("", ["parse", "type"])
+        decoded = decode(known)
+        return decoded.select(*keep, *FACTS, *(F.col(d).alias(f"feat_{d}") for d in DIMENSIONS), F.col("status").alias("feat_status"), F.col("is_deponent").cast("int").alias("feat_deponent"))
 
     def save(self, facts: DataFrame, model_id: str, filenames: list[str], note: str | None = None) -> str:
         """Writes a new run and gives its id. Facts come first: a run is listed only once it is whole."""
@@ -55,9 +61,19 @@ class RunStore:
         counts = self.spark.read.parquet(self._facts_path(run_id)).agg(F.count_distinct("chapter_index").alias("c"), F.count("*").alias("n")).first()
         now = datetime.datetime.now(datetime.timezone.utc).isoformat()
         row = self.spark.createDataFrame([(run_id, now, model_id, list(filenames), counts.c, counts.n, note)], RUNS)
-        row.coalesce(1).write.mode("append").parquet(f"{self.path}/runs/id_{run_id}")
+        row.coalesce(1).write.mode("append").parquet(self._run_path(run_id))
         return run_id
 
+    def add(self, runs: DataFrame, facts: DataFrame | None = None) -> None:
+        """Runs made elsewhere, with ids of their own: all of them in one pass over their facts (run_id and FACTS), if given.
+
+        Facts are decoded and written before their runs are listed. A run's facts may be any share of all.
+        """
+        if facts is not None:
+            self.with_features(facts, "run_id").sortWithinPartitions("run_id", "chapter_index", "position").write.mode("append").partitionBy("run_id").parquet(f"{self.path}/token_facts")
+        listed = runs.select(*(F.col(f.name).cast(f.dataType) for f in RUNS.fields), F.col("id").alias("run"))
+        listed.write.mode("append").partitionBy("run").parquet(f"{self.path}/runs")
+
     def save_safely(self, *args, **kwargs) -> str | None:
         """save(), but a failure is logged and gives None."""
         try:
@@ -100,7 +116,7 @@ class RunStore:
         """Removes runs and gives the ids that were there, each once, in the order asked for."""
         gone = []
         for run_id in dict.fromkeys(run_ids):
-            fs, where = self._fs(f"{self.path}/runs/id_{run_id}")
+            fs, where = self._fs(self._run_path(run_id))
             if not fs.exists(where):
                 continue
             fs.delete(where, True)

@@ -94,7 +94,7 @@ def arrange(sections: DataFrame) -> DataFrame:
     """
     key = ["run_id", "filename", "section_no"]
     alone = (F.count("*").over(Window.partitionBy("run_id", "filename")) == 1) & (F.col("title") == "Document")
-    stem = F.regexp_replace("filename", r"(?<=.)\.[^.]*$", "")
+    stem = F.regexp_replace(F.regexp_replace("filename", "^.*/", ""), r"(?<=.)\.[^.]*$", "")
     index = F.row_number().over(Window.partitionBy("run_id").orderBy(natural_key(F.col("filename")), "filename", "section_no"))
     titled = sections.select(*key, F.when(alone, stem).otherwise(F.col("title")).alias("title"), index.alias("__n"))
     listed = titled.select(*key, (F.col("__n") - 1).alias("chapter_index"), slug_id(F.col("title"), F.col("__n")).alias("chapter_id"), "title")

@@ -20,6 +20,12 @@ def once(facts: DataFrame, time: str = "loaded_at", lateness: str = "7 days") ->
     return facts.withWatermark(time, lateness).dropDuplicatesWithinWatermark(KEY)
 
 
+def first_appearances(facts: DataFrame, keys: tuple[str, ...] = ("lemma",)) -> DataFrame:
+    """The fact with which each key of a run arrived first. Told at once and once; the state is the keys of all runs, which
+    are far fewer than facts and are kept for good, since a key may come back after any time."""
+    return facts.dropDuplicates(["run_id", *keys])
+
+
 def decoded(facts: DataFrame) -> DataFrame:
     """Stateless decoding; labels are decoded per row, as a stream has no distinct."""
     return with_morph(facts)

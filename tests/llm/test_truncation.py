@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tokenweave.llm.truncation import describe, ended, fit, fitted, limits, score_truncation, strip_closing
+from tokenweave.llm.truncation import describe, ended, fit, fitted, limits, score_truncation, strip_closing, whole_words
 
 THINGS = ["kettle", "tent", "pillow", "rucksack", "desk lamp", "garden hose", "pan"]
 
@@ -62,10 +62,23 @@ def test_known_words_come_from_all_intact_texts(spark):
     rows = [(i, f"The word{'abc'[i % 3]} is rare here. It stands in many texts.") for i in range(60)] + [(100 + i, "A long tale of zebras. " * 300) for i in range(3)]
     rows += [(200 + i, "Only quaggas twice. That is all.") for i in range(2)] + [(300 + i, "the text breaks off in gnu") for i in range(5)] + [(400, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    model = fitted(docs, "doc_id", "text", sample=4)
-    assert {"worda", "wordb", "wordc", "zebras"} <= model.vocabulary and not {"quaggas", "gnu"} & model.vocabulary
-    texts = [t for _, t in rows[:65]]
-    assert model.vocabulary == fit(texts, []).vocabulary
+    words = whole_words(docs, "text")
+    found = {r.word for r in words.collect()}
+    assert {"worda", "wordb", "wordc", "zebras"} <= found and not {"quaggas", "gnu"} & found
+    assert found == fit([t for _, t in rows[:65]], []).vocabulary
+    model = fitted(docs, words, "doc_id", "text", sample=4)
+    assert model.vocabulary <= found
+
+
+def test_scores_join_the_words_of_the_corpus(spark):
+    rng = random.Random(6)
+    docs = [(i, "web", review(rng)) for i in range(300)] + [(1000 + i, "web", f"I ordered the tent. It replaced a {w}") for i, w in enumerate(("kettle", "kett", "17", "", "^"))] + [(1005, "web", None)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    words = whole_words(df, "text")
+    model = fitted(df, words, "doc_id", "text")
+    model.vocabulary = {r.word for r in words.collect()}
+    got = {r.doc_id: r.score for r in score_truncation(df, "doc_id", "source", "text").collect()}
+    assert got == pytest.approx({i: model.score(t, False) if t else 0.0 for i, _, t in docs})
 
 
 @pytest.mark.parametrize(

@@ -15,6 +15,8 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,13 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import bounded_rows
+from ..session import cut, small
 
-#: Bits of a feature's hash and features of a text; passes, batch and rate of the fit.
-BITS, WIDTH = 18, 20
+#: Bits of a feature's hash and features of a text but for its last word being known; passes, batch and rate of the fit.
+BITS, WIDTH = 18, 18
 EPOCHS, BATCH, RATE = 6, 1024, 0.5
-#: Most words that the corpus may have in more than 2 intact texts; beyond it score_truncation raises. Every worker holds them.
-MOST_WORDS = 2_000_000
 #: Most texts that the classifier is fitted on, the most characters each may have, and the seed that picks cuts.
 SAMPLE, SAMPLE_CHARS, SEED = 10000, 4000, 11
 #: A length is a limit of its source if so large a share of its texts lacks a closing mark, and if these texts are so many
@@ -118,19 +118,30 @@ def describe(text: str, at_limit: bool) -> tuple[str, list[str], str, bool]:
     return state, words, ("t" if tag else "") + plain[:3] + ("_" if sign[-1:].isspace() else "") + ("l" if at_limit else ""), closed
 
 
-def features(text: str, at_limit: bool, vocabulary: set[str]) -> list[int]:
+def _hashed(name: str) -> int:
+    return zlib.crc32(name.encode()) & ((1 << BITS) - 1)
+
+
+def features(text: str, at_limit: bool) -> tuple[list[int], str, str]:
+    """The features of text but for those of its last word being known, then its state and that word; `0` is any number."""
     state, words, sign, closed = describe(text, at_limit)
     w = ["^"] * (5 - len(words)) + words
-    known = "k" if w[-1] in vocabulary or w[-1] == "0" else "u"
     close = {"E": "E", "N": "N"}.get(state, "W")
     length = min(6, len(text).bit_length())
     names = [
-        "b", "e" + str(closed) + state, "f" + str(closed), "s" + state, "g" + sign, "sg" + state + sign, "k" + known, "ks" + known + state, "l" + str(at_limit) + state, "n" + str(length) + state,
+        "b", "e" + str(closed) + state, "f" + str(closed), "s" + state, "g" + sign, "sg" + state + sign, "l" + str(at_limit) + state, "n" + str(length) + state,
         "1" + w[-1], "2" + " ".join(w[-2:]), "3" + " ".join(w[-3:]), "4" + " ".join(w[-4:]), "5" + " ".join(w),
         "1" + close + w[-1], "2" + close + " ".join(w[-2:]), "3" + close + " ".join(w[-3:]),
         "c" + w[-1][-2:], "z" + str(min(len(w[-1]), 5)) + close,
     ]
-    return [zlib.crc32(n.encode()) & ((1 << BITS) - 1) for n in names]
+    return [*map(_hashed, names)], state, w[-1]
+
+
+@lru_cache(maxsize=64)
+def of_word(known: bool, state: str) -> tuple[int, int]:
+    """The features of a text whose last word is a known one, or is not."""
+    k = "k" if known else "u"
+    return _hashed("k" + k), _hashed("ks" + k + state)
 
 
 _SENTENCE_END = re.compile(r"[.!?]+(?=\s|\Z)")
@@ -189,14 +200,21 @@ def examples(texts: list[str], titles: list[str], seed: int) -> Iterator[tuple[s
 
 
 class Cutoff:
-    """The fitted classifier: weights of hashed features and the words it takes for whole ones."""
+    """The fitted classifier: weights of hashed features, and the words of its examples that it takes for whole ones."""
 
     def __init__(self, weights: np.ndarray, vocabulary: set[str]):
         self.weights, self.vocabulary = weights, vocabulary
 
+    def scores(self, text: str, at_limit: bool) -> tuple[str, float, float]:
+        """The last word of text, and the score if that is a known word and if it is not."""
+        names, state, word = features(text, at_limit)
+        z = float(self.weights[names].sum())
+        known, unknown = (1.0 / (1.0 + np.exp(-max(-30.0, min(30.0, z + float(self.weights[[*of_word(k, state)]].sum()))))) for k in (True, False))
+        return word, known, unknown
+
     def score(self, text: str, at_limit: bool) -> float:
-        z = float(self.weights[features(text, at_limit, self.vocabulary)].sum())
-        return 1.0 / (1.0 + np.exp(-max(-30.0, min(30.0, z))))
+        word, known, unknown = self.scores(text, at_limit)
+        return known if word == "0" or word in self.vocabulary else unknown
 
 
 def _counted(texts: Iterable[str]) -> Counter[str]:
@@ -204,11 +222,24 @@ def _counted(texts: Iterable[str]) -> Counter[str]:
     return Counter(w for t in texts for w in {x.lower() for x in _WORD.findall(t)[:-1]})
 
 
-def encode(texts: list[str], titles: list[str], seed: int, vocabulary: set[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The features and the labels of the examples made from texts and headlines."""
-    rows = list(examples(texts, titles, seed))
-    x = np.array([features(t, lim, vocabulary) for t, lim, _ in rows], np.int32).reshape(len(rows), WIDTH)
-    return x, np.array([c for _, _, c in rows], np.int8)
+class Examples(NamedTuple):
+    """Features but for those of the last word, labels, states and last words of examples, one row each."""
+
+    x: np.ndarray
+    y: np.ndarray
+    states: list[str]
+    words: list[str]
+
+    @classmethod
+    def made(cls, texts: list[str], titles: list[str], seed: int) -> Examples:
+        rows = list(examples(texts, titles, seed))
+        told = [features(t, at_limit) for t, at_limit, _ in rows]
+        x = np.array([f for f, _, _ in told], np.int32).reshape(len(rows), WIDTH)
+        return cls(x, np.array([c for _, _, c in rows], np.int8), [s for _, s, _ in told], [w for _, _, w in told])
+
+    def fitted(self, vocabulary: set[str], seed: int, epochs: int) -> Cutoff:
+        more = np.array([of_word(w == "0" or w in vocabulary, s) for w, s in zip(self.words, self.states)], np.int32).reshape(-1, 2)
+        return Cutoff(weigh(np.hstack([self.x, more]), self.y, seed, epochs), vocabulary)
 
 
 def weigh(x: np.ndarray, y: np.ndarray, seed: int = SEED, epochs: int = EPOCHS) -> np.ndarray:
@@ -237,7 +268,7 @@ def fit(texts: list[str], titles: list[str], seed: int = SEED, epochs: int = EPO
     """vocabulary: the words taken for whole ones, by default those of more than 2 of texts."""
     if vocabulary is None:
         vocabulary = {w for w, n in _counted(texts).items() if n > 2}
-    return Cutoff(weigh(*encode(texts, titles, seed, vocabulary), seed, epochs), vocabulary)
+    return Examples.made(texts, titles, seed).fitted(vocabulary, seed, epochs)
 
 
 CLOSED = r"(?s)[^.][.!?][\"'”»)]*\s*$"
@@ -256,8 +287,8 @@ def limits(documents: DataFrame, source: str, text: str) -> DataFrame:
     return counts.withColumn("is_limit", stands_out & (F.col("open") >= LIMIT_SHARE * F.col("n"))).where("is_limit").select("source", "unit", "length")
 
 
-def whole_words(documents: DataFrame, text: str) -> set[str]:
-    """The words in more than 2 intact texts of all documents, whatever their length."""
+def whole_words(documents: DataFrame, text: str) -> DataFrame:
+    """word: those in more than 2 intact texts of all documents, whatever their length."""
     at = F.col(f"`{text}`")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,37 +297,37 @@ def whole_words(documents: DataFrame, text: str) -> set[str]:
             yield pd.DataFrame({"word": list(seen.keys()), "n": list(seen.values())}).astype({"word": object, "n": "int64"})
 
     parts = documents.where(at.rlike(CLOSED)).select(at.alias("text")).mapInPandas(count, "word string, n long")
-    often = parts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 2").select("word")
-    return {r.word for r in bounded_rows(often, MOST_WORDS, "the vocabulary of intact texts")}
+    return parts.groupBy("word").agg(F.sum("n").alias("n")).where("n > 2").select("word")
 
 
-def fitted(documents: DataFrame, doc_id: str, text: str, title: str | None = None, sample: int = SAMPLE) -> Cutoff:
+def fitted(documents: DataFrame, words: DataFrame, doc_id: str, text: str, title: str | None = None, sample: int = SAMPLE) -> Cutoff:
     """A classifier from at most `sample` intact texts of at most SAMPLE_CHARS characters, those with the least hash of their id, and their headlines.
 
-    The words it takes for whole ones are counted over all intact texts. Examples are made and encoded by the executors;
-    the driver gets their features, WIDTH numbers each, some thirty a text.
+    words: those taken for whole ones, from whole_words(). Examples are made by the executors; the driver gets their features,
+    WIDTH numbers each, some thirty a text, and of words those that end an example.
     """
     at = lambda c: F.col(f"`{c}`")
-    spark = documents.sparkSession
-    vocabulary = whole_words(documents, text)
-    shared = spark.sparkContext.broadcast(vocabulary)
     intact = documents.where((F.length(at(text)) <= SAMPLE_CHARS) & at(text).rlike(CLOSED)).select(F.xxhash64(at(doc_id)).alias("h"), at(text).alias("text"), (at(title) if title else F.lit(None).cast("string")).alias("title"))
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for h, body, head in batch.itertuples(index=False, name=None):
-                x, y = encode([body], [head] if head and head.strip() else [], SEED, shared.value)
-                rows.append((h, zlib.crc32(body.encode()), x.tobytes(), y.tobytes()))
-            yield pd.DataFrame(rows, columns=["h", "t", "x", "y"])
-
-    spread = intact.orderBy("h").limit(sample).repartition(spark.sparkContext.defaultParallelism)
-    made = spread.mapInPandas(make, "h long, t long, x binary, y binary").toArrow()
-    order = np.lexsort((made["t"].to_numpy(), made["h"].to_numpy()))
-    xs, ys = made["x"].to_pylist(), made["y"].to_pylist()
-    x = np.frombuffer(b"".join(xs[i] for i in order), np.int32).reshape(-1, WIDTH)
-    y = np.frombuffer(b"".join(ys[i] for i in order), np.int8)
-    return Cutoff(weigh(x, y), vocabulary)
+                e = Examples.made([body], [head] if head and head.strip() else [], SEED)
+                rows.append((h, zlib.crc32(body.encode()), e.x.tobytes(), e.y.tobytes(), "".join(e.states), e.words))
+            yield pd.DataFrame(rows, columns=["h", "t", "x", "y", "states", "words"])
+
+    spread = intact.orderBy("h").limit(sample).repartition(documents.sparkSession.sparkContext.defaultParallelism)
+    made = cut(spread.mapInPandas(make, "h long, t long, x binary, y binary, states string, words array<string>"), "examples")
+    ends = made.select(F.explode("words").alias("word")).distinct()
+    vocabulary = {r.word for r in words.join(small(ends), "word", "left_semi").collect()}
+    got = made.toArrow()
+    order = np.lexsort((got["t"].to_numpy(), got["h"].to_numpy()))
+    column = {c: got[c].to_pylist() for c in ("x", "y", "states", "words")}
+    x = np.frombuffer(b"".join(column["x"][i] for i in order), np.int32).reshape(-1, WIDTH)
+    y = np.frombuffer(b"".join(column["y"][i] for i in order), np.int8)
+    every = Examples(x, y, [s for i in order for s in column["states"][i]], [w for i in order for w in column["words"][i]])
+    return every.fitted(vocabulary, SEED, EPOCHS)
 
 
 def score_truncation(documents: DataFrame, doc_id: str, source: str, text: str, title: str | None = None, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
@@ -304,11 +335,13 @@ def score_truncation(documents: DataFrame, doc_id: str, source: str, text: str,
 
     Null and empty texts score 0. Repeated rows are scored alike; a null source has limits of its own. Extra
     columns are not read. The weights of the classifier are fitted when this is called, on a bounded sample;
-    everything else, its known words too, covers all rows.
+    everything else, its known words too, covers all rows: a text gets the scores for both cases, and its last word is
+    joined to the words of the corpus, however many they are.
     """
     spark = documents.sparkSession
     at = lambda c: F.col(f"`{c}`")
-    model = spark.sparkContext.broadcast(fitted(documents, doc_id, text, title, sample))
+    words = cut(whole_words(documents, text), "words")
+    model = spark.sparkContext.broadcast(fitted(documents, words, doc_id, text, title, sample))
     lim = limits(documents, source, text)
     chars = lim.where("unit = 'chars'").select(F.col("source").alias("__cs"), F.col("length").alias("__c"))
     octets = lim.where("unit = 'bytes'").select(F.col("source").alias("__bs"), F.col("length").alias("__b"))
@@ -316,12 +349,14 @@ def score_truncation(documents: DataFrame, doc_id: str, source: str, text: str,
     marked = base.join(chars, F.col("source").eqNullSafe(F.col("__cs")) & (F.length("text") == F.col("__c")), "left")
     marked = marked.join(octets, F.col("source").eqNullSafe(F.col("__bs")) & (F.octet_length("text") == F.col("__b")), "left")
     marked = marked.select("doc", "source", "text", (F.col("__c").isNotNull() | F.col("__b").isNotNull()).alias("at_limit"))
-    out = T.StructType([T.StructField(doc_id, documents.schema[doc_id].dataType), T.StructField(source, documents.schema[source].dataType), T.StructField("score", T.DoubleType()), T.StructField("truncated", T.BooleanType())])
+    out = T.StructType([T.StructField("doc", documents.schema[doc_id].dataType), T.StructField("source", documents.schema[source].dataType), T.StructField("last", T.StringType()), T.StructField("known", T.DoubleType()), T.StructField("unknown", T.DoubleType())])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fit_ = model.value
         for batch in batches:
-            s = [fit_.score(t, bool(lim)) if t else 0.0 for t, lim in zip(batch["text"], batch["at_limit"])]
-            yield pd.DataFrame({doc_id: batch["doc"], source: batch["source"], "score": s, "truncated": [x >= threshold for x in s]})
+            s = [fit_.scores(t, bool(lim)) if t else (None, 0.0, 0.0) for t, lim in zip(batch["text"], batch["at_limit"])]
+            yield pd.DataFrame({"doc": batch["doc"], "source": batch["source"], "last": [w for w, _, _ in s], "known": [k for _, k, _ in s], "unknown": [u for _, _, u in s]})
 
-    return marked.mapInPandas(score, out)
+    scored = marked.mapInPandas(score, out).join(small(words), F.col("last") == F.col("word"), "left")
+    final = F.when(F.col("word").isNotNull() | (F.col("last") == "0"), F.col("known")).otherwise(F.col("unknown"))
+    return scored.select(F.col("doc").alias(doc_id), F.col("source").alias(source), final.alias("score")).withColumn("truncated", F.col("score") >= threshold)

@@ -115,6 +115,16 @@ def p3_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("field", "value", "consistent", "status").agg(F.count("*").alias("rows"))
 
 
+_WS = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_UNSEEN = r"[\p{Cf}\x{00}-\x{08}\x{0E}-\x{1B}\x{7F}-\x{84}\x{86}-\x{9F}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}]"
+_STYLED = r"[\x{FF10}-\x{FF19}\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{1D400}-\x{1D7FF}\x{00B5}\x{017F}\x{03D0}-\x{03D2}\x{03D5}\x{03D6}\x{03F0}-\x{03F2}\x{03F4}\x{03F5}\x{03F9}]"
+_P3 = rf"""
+WITH cells AS (SELECT 'lemma' AS field, run_id || '/' || chapter_index || '/' || position AS row_key, lemma AS value FROM token_facts
+UNION SELECT 'form', run_id || '/' || chapter_index || '/' || position, form FROM token_facts UNION SELECT 'variant', variant, variant FROM greek_core_5k_aliases)
+SELECT DISTINCT field, row_key FROM cells WHERE value <> nfc_normalize(value) OR regexp_matches(value, '{_UNSEEN}') OR regexp_matches(value, '{_STYLED}') OR regexp_matches(value, '^{_WS}|{_WS}$')
+OR len(list_filter(string_split_regex(value, '{_WS}+'), lambda w: regexp_matches(w, '\p{{Greek}}')::INT + regexp_matches(w, '\p{{Latin}}')::INT + regexp_matches(w, '\p{{Cyrillic}}')::INT > 1)) > 0
+"""
+
 # 4. The most frequent pairs of every run and lemma
 
 
@@ -192,6 +202,11 @@ def p7_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir, cleaned)
 
 
+def p7_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words each document loses, and whether it is dropped."""
+    return p7_cleaned(spark, sf_dir).select("doc_id", "removed_words", "dropped")
+
+
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every test item with the number of documents it leaked into."""
     found = _leaks(spark, sf_dir, leaks).groupBy("item_id").agg(F.count("*").alias("documents"))
@@ -205,6 +220,14 @@ dg AS (SELECT doc_id, lower(array_to_string(w[k:k + 11], ' ')) AS g FROM (SELECT
 ig AS (SELECT item_id, lower(array_to_string(w[k:k + 11], ' ')) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM i)),
 f AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
 """
+_P7_REMOVED = r"""
+WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: lower(x)) AS w FROM documents),
+i AS (SELECT regexp_extract_all(text, '[\p{L}\p{N}]+') AS w FROM eval_items),
+ig AS (SELECT DISTINCT lower(array_to_string(w[k:k + 11], ' ')) AS g FROM (SELECT w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+h AS (SELECT doc_id, k FROM (SELECT doc_id, k, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)) SEMI JOIN ig USING (g)),
+n AS (SELECT doc_id, count(DISTINCT p) AS removed FROM (SELECT doc_id, unnest(range(k, k + 12)) AS p FROM h) GROUP BY 1)
+SELECT doc_id, CAST(coalesce(removed, 0) AS BIGINT) AS removed_words, coalesce(removed > 0.5 * len(w), false) AS dropped FROM d LEFT JOIN n USING (doc_id)
+"""
 
 # 8. Mixing sources
 
@@ -262,6 +285,7 @@ QUERIES = {
     "p6_candidates": p6_candidates,
     "p7_found": p7_found,
     "p7_cleaned": p7_cleaned,
+    "p7_removed": p7_removed,
     "p7_items": p7_items,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
@@ -275,6 +299,8 @@ ORACLES = {
     "p2_found": _P2 + "SELECT field, term, mark FROM m WHERE mark <> 'kept'",
     "p2_terms": _P2 + "SELECT * FROM m",
     "p7_found": _P7 + "SELECT doc_id, item_id FROM f",
+    "p3_found": _P3,
+    "p7_removed": _P7_REMOVED,
     "p7_items": _P7 + "SELECT item_id, CAST(count(doc_id) AS BIGINT) AS documents FROM eval_items LEFT JOIN f USING (item_id) GROUP BY 1",
     "p8_sources": "SELECT m.source, target_share, coalesce(max_repeats, 1) AS max_repeats, CAST(count(d.source) AS BIGINT) AS documents FROM mix_targets AS m LEFT JOIN documents AS d USING (source) GROUP BY 1, 2, 3",
     "p4_found": _P4 + "SELECT run_id, lemma, place, parse, form FROM r WHERE place <= 3",

@@ -39,6 +39,9 @@ def _open(path: str):
         return fs.LocalFileSystem(), path
     if path.startswith("file:"):
         return fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
+    for scheme in ("s3a://", "s3n://"):  # the same store by the name this reader knows
+        if path.startswith(scheme):
+            path = "s3://" + path[len(scheme):]
     return fs.FileSystem.from_uri(path)
 
 

@@ -213,3 +213,23 @@ def test_sound_lists_only(spark):
     for bad in (good.where("rank <> 2"), good.union(good.where("rank = 3").selectExpr("4", "lemma", "gloss", "kind", "ref_count", "ref_coverage"))):
         with pytest.raises(Exception, match="holes|twice"):
             lexicon.core_list(bad).collect()
+
+
+def test_a_provider_that_fails_or_breaks_off(spark):
+    asked = []
+
+    def flaky(t, title):
+        asked.append(t)
+        if len(asked) % 2:
+            raise OSError("busy")
+        if len(t) > 30:
+            raise text.CutOff
+        return t.split()
+
+    body = "One two three. Four five six.\n\nSeven eight nine ten eleven twelve thirteen. Fourteen"
+    assert text.persistent(flaky)(body, "") == body.split() and text.halves(body)[0] == "One two three. Four five six."
+    assert text.halves("word") is None and text.halves("a b") == ("a", "b") and text.halves(" ab ") is None
+    with pytest.raises(text.CutOff):
+        text.persistent(lambda t, title: (_ for _ in ()).throw(text.CutOff()), depth=2)("a b c d e", "")
+    with pytest.raises(OSError):
+        text.persistent(lambda t, title: (_ for _ in ()).throw(OSError()), tries=2)("a", "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -125,6 +126,45 @@ def provide(chapters: DataFrame, analyze: Callable[[str, str], list[tuple[str, s
     return chapters.mapInPandas(run, T.StructType([*chapters.schema.fields, T.StructField("tokens", T.ArrayType(TOKEN))]))
 
 
+class CutOff(Exception):
+    """A provider's answer broke off before the end of the text it was asked about."""
+
+
+#: Where a text may be halved, the best place first: between paragraphs, after a sentence, between words.
+_BREAKS = (re.compile(r"\n\s*\n"), re.compile(r"(?<=[.·;!?])\s+"), re.compile(r"\s+"))
+
+
+def halves(text: str) -> tuple[str, str] | None:
+    """text in two, at the place nearest to its middle of the best kind that it has; None for a single word."""
+    for pattern in _BREAKS:
+        spots = [m.span() for m in pattern.finditer(text) if 0 < m.start() and m.end() < len(text)]
+        if spots:
+            a, b = min(spots, key=lambda s: abs(s[0] + s[1] - len(text)))
+            return text[:a], text[b:]
+    return None
+
+
+def persistent(analyze: Callable[[str, str], list], tries: int = 3, depth: int = 4) -> Callable[[str, str], list]:
+    """analyze for provide(), asked again after a failure, `tries` times in all. Where an answer was CutOff, both halves of the
+    text are asked about and their tokens put together in order, halved `depth` times at most; then CutOff is raised."""
+
+    def ask(text: str, title: str, left: int) -> list:
+        for turn in range(tries):
+            try:
+                return list(analyze(text, title))
+            except CutOff:
+                parts = halves(text) if left else None
+                if parts is None:
+                    raise
+                return [token for part in parts for token in ask(part, title, left - 1)]
+            except Exception:  # noqa: BLE001 - whatever a service may raise
+                if turn + 1 == tries:
+                    raise
+        return []
+
+    return lambda text, title: ask(text, title, depth)
+
+
 def locate(analysed: DataFrame) -> DataFrame:
     """Facts from analysed chapters: one row per token with its position, from 0."""
     return analysed.select("run_id", "filename", "chapter_index", "chapter_id", F.col("title").alias("chapter_title"), F.posexplode("tokens").alias("position", "t")).select("run_id", "filename", "chapter_index", "chapter_id", "chapter_title", "position", "t.*")

@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from tokenweave.llm.truncation import describe, ended, fit, fitted, limits, score_truncation, strip_closing, whole_words
+from tokenweave.llm.truncation import describe, ended, fit, fitted, is_open, limits, score_truncation, strip_closing, whole_words
 
 THINGS = ["kettle", "tent", "pillow", "rucksack", "desk lamp", "garden hose", "pan"]
 
@@ -107,3 +108,19 @@ def test_limits_stand_out_from_the_lengths_around(spark):
 def test_closing_signs_of_any_length_are_seen_whole():
     assert strip_closing("Good." + " " * 500 + "9 out of" + " " + "10") == "Good." and strip_closing("Good. " + "x" * 500) == "Good."
     assert describe("Fine. " + "very" * 100 + " long", False)[1] == ["^", "very" * 100, "long"]
+
+
+def test_the_sample_is_the_same_whatever_share_is_looked_at(spark):
+    rng = random.Random(8)
+    docs = [(i, review(rng) if i % 40 == 0 else "no mark at its end") for i in range(4000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    words = whole_words(df, "text")
+    one = fitted(df, words, "doc_id", "text", sample=60)  # a first share holds too few intact texts
+    intact = df.where("text <> 'no mark at its end'")
+    assert (one.weights == fitted(intact, words, "doc_id", "text", sample=60).weights).all() and one.weights.any()
+
+
+def test_many_sentences_without_an_end_are_no_trouble(spark):
+    body = "It works well. " * 60_000
+    df = spark.createDataFrame([(body,), (body + "And",), ("Fine. It",), ("fine it",), ("Fine..  ",), ("Fine.",)], "t string")
+    assert [r.o for r in df.select(is_open(F.col("t")).alias("o")).collect()] == [False, True, True, False, True, False]

@@ -20,7 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -205,21 +205,22 @@ class Cutoff:
     def __init__(self, weights: np.ndarray, vocabulary: set[str]):
         self.weights, self.vocabulary = weights, vocabulary
 
-    def scores(self, text: str, at_limit: bool) -> tuple[str, float, float]:
-        """The last word of text, and the score if that is a known word and if it is not."""
-        names, state, word = features(text, at_limit)
-        z = float(self.weights[names].sum())
-        known, unknown = (1.0 / (1.0 + np.exp(-max(-30.0, min(30.0, z + float(self.weights[[*of_word(k, state)]].sum()))))) for k in (True, False))
-        return word, known, unknown
+    def scores(self, texts: list[str], at_limit: list[bool]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The last word of each text, and the score if that is a known word and if it is not."""
+        told = [features(t, a) for t, a in zip(texts, at_limit)]
+        z = self.weights[np.array([f for f, _, _ in told], np.int32).reshape(-1, WIDTH)].sum(1, dtype=np.float64)
+        more = ({s: float(self.weights[[*of_word(k, s)]].sum()) for s in {s for _, s, _ in told}} for k in (True, False))
+        known, unknown = (1 / (1 + np.exp(-np.clip(z + np.array([m[s] for _, s, _ in told]), -30, 30))) for m in more)
+        return [w for _, _, w in told], known, unknown
 
     def score(self, text: str, at_limit: bool) -> float:
-        word, known, unknown = self.scores(text, at_limit)
-        return known if word == "0" or word in self.vocabulary else unknown
+        (word,), (known,), (unknown,) = self.scores([text], [at_limit])
+        return float(known if word == "0" or word in self.vocabulary else unknown)
 
 
 def _counted(texts: Iterable[str]) -> Counter[str]:
-    """Word -> number of texts that have it before their last word."""
-    return Counter(w for t in texts for w in {x.lower() for x in _WORD.findall(t)[:-1]})
+    """Word -> number of texts that have it before their last word; numbers, which are all alike, aside."""
+    return Counter(w for t in texts for w in set(_WORD.findall(t.lower())[:-1]) if not w[0].isdigit())
 
 
 class Examples(NamedTuple):
@@ -271,15 +272,18 @@ def fit(texts: list[str], titles: list[str], seed: int = SEED, epochs: int = EPO
     return Examples.made(texts, titles, seed).fitted(vocabulary, seed, epochs)
 
 
-CLOSED = r"(?s)[^.][.!?][\"'”»)]*\s*$"
-#: Texts that lack a closing mark at their end but have some before, unlike headlines and texts without marks.
-OPEN = r"(?s)[.!?].*[^.!?\s]\s*$|\.\.\s*$"
+CLOSED = r"(?s)[^.][.!?][\"'”’»)]*\s*$"
+
+
+def is_open(text: Column) -> Column:
+    """Whether a text lacks a closing mark at its end but has some before, unlike headlines and texts without marks; or ends with dots."""
+    return text.rlike(r"[^.!?\s]\s*$") & text.rlike("[.!?]") | text.rlike(r"\.\.\s*$")
 
 
 def limits(documents: DataFrame, source: str, text: str) -> DataFrame:
     """source, unit (chars or bytes), length: lengths at which a source cuts, from counts over all documents."""
     at = lambda c: F.col(f"`{c}`")
-    sized = documents.where(at(text).isNotNull() & (F.length(at(text)) > 0)).select(at(source).alias("source"), (~at(text).rlike(CLOSED) & at(text).rlike(OPEN)).cast("int").alias("open"), F.explode(F.create_map(F.lit("chars"), F.length(at(text)), F.lit("bytes"), F.octet_length(at(text)))).alias("unit", "length"))
+    sized = documents.where(at(text).isNotNull() & (F.length(at(text)) > 0)).select(at(source).alias("source"), (~at(text).rlike(CLOSED) & is_open(at(text))).cast("int").alias("open"), F.explode(F.create_map(F.lit("chars"), F.length(at(text)), F.lit("bytes"), F.octet_length(at(text)))).alias("unit", "length"))
     counts = sized.groupBy("source", "unit", "length").agg(F.count("*").alias("n"), F.sum("open").alias("open"))
     w = Window.partitionBy("source", "unit").orderBy("length").rangeBetween(-LIMIT_AROUND, LIMIT_AROUND)
     around = (F.sum("open").over(w) - F.col("open")) / (2 * LIMIT_AROUND)
@@ -317,8 +321,16 @@ def fitted(documents: DataFrame, words: DataFrame, doc_id: str, text: str, title
                 rows.append((h, zlib.crc32(body.encode()), e.x.tobytes(), e.y.tobytes(), "".join(e.states), e.words))
             yield pd.DataFrame(rows, columns=["h", "t", "x", "y", "states", "words"])
 
-    spread = intact.orderBy("h").limit(sample).repartition(documents.sparkSession.sparkContext.defaultParallelism)
-    made = cut(spread.mapInPandas(make, "h long, t long, x binary, y binary, states string, words array<string>"), "examples")
+    tasks = documents.sparkSession.sparkContext.defaultParallelism
+    total = documents.count()
+    share = min(1.0, 4 * sample / max(1, total))
+    while True:
+        # the least hashes of all are those of a share of them, if that share holds enough; so no task gets a sample from every other
+        some = intact if share >= 1 else intact.where(F.col("h") < int(share * (1 << 64)) - (1 << 63))
+        made = cut(some.orderBy("h").limit(sample).repartition(tasks).mapInPandas(make, "h long, t long, x binary, y binary, states string, words array<string>"), "examples")
+        if share >= 1 or made.count() >= sample:
+            break
+        share = min(1.0, 8 * share)
     ends = made.select(F.explode("words").alias("word")).distinct()
     vocabulary = {r.word for r in words.join(small(ends), "word", "left_semi").collect()}
     got = made.toArrow()
@@ -354,8 +366,11 @@ def score_truncation(documents: DataFrame, doc_id: str, source: str, text: str,
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fit_ = model.value
         for batch in batches:
-            s = [fit_.scores(t, bool(lim)) if t else (None, 0.0, 0.0) for t, lim in zip(batch["text"], batch["at_limit"])]
-            yield pd.DataFrame({"doc": batch["doc"], "source": batch["source"], "last": [w for w, _, _ in s], "known": [k for _, k, _ in s], "unknown": [u for _, _, u in s]})
+            some = [bool(t) for t in batch["text"]]
+            last, known, unknown = fit_.scores([t for t in batch["text"] if t], [bool(x) for x, t in zip(batch["at_limit"], some) if t])
+            told = pd.DataFrame({"doc": batch["doc"], "source": batch["source"], "last": pd.Series([None] * len(batch), dtype=object), "known": 0.0, "unknown": 0.0})
+            told.loc[some, "last"], told.loc[some, "known"], told.loc[some, "unknown"] = last, known, unknown
+            yield told
 
     scored = marked.mapInPandas(score, out).join(small(words), F.col("last") == F.col("word"), "left")
     final = F.when(F.col("word").isNotNull() | (F.col("last") == "0"), F.col("known")).otherwise(F.col("unknown"))

@@ -149,7 +149,9 @@ def test_totals_and_lines_of_every_chapter(spark):
     assert rows(lemma.concordance(f, want, limit=2, by_chapter=True), "chapter_index", "line", "total") == [(0, 1, 2), (0, 2, 2), (2, 1, 3), (2, 2, 3)]
     for c in (0, 1, 2):
         by = lemma.concordance(f, want, by_chapter=True).where(f"chapter_index = {c}")
-        assert rows(by, "position", "line", "total") == rows(lemma.concordance(f, want, chapter_index=c), "position", "line", "total")
+        for context in (0, 2):
+            one = lemma.concordance(f, want, context=context, chapter_index=c)
+            assert rows(by, "position", "line", "total") == rows(one, "position", "line", "total")
 
 
 def test_contexts_reach_over_blocks_and_gaps(spark, monkeypatch):

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut, small
 from .facts import BLOCK
 from .tracks import RUN, by_chapter, running
 
@@ -70,29 +71,35 @@ def in_chapters(facts: DataFrame, chapters: DataFrame) -> DataFrame:
 def concordance(facts: DataFrame, wanted: DataFrame, context: int = 6, limit: int | None = 400, chapter_index: int | None = None, by_chapter: bool = False) -> DataFrame:
     """The places of the wanted words (run_id, lemma) in reading order, with up to `context` forms before and after.
 
-    line counts from 1 within a word; total is the number of places in scope, beside the first `limit`. Only chapters that hold a
-    wanted word are sorted, in blocks of positions, so that no chapter is too long for a task; what a block lacks at its ends comes
-    from the blocks around it. Contexts end with the chapter. chapter_index narrows the places, not the contexts. by_chapter gives
-    what that gives for every chapter: line, total and limit count within a word and chapter.
+    line counts from 1 within a word; total is the number of places in scope, beside the first `limit`. Places are numbered and
+    limited first, so contexts are made in chapters that hold one of those only: in blocks of positions, so that no chapter is
+    too long for a task; what a block lacks at its ends comes from the blocks around it. Contexts end with the chapter; with
+    none (0) nothing is sorted but the places. chapter_index narrows the places, not the contexts. by_chapter gives what that
+    gives for every chapter: line, total and limit count within a word and chapter.
     """
-    at, whole = [RUN, "chapter_index", "block"], [RUN, "chapter_index"]
-    places = facts.join(wanted.select(*WORD), WORD, "left_semi").select(*whole).distinct()
+    at, whole, place = [RUN, "chapter_index", "block"], [RUN, "chapter_index"], [RUN, "chapter_index", "position"]
+    scoped = facts if chapter_index is None else facts.where(F.col("chapter_index") == chapter_index)
+    scope = [*WORD, *["chapter_index"] * by_chapter]
+    found = scoped.join(wanted.select(*WORD), WORD, "left_semi").select(*place, "lemma", "form", "parse")
+    totals_ = found.groupBy(*scope).agg(F.count("*").alias("total"))
+    lines = found.withColumn("line", F.row_number().over(Window.partitionBy(*scope).orderBy("chapter_index", "position")))
+    kept = (lines if limit is None else lines.where(F.col("line") <= limit)).join(totals_, scope)
+    columns = [*place, "lemma", "form", "parse", "before", "after", "line", "total"]
+    if context == 0:
+        none = F.array().cast("array<string>")
+        return kept.select("*", none.alias("before"), none.alias("after")).select(*columns)
+    kept = cut(kept, "places")
     w = Window.partitionBy(*at).orderBy("position")
     forms = lambda a, b: F.collect_list("form").over(w.rowsBetween(a, b))
-    around = facts.withColumn("block", F.floor(F.col("position") / BLOCK)).join(places, whole, "left_semi").select(*at, "position", "lemma", "form", "parse", forms(-context, -1).alias("before"), forms(1, context).alias("after"))
+    wide = scoped.withColumn("block", F.floor(F.col("position") / BLOCK)).join(small(kept.select(*whole).distinct()), whole, "left_semi")
+    around = wide.select(*at, "position", "form", forms(-context, -1).alias("before"), forms(1, context).alias("after"))
     tail, head = F.concat("before", F.array("form")), F.concat(F.array("form"), "after")
     edges = around.groupBy(*at).agg(F.max_by(tail, "position").alias("tail"), F.min_by(head, "position").alias("head"))
     blocks = Window.partitionBy(*whole).orderBy("block")
     carried = edges.select(*at, F.flatten(F.collect_list("tail").over(blocks.rowsBetween(-context, -1))).alias("left"), F.flatten(F.collect_list("head").over(blocks.rowsBetween(1, context))).alias("right"))
     last = lambda a: F.slice(a, F.greatest(F.size(a) - context, F.lit(0)) + 1, context)
-    hits = around.join(wanted.select(*WORD), WORD, "left_semi")
-    if chapter_index is not None:
-        hits = hits.where(F.col("chapter_index") == chapter_index)
-    hits = hits.join(carried, at).select(*whole, "position", "lemma", "form", "parse", last(F.concat("left", "before")).alias("before"), F.slice(F.concat("after", "right"), 1, context).alias("after"))
-    scope = Window.partitionBy(*WORD, *["chapter_index"] * by_chapter)
-    lines = scope.orderBy("chapter_index", "position")
-    found = hits.select("*", F.row_number().over(lines).alias("line"), F.count("*").over(scope).alias("total"))
-    return found if limit is None else found.where(F.col("line") <= limit)
+    shown = small(kept.withColumn("block", F.floor(F.col("position") / BLOCK))).join(around.drop("form"), [*at, "position"]).join(carried, at)
+    return shown.withColumns({"before": last(F.concat("left", "before")), "after": F.slice(F.concat("after", "right"), 1, context)}).select(*columns)
 
 
 def totals(facts: DataFrame, wanted: DataFrame, chapter_index: int | None = None) -> DataFrame:

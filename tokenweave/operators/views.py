@@ -83,8 +83,8 @@ def group_concordance(lines: DataFrame, by: str) -> DataFrame:
     return sized.select("*", F.dense_rank().over(Window.partitionBy(*word).orderBy(order)).alias("group_place")).drop("group_first")
 
 
-def scope_entries(entries: DataFrame, scope: int | None) -> DataFrame:
-    """Entries through chapter `scope` (None: the whole run): scope_occ, scope_here, scope_first, scope_chapters."""
+def scope_entries(entries: DataFrame, scope: int | Column | None) -> DataFrame:
+    """Entries through chapter `scope` (None: the whole run; a column: that of the row): scope_occ, scope_here, scope_first, scope_chapters."""
     if scope is None:
         return entries.select("*", F.col("occ").alias("scope_occ"), F.lit(0).cast("long").alias("scope_here"), F.col("first_chapter").alias("scope_first"), F.col("chapter_count").alias("scope_chapters"))
     inside = F.filter("chapters", lambda c: c["chapter_index"] <= scope)

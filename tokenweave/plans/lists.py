@@ -271,6 +271,17 @@ def ui_lex_scope_bands(spark, d):
     return lx.bands(_scoped(spark, d).withColumn("occ", F.col("scope_occ")))
 
 
+@query("ui_lex_scope_half", """, hf AS (SELECT run_id, max(chapter_index) // 2 AS half FROM ch GROUP BY 1), er2 AS (SELECT run_id, rank, half FROM er JOIN hf USING (run_id))
+SELECT er2.run_id, er2.rank, half, CAST(coalesce(sum(uc.occ) FILTER (uc.chapter_index <= half), 0) AS BIGINT) AS scope_occ, CAST(coalesce(sum(uc.occ) FILTER (uc.chapter_index = half), 0) AS BIGINT) AS scope_here,
+min(uc.chapter_index) FILTER (uc.chapter_index <= half) AS scope_first, CAST(count(uc.chapter_index) FILTER (uc.chapter_index <= half) AS BIGINT) AS scope_chapters FROM er2 LEFT JOIN uc USING (run_id, rank) GROUP BY 1, 2, 3""", _LX)
+def ui_lex_scope_half(spark, d):
+    """Entries through the chapter in the middle of each run."""
+    lens = Lens(spark, d)
+    half = lens.chapters.groupBy(RUN).agg(F.floor(F.max("chapter_index") / 2).cast("int").alias("half"))
+    scoped = views.scope_entries(lens.rows().join(half, RUN), F.col("half"))
+    return scoped.select(RUN, "rank", "half", "scope_occ", "scope_here", "scope_first", "scope_chapters")
+
+
 @query("ui_growth", _PROGRESS + """ SELECT run_id, chapter_index, new_on_list_types AS on_new, CAST(sum(new_on_list_types) OVER w - new_on_list_types AS BIGINT) AS on_repeated, new_off_list_types AS off_new, CAST(sum(new_off_list_types) OVER w - new_off_list_types AS BIGINT) AS off_repeated,
 CAST(sum(new_on_list_types) OVER w AS BIGINT) AS on_all, CAST(sum(new_off_list_types) OVER w AS BIGINT) AS off_all, CAST(sum(new_on_list_types + new_off_list_types) OVER w AS BIGINT) AS total FROM pr WINDOW w AS (PARTITION BY run_id ORDER BY chapter_index)""", _LX)
 def ui_growth(spark, d):

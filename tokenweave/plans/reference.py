@@ -489,7 +489,7 @@ def le_forms(spark, d):
 def chosen(facts: DataFrame) -> DataFrame:
     """run_id, lemma: in each run its most frequent noun, on ties the smaller lemma."""
     counts = facts.where("type = 'noun' and lemma <> ''").groupBy(RUN, "lemma").agg(F.count("*").alias("n"))
-    return counts.groupBy(RUN).agg(F.min_by("lemma", F.struct(-F.col("n"), "lemma")).alias("lemma"))
+    return cut(counts.groupBy(RUN).agg(F.min_by("lemma", F.struct(-F.col("n"), "lemma")).alias("lemma")), "chosen")
 
 
 _CHOSEN = ", want AS (SELECT run_id, first(lemma ORDER BY n DESC, lemma) AS lemma FROM (SELECT run_id, lemma, count(*) AS n FROM f WHERE type = 'noun' AND lemma <> '' GROUP BY 1, 2) GROUP BY 1)"
@@ -558,7 +558,7 @@ def le_asked(spark, d):
 def le_filter_chapters(spark, d):
     """The first 400 places of one word of each run in every chapter."""
     facts = _kept_facts(spark, d, "type", "lemma", "form", "parse")
-    return lemma.concordance(facts, chosen(facts), by_chapter=True).select(RUN, "lemma", "chapter_index", "position", "line", "total")
+    return lemma.concordance(facts, chosen(facts), context=0, by_chapter=True).select(RUN, "lemma", "chapter_index", "position", "line", "total")
 
 
 # Export

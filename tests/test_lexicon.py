@@ -110,3 +110,14 @@ def test_ranks_over_many_ranges(spark):
         so_far += n
         expected.append((i, w, so_far, sum(c[1] for c in counts)))
     assert got == expected
+
+
+def test_the_sql_of_the_keys_on_marks_of_quantity():
+    import duckdb
+
+    from tokenweave.plans import base
+
+    words = ["ᾱ̓́ηρ", "τῑμή", "ῠ̔πό", "ἄνθρωπος2", "ō", "γῑ́γνομαι", "γίγνομαι", "θάλαττα", "ἄρρην", " ΛΟΓΟΣ ", "λόγος", "Ζεύς1 "]
+    for sql, of in ((base.match_key, keys.match_key_of), (base.fold_key, keys.fold_key_of)):
+        rows_ = duckdb.execute(f"SELECT w, {sql('w')} FROM (SELECT unnest(?) AS w)", [words]).fetchall()
+        assert {w: k for w, k in rows_} == {w: of(w) for w in words}

@@ -172,8 +172,13 @@ _FOLD_I = "ιίὶῖἰἱἴἵἲἳἶἷϊΐῒῗῐῑ"
 _SPACE = r"[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
 
 
+# Vowels with a mark of quantity, and without.
+_LONG_SHORT = "ᾱᾰῑῐῡῠᾹᾸῙῘῩῨāăēĕīĭōŏūŭĀĂĒĔĪĬŌŎŪŬ"
+_NEITHER = "ααιιυυΑΑΙΙΥΥaaeeiioouuAAEEIIOOUU"
+
+
 def match_key(x: str) -> str:
-    bare = f"regexp_replace(nfc_normalize({x}), '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+    bare = f"regexp_replace(nfc_normalize(regexp_replace(translate(nfc_normalize({x}), '{_LONG_SHORT}', '{_NEITHER}'), '[\\x{{0304}}\\x{{0306}}]', '', 'g')), '^{_SPACE}+|{_SPACE}+$', '', 'g')"
     return f"regexp_replace(lower(regexp_replace(regexp_replace({bare}, '[0-9]+$', ''), '{_SPACE}+$', '')), '([\\p{{L}}])σ$', '\\1ς')"
 
 

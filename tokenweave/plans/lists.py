@@ -345,13 +345,28 @@ def src_paragraphs(spark, d):
     return _cleaned(spark, d).select(RUN, "chapter_index", F.posexplode(tx.paragraphs(F.col("text"))).alias("paragraph_no", "paragraph"))
 
 
-@query("src_chunk")
+_PARAGRAPHS = f"p AS (SELECT run_id, chapter_index, list_filter(list_transform(string_split_regex({_STRIPPED}, '\\n[{_S}]*\\n+'), lambda x: regexp_replace(x, '^[{_S}]+|[{_S}]+$', '', 'g')), lambda x: x <> '') AS ps FROM c)"
+
+
+def _pieces_sql(p: str, limit: int) -> str:
+    """The pieces of a paragraph: sentences joined while they fit, longer ones cut by length and left alone."""
+    sentences = f"string_split(regexp_replace({p}, '([.·;!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    cut_or_whole = f"""list_transform({sentences}, lambda s: CASE WHEN length(s) > {limit} THEN list_transform(range(0, (length(s) + {limit - 1}) // {limit}), lambda i: {{'t': substr(s, CAST(i * {limit} + 1 AS BIGINT), {limit}), 'o': false}}) ELSE [{{'t': s, 'o': true}}] END)"""
+    packed = f"""list_reduce({cut_or_whole}, lambda a, x: CASE WHEN x[1].o AND a[-1].o AND length(a[-1].t) + 1 + length(x[1].t) <= {limit} THEN list_concat(a[1:len(a) - 1], [{{'t': a[-1].t || ' ' || x[1].t, 'o': true}}]) ELSE list_concat(a, x) END)"""
+    return f"CASE WHEN length({p}) <= {limit} THEN [{p}] ELSE list_transform({packed}, lambda y: y.t) END"
+
+
+@query("src_chunk", f"""{_PARAGRAPHS}, q AS (SELECT run_id, chapter_index, flatten(list_transform(ps, lambda p: {_pieces_sql('p', 1200)})) AS qs FROM p WHERE len(ps) > 0),
+k AS (SELECT run_id, chapter_index, list_reduce(list_transform(qs, lambda q: [q]), lambda a, x: CASE WHEN length(a[-1]) + 2 + length(x[1]) <= 1200 THEN list_concat(a[1:len(a) - 1], [a[-1] || chr(10) || chr(10) || x[1]]) ELSE list_concat(a, x) END) AS ks FROM q)
+SELECT run_id, chapter_index, CAST(i - 1 AS INTEGER) AS chunk_no, ks[i] AS chunk FROM (SELECT *, unnest(range(1, len(ks) + 1)) AS i FROM k)""", _T)
 def src_chunk(spark, d):
     """The chunks of every chapter, of at most 1,200 characters."""
     return _cleaned(spark, d).select(RUN, "chapter_index", F.posexplode(tx.chunks(F.col("text"), 1200)).alias("chunk_no", "chunk"))
 
 
-@query("src_split_long")
+@query("src_split_long", f"""{_PARAGRAPHS}, o AS (SELECT run_id, chapter_index, i - 1 AS paragraph_no, ps[i] AS p FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM p)),
+k AS (SELECT run_id, chapter_index, paragraph_no, {_pieces_sql('p', 400)} AS ks FROM o WHERE length(p) > 400)
+SELECT run_id, chapter_index, CAST(paragraph_no AS INTEGER) AS paragraph_no, CAST(i - 1 AS INTEGER) AS piece_no, ks[i] AS piece FROM (SELECT *, unnest(range(1, len(ks) + 1)) AS i FROM k)""", _T)
 def src_split_long(spark, d):
     """Every paragraph of more than 400 characters, in pieces."""
     paragraphs = _cleaned(spark, d).select(RUN, "chapter_index", F.posexplode(tx.paragraphs(F.col("text"))).alias("paragraph_no", "p"))

@@ -13,7 +13,7 @@ from ..operators import chapters as chap
 from ..operators import export, grammar, lemma, text, tracks, views
 from ..operators.facts import load_chapters, load_facts
 from ..session import cut, table
-from .base import DECODED, WITH
+from .base import DECODED, WITH, rank_sql
 
 RUN = "run_id"
 BAR = "¦"
@@ -122,9 +122,11 @@ def m_person_abbr(spark, d):
     return _labels(spark, d).where("person is not null").select("person", mo.person_abbr(F.col("person")).alias("person_abbr")).distinct()
 
 
-@query("m_paradigm_rank", "SELECT DISTINCT tense, CAST(list_position(['pres', 'impf', 'fut', 'aor', 'perf', 'plup'], string_split(tense, '|')[1]) - 1 AS INTEGER) AS rank FROM m WHERE tense IS NOT NULL AND tense NOT LIKE '%|%'", DECODED)
+@query("m_paradigm_rank", " UNION ".join(f"SELECT '{x}' AS dimension, \"{x}\" AS value, CAST({rank_sql(x)} AS INTEGER) AS rank FROM m WHERE \"{x}\" IS NOT NULL" for x in DIMENSIONS), DECODED)
 def m_paradigm_rank(spark, d):
-    return _labels(spark, d).where("tense is not null and tense not like '%|%'").select("tense", mo.paradigm_rank("tense", F.col("tense")).alias("rank")).distinct()
+    """The place of each value in its paradigm; of a compound one that of its first reading there."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(x).alias("dimension"), F.col(x).alias("value"), mo.paradigm_rank(x, F.col(x)).alias("rank")) for x in DIMENSIONS)))
+    return _labels(spark, d).select(pairs.alias("p")).select("p.*").where("value is not null").distinct()
 
 
 # Grouped dimensions

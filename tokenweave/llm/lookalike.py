@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.unicode import char_class, per_distinct
-from ..session import cut
+from ..session import cut, small
 
 def _pairs(text: str) -> dict[str, str]:
     return {p[0]: p[1] for p in text.split()}
@@ -204,10 +204,11 @@ def unify_values(values: DataFrame, vocabulary: DataFrame) -> DataFrame:
     inner = values.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)))
     at = f"c{kept.index('value')}"
     done = cut(inner.where(suspicious(F.col(at))).withColumn("f", _consistent(at)).where(F.col("f.form") != F.col(at)).select(*inner.columns, "f.form", "f.readings"), "unified")
-    words = vocabulary.where(~suspicious(F.col("value"))).select(F.col("value").alias("w")).distinct()
     mixed = done.where("readings is not null")
     read = mixed.select(F.col(at).alias("v"), "readings").distinct().select("v", F.posexplode("readings").alias("place", "w"))
-    attested = read.join(words, "w").groupBy("v").agg(F.min_by("w", "place").alias("w"))
-    settled = mixed.join(attested, F.col(at) == F.col("v"), "left").select(*inner.columns, F.coalesce("w", "form").alias("form"), F.when(F.col("w").isNotNull(), "script").otherwise("script_unattested").alias("status"))
+    # a reading is a consistent form, so only such values of the vocabulary can be one; it is narrowed before it is made distinct
+    words = vocabulary.select(F.col("value").alias("w")).join(small(read.select("w").distinct()), "w", "left_semi").distinct()
+    attested = cut(read.join(words, "w").groupBy("v").agg(F.min_by("w", "place").alias("w")), "attested")
+    settled = mixed.join(small(attested), F.col(at) == F.col("v"), "left").select(*inner.columns, F.coalesce("w", "form").alias("form"), F.when(F.col("w").isNotNull(), "script").otherwise("script_unattested").alias("status"))
     plain = done.where("readings is null").select(*inner.columns, "form", F.lit("form").alias("status"))
     return plain.unionByName(settled).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), F.col("form").alias("consistent"), "status")

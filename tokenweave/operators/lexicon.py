@@ -75,9 +75,12 @@ def entry_rows(placed: DataFrame, matches: DataFrame, entries: DataFrame, runs:
     spans = per_chapter.groupBy(RUN, "rank").agg(F.sum("occ").alias("occ"), F.min("chapter_index").alias("first_chapter"), F.count("*").alias("chapter_count"), F.sort_array(F.collect_list(F.struct("chapter_index", "occ"))).alias("chapters"))
     sources = used.groupBy(RUN, "rank", "lemma").agg(F.sum("occ").alias("n"), F.min(strength).alias("strength"), F.bool_or("ambiguous").alias("ambiguous"))
     credit = sources.groupBy(RUN, "rank").agg(F.array(*map(F.lit, MATCHES))[F.min("strength") - 1].alias("matched_by"), F.bool_or("ambiguous").alias("ambiguous"), F.min_by("lemma", F.struct(-F.col("n"), "lemma")).alias("source_lemma"))
-    grid = runs.select(RUN).crossJoin(small(entries.select("rank", F.col("lemma").alias("entry"), "gloss", "kind", "ref_share")))
+    # only ranks go through the exchange; what an entry is comes last
+    few = small(entries)
+    listed = few.select("rank", F.col("lemma").alias("entry"), "gloss", "kind", "ref_share")
+    grid = runs.select(RUN).crossJoin(few.select("rank"))
     none = F.expr("cast(array() as array<struct<chapter_index:int,occ:bigint>>)")
-    return grid.join(spans.join(credit, [RUN, "rank"]), [RUN, "rank"], "left").select(
+    return grid.join(spans.join(credit, [RUN, "rank"]), [RUN, "rank"], "left").join(listed, "rank").select(
         RUN, "rank", F.col("entry").alias("lemma"), "gloss", "kind", "ref_share", F.coalesce("occ", F.lit(0)).alias("occ"), "first_chapter", F.coalesce("chapter_count", F.lit(0)).alias("chapter_count"),
         F.coalesce("chapters", none).alias("chapters"), F.coalesce("matched_by", F.lit("")).alias("matched_by"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"), F.coalesce("source_lemma", F.lit("")).alias("source_lemma"),
     )

@@ -4,6 +4,7 @@ from tests.helpers import GEN, NOM, VOC, facts, refs, rows
 from tokenweave.functions import morphology as mo
 from tokenweave.operators import chapters, export, grammar, lemma, text, tracks, views
 
+# Rows (lemma, form, label, chapter) of the definition's own examples, and below what must come out of them.
 F1 = [("λόγος", "λόγος", NOM, 0)] * 2 + [("θεός", "θεός", NOM, 0), ("θεός", "θεοῦ", GEN, 1)] + [("λόγος", "λόγου", GEN, 2)] * 3
 F2 = [("ὁ", "ὁ", NOM, 0), ("λόγος", "λόγος", NOM, 0), ("ὁ", "τοῦ", GEN, 0), ("λόγος", "λόγου", GEN, 0), ("ὁ", "ὁ", NOM, 0), ("ὁ", "Ὁ", NOM, 0)]
 F3 = [("ὁ", "ὁ", NOM, 0), ("λόγος", "λόγος", NOM, 0), ("λόγος", "λόγου", GEN, 0)] + [("λόγος", "λόγος", NOM, 1)] * 2 + [("λόγος", "λόγου", GEN, 1)]

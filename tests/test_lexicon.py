@@ -6,6 +6,7 @@ from tokenweave.functions import keys
 from tokenweave.operators import lexicon as lx
 from tokenweave.operators import views
 
+# Words, keys and figures in these tests are those of the definition's own examples.
 F6 = [("λόγος", "λόγος", NOM, 0), ("λόγος", "λόγου", GEN, 0), ("Γρηγόριος", "Γρηγόριος", NOM, 0), ("δαίμων", "δαίμων", NOM, 0), ("καί", "καί", "-", 1), ("λόγος", "λόγος", NOM, 1)]
 LIST = [(1, "καί", 500), (2, "λόγος", 300), (3, "ἵππος", 100)]
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tokenweave.functions import morphology as mo
 from tokenweave.functions.vocab import DIMENSIONS
+from tokenweave.plans import single
 
 CASES = [
     # label, type, features, status, descriptors, unparsed
@@ -72,3 +73,12 @@ def test_order_gaps_and_names(spark):
     one = spark.createDataFrame([("acc|nom", "2|3", None)], "c string, p string, n string")
     r = one.select(mo.feature_label("case", F.col("c")).alias("l"), mo.feature_abbr("case", F.col("c")).alias("a"), mo.person_abbr(F.col("p")).alias("p"), mo.paradigm_rank("case", F.col("c")).alias("r"), mo.has(F.col("c"), "nom").alias("h"), mo.has(F.col("n"), "nom").alias("x")).first()
     assert tuple(r) == ("accusative/nominative", "nom./acc.", "2/3", 0, True, False)
+
+
+def test_features_are_read_once_per_label(spark, tmp_path):
+    said = [("nom./acc. sg. neut.", "noun"), ("part.", "particle"), ("part.", "verb"), ("part.", None), (None, "verb"), ("-", ""), ("xyz", "noun"), ("gen. xyz", None)]
+    spark.createDataFrame(said * 50, "parse string, type string").write.parquet(str(tmp_path / "token_facts.parquet"))
+    df = single.m_features(spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [("gen. xyz", "", "case=gen"), ("nom./acc. sg. neut.", "noun", "case=acc|nom number=sg gender=neut"), ("part.", "", "mood=part"), ("part.", "verb", "mood=part")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x[:200] for x in plan if "Filter" in x and "regexp_replace" in x], "labels are decoded for every row of the facts"

@@ -11,7 +11,7 @@ from ..functions.vocab import DIMENSIONS
 from ..operators import chapters as chap
 from ..operators import grammar, lemma, text, tracks
 from ..operators.facts import KEY, PLACE, chapter_refs, clean_facts, load_chapters, load_facts
-from ..session import fresh_path, table
+from ..session import cut, fresh_path, table
 from ..sources.store import RunStore, migrate
 from .base import DECODED, KNOWN, NOTHING, PHRASES, WITH, WORDS, bare, rank_sql, signature_sql, values_sql
 from .reference import _CHOSEN, _NEWEST, _READ, _RUNS, _STATED, BAR, RUN, _decoded, _facts, _kept_facts, _labels, _newest, chosen, unique_runs
@@ -138,9 +138,14 @@ def m_status(spark, d):
 
 @query("m_features", f""" SELECT parse, type, concat_ws(' ', {', '.join(f"'{x}=' || \"{x}\"" for x in DIMENSIONS)}) AS features FROM m WHERE signature <> ''""", DECODED)
 def m_features(spark, d):
-    """The dimensions a label states, in the order of citation."""
+    """The dimensions a label states, in the order of citation.
+
+    The labels are written down first: the planner would move the condition, and with it all of the decoder, below the
+    distinct, where it is evaluated for every row of the facts.
+    """
     told = F.concat_ws(" ", *(F.concat(F.lit(f"{x}="), F.col(x)) for x in DIMENSIONS))
-    return _labels(spark, d).where("signature <> ''").select("parse", "type", told.alias("features"))
+    labels = cut(_labels(spark, d).select("parse", "type", "signature", told.alias("features")), "labels")
+    return labels.where("signature <> ''").select("parse", "type", "features")
 
 
 # Features as they were stored with the facts
